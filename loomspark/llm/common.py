@@ -56,6 +56,12 @@ def utf8(text: str = "text") -> Column:
     return F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column computed once a row.  The optimizer writes the expression of a plain column into the
+    lambda functions that use it, where it is computed anew for each element; it leaves the one row of a generator be."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def binary_views(col: pa.Array) -> Iterator[np.ndarray]:
     """Each value of a binary or string Arrow array as a byte array, without a copy; null is empty."""
     if isinstance(col, pa.ChunkedArray):

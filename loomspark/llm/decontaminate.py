@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: On texts before A-Z become a-z, so A-Z are in it.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The words' characters, on texts before A-Z become a-z: ASCII letters and digits and all beyond ASCII.  Those below
+#: U+0100 are listed one by one, which Java looks up in a table.
+WORDS = "[" + LOWER + UPPER + "0123456789" + "".join(map(chr, range(0x80, 0x100))) + r"\x{100}-\x{10FFFF}]+"
 #: Windows of a benchmark that may be broadcast (about 100 bytes each).
 BROADCAST_WINDOWS = 500_000
 
@@ -35,10 +36,15 @@ def _window(words: Column, at: Column, size: int) -> Column:
     return F.translate(F.array_join(F.slice(words, at, size), " "), UPPER, LOWER)
 
 
+def _hash(hashed: Column, at: Column, size: int) -> Column:
+    """Hash of the window at ``at``; single elements are read, as a slice would copy the whole array."""
+    return F.xxhash64(*(F.element_at(hashed, at + k) for k in range(size)))
+
+
 def _hashes(hashed: Column, size: int) -> Column:
     """Hashes of all windows, in order."""
     n = F.size(hashed) - (size - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(hashed, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _hash(hashed, i, size))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _word_hashes(words: Column) -> Column:
@@ -49,9 +55,11 @@ def benchmark_windows(benchmark: DataFrame, size: int, text: str = "text", id_co
     """h, length, window (its exact text) and items (ids) of each distinct window."""
     base = benchmark.select(F.col(id_col).cast("string").alias("item"), words_of(text).alias("w")).where(F.size("w") > 0)
     base = base.withColumn("length", F.least(F.size("w"), F.lit(size)))
-    at = base.select("item", "w", "length", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)).alias("at"))
-    cut = at.select("item", "length", F.slice("w", F.col("at"), F.col("length")).alias("w"))
-    return cut.select("item", "length", F.xxhash64(_word_hashes(F.col("w"))).alias("h"), F.translate(F.array_join("w", " "), UPPER, LOWER).alias("window")).groupBy("h", "length", "window").agg(F.collect_set("item").alias("items"))
+    base = common.held(base, "hw", _word_hashes(F.col("w")))
+    at = base.select("item", "w", "hw", "length", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)).alias("at"))
+    h = F.coalesce(*(F.when(F.col("length") == n, _hash(F.col("hw"), F.col("at"), n)) for n in range(1, size + 1)))
+    cut = at.select("item", "length", h.alias("h"), F.translate(F.array_join(F.slice("w", F.col("at"), F.col("length")), " "), UPPER, LOWER).alias("window"))
+    return cut.groupBy("h", "length", "window").agg(F.collect_set("item").alias("items"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -61,11 +69,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "tex
     if sum(r.n for r in count) <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
     words = docs.select(common.row_key(text, id_col).alias("key"), words_of(text).alias("w"))
-    hashed = words.select("key", "w", _word_hashes(F.col("w")).alias("hw"))
+    hashed = common.held(words, "hw", _word_hashes(F.col("w")))
     found = None
     for length in sorted({r.length for r in count}) or [size]:
-        at = hashed.select("key", "w", F.posexplode(_hashes(F.col("hw"), length)).alias("pos", "h"))
-        hit = at.join(windows.where(F.col("length") == length), "h").where(_window(F.col("w"), F.col("pos") + 1, length) == F.col("window")).select("key", "pos", F.lit(length).alias("length"), "items")
+        # the hashes are a column of their own, so that the generator is compiled into one stage with the join and
+        # the words of a text are not copied for each of its windows
+        at = hashed.select("key", "w", _hashes(F.col("hw"), length).alias("hs")).select("key", "w", F.posexplode("hs").alias("pos", "h"))
+        # the text of a window is made for hits of the hash alone: as a condition it would be a key of the join
+        hit = common.held(at.join(windows.where(F.col("length") == length), "h"), "exact", _window(F.col("w"), F.col("pos") + 1, length))
+        hit = hit.where(F.col("exact") == F.col("window")).select("key", "pos", F.lit(length).alias("length"), "items")
         found = hit if found is None else found.unionByName(hit)
     return found
 
@@ -96,18 +108,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: st
     A text is cut into its words and what lies between them; words that are hit are left out."""
     common.tidy(common.session_of(docs))
     found = hits(docs, benchmark, size, text, id_col).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)))).alias("__hit")).withColumnRenamed("key", "__key")
-    gaps = F.split(F.col(text), WORDS)
     rows = docs.withColumn("__key", common.row_key(text, id_col)).join(found, "__key", "left")
-    words = words_of(text)
-    lost = F.transform(F.sequence(F.lit(0), F.size(words)), lambda i: F.array_contains("__hit", i))
-    kept = F.concat(
-        F.element_at(gaps, 1),
-        F.array_join(
-            F.transform(
-                F.arrays_zip(words.alias("w"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("g"), F.slice(lost, 1, F.size(words)).alias("x"), F.slice(lost, 2, F.size(words)).alias("y")),
-                lambda z: F.when(z["x"] & z["y"], F.lit("")).when(z["x"], F.concat(F.lit(mark), z["g"])).otherwise(F.concat(z["w"], z["g"])),
-            ),
-            "",
-        ),
+    rows = common.held(common.held(rows, "__words", words_of(text)), "__gaps", F.split(F.col(text), WORDS))
+    n = F.size("__words")
+    rows = common.held(rows, "__lost", F.transform(F.sequence(F.lit(0), n), lambda i: F.array_contains("__hit", i)))
+    parts = F.transform(
+        F.sequence(F.lit(1), n),
+        lambda i: F.when(~F.element_at("__lost", i), F.concat(F.element_at("__words", i), F.element_at("__gaps", i + 1)))
+        .when(F.element_at("__lost", i + 1), F.lit(""))
+        .otherwise(F.concat(F.lit(mark), F.element_at("__gaps", i + 1))),
     )
+    kept = F.concat(F.element_at("__gaps", 1), F.array_join(parts, ""))
     return rows.withColumn(text, F.when(F.col("__hit").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)

@@ -32,13 +32,19 @@ def starts_of(lines: Column, modulus: int) -> Column:
     return F.filter(numbers, begins)
 
 
+def _between(lines: Column, a: Column, b: Column) -> Column:
+    """Lines a..b-1, read one by one: a slice would copy the whole array each time."""
+    return F.when(b > a, F.transform(F.sequence(a, F.greatest(a, b - 1)), lambda i: F.element_at(lines, i))).otherwise(F.array().cast("array<string>"))
+
+
 def chunks(docs: DataFrame, modulus: int, text: str, id_col: str) -> DataFrame:
     """key, id, first (line number), n (lines), body (the chunk's text)."""
-    cut = docs.where(F.col(text).isNotNull()).select(common.row_key(text, id_col).alias("key"), F.col(id_col).alias("id"), lines_of(text).alias("lines"))
-    cut = cut.select("key", "id", "lines", starts_of(F.col("lines"), modulus).alias("starts"))
+    cut = docs.where(F.col(text).isNotNull()).select(common.row_key(text, id_col).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    cut = common.held(cut, "lines", lines_of("text")).drop("text")
+    cut = common.held(cut, "starts", starts_of(F.col("lines"), modulus))
     ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array(F.size("lines") + 1))
     spans = cut.select("key", "id", "lines", F.explode(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b"))).alias("s"))
-    return spans.select("key", "id", F.col("s.a").alias("first"), (F.col("s.b") - F.col("s.a")).alias("n"), F.array_join(F.slice("lines", F.col("s.a"), F.col("s.b") - F.col("s.a")), "\n").alias("body"))
+    return spans.select("key", "id", F.col("s.a").alias("first"), (F.col("s.b") - F.col("s.a")).alias("n"), F.array_join(_between(F.col("lines"), F.col("s.a"), F.col("s.b")), "\n").alias("body"))
 
 
 def repeats(docs: DataFrame, modulus: int = 3, least: int = 2, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -57,11 +63,12 @@ def deduplicate(docs: DataFrame, modulus: int = 3, least: int = 2, text: str = "
     common.tidy(common.session_of(docs))
     out = repeats(docs, modulus, least, text, id_col).groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("__out"))
     rows = docs.withColumn("__key", common.row_key(text, id_col)).join(out, "__key", "left")
-    lines = lines_of(text)
+    rows = common.held(rows, "__all", lines_of(text))
+    lines = F.col("__all")
     # what stays: the stretches between the removed chunks, each sliced once
     before = F.concat(F.array(F.lit(1)), F.transform("__out", lambda o: o["first"] + o["n"]))
     until = F.concat(F.transform("__out", lambda o: o["first"]), F.array(F.size(lines) + 1))
-    stay = F.flatten(F.transform(F.arrays_zip(before.alias("a"), until.alias("b")), lambda z: F.slice(lines, z["a"], z["b"] - z["a"])))
+    stay = F.flatten(F.transform(F.arrays_zip(before.alias("a"), until.alias("b")), lambda z: _between(lines, z["a"], z["b"])))
     n_removed = F.coalesce(F.aggregate("__out", F.lit(0).cast("long"), lambda s, o: s + o["n"]), F.lit(0).cast("long"))
     rest = [F.col(c) for c in docs.columns if c != text]
     made = rows.select(*rest, F.when(F.col("__out").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n")).alias("__text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__lines"), n_removed.alias("__removed"))
