@@ -31,7 +31,7 @@ def words_of(text: str | Column) -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(WORDS), F.lit(0))
 
 
-def _window(words: Column, at: Column, size: int) -> Column:
+def _window(words: Column, at: Column, size: Column) -> Column:
     """The exact text of a window, A-Z as a-z."""
     return F.translate(F.array_join(F.slice(words, at, size), " "), UPPER, LOWER)
 
@@ -66,20 +66,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "tex
     """key, at, length, items: the verified windows of each text."""
     windows = benchmark_windows(benchmark, size)
     count = windows.groupBy("length").agg(F.count("*").alias("n")).collect()  # one row a window length, ``size`` at most
-    if sum(r.n for r in count) <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
+    small = sum(r.n for r in count) <= BROADCAST_WINDOWS
+    lengths = sorted({r.length for r in count}) or [size]
     words = docs.select(common.row_key(text, id_col).alias("key"), words_of(text).alias("w"))
     hashed = common.held(words, "hw", _word_hashes(F.col("w")))
-    found = None
-    for length in sorted({r.length for r in count}) or [size]:
-        # the hashes are a column of their own, so that the generator is compiled into one stage with the join and
-        # the words of a text are not copied for each of its windows
-        at = hashed.select("key", "w", _hashes(F.col("hw"), length).alias("hs")).select("key", "w", F.posexplode("hs").alias("pos", "h"))
-        # the text of a window is made for hits of the hash alone: as a condition it would be a key of the join
-        hit = common.held(at.join(windows.where(F.col("length") == length), "h"), "exact", _window(F.col("w"), F.col("pos") + 1, length))
-        hit = hit.where(F.col("exact") == F.col("window")).select("key", "pos", F.lit(length).alias("length"), "items")
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    if len(lengths) == 1:
+        length, hs = F.lit(lengths[0]), _hashes(F.col("hw"), lengths[0])
+    else:
+        hashed = hashed.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("length"))
+        length, hs = F.col("length"), F.coalesce(*(F.when(F.col("length") == n, _hashes(F.col("hw"), n)) for n in lengths))
+    # the hashes are a column of their own, so that the generator is compiled into one stage with a broadcast join and
+    # the words of a text are not copied for each of its windows; rows that are shuffled leave the words behind
+    carried = ["key", "w"] if small else ["key"]
+    at = hashed.select(*carried, length.alias("length"), hs.alias("hs")).select(*carried, "length", F.posexplode("hs").alias("pos", "h"))
+    wanted = windows.withColumnRenamed("length", "__n")
+    found = at.join(F.broadcast(wanted) if small else wanted, "h").where(F.col("length") == F.col("__n"))
+    if not small:
+        found = found.join(words, "key")
+    # the text of a window is made for hits of the hash alone: as a condition it would be a key of the join
+    hit = common.held(found, "exact", _window(F.col("w"), F.col("pos") + 1, F.col("length")))
+    return hit.where(F.col("exact") == F.col("window")).select("key", "pos", "length", "items")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", id_col: str = "doc_id") -> DataFrame:
