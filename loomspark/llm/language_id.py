@@ -205,9 +205,9 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lan
     return Model(vocabulary, langs, probs)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), kept_words: int = 300_000) -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` of each whole text; nothing is shuffled."""
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score"), kept_words: int = 300_000) -> DataFrame:
+    """``keep`` columns and, called ``names``, the language and score of each whole text; nothing is shuffled."""
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.langs)
@@ -216,10 +216,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)
                 at = batch.schema.get_field_index("__text")
-                names, word, off = words_of(batch.column(at))
-                new = [w for w in names if w not in known]
+                found, word, off = words_of(batch.column(at))
+                new = [w for w in found if w not in known]
                 if used + len(new) > kept_words:
-                    known, used, new = {}, 0, names
+                    known, used, new = {}, 0, found
                 if used + len(new) > len(table):
                     table = np.vstack([table[:used], np.zeros((max(len(new), len(table)), k))])
                 parts, owner = parts_of(new)
@@ -231,8 +231,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                     table[used : used + len(new)] = 0
                 known.update(zip(new, range(used, used + len(new)), strict=True))
                 used += len(new)
-                place = np.array([known[w] for w in names], np.int64)
-                letters = np.array([bool(w) for w in names])
+                place = np.array([known[w] for w in found], np.int64)
+                letters = np.array([bool(w) for w in found])
                 sums = np.zeros((len(word) + 1, k + 1))
                 np.cumsum(np.column_stack([table[place][word], letters[word]]) if len(word) else np.zeros((0, k + 1)), axis=0, out=sums[1:])
                 got = sums[off[1:]] - sums[off[:-1]]
@@ -263,4 +263,5 @@ def identify(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
 def keep_known(docs: DataFrame, vocabulary: str, least: float = 0.5, **options) -> DataFrame:
     """The documents whose language is recognised: not ``und``, posterior of at least ``least``."""
     model = learn(docs.where(~held_out()), vocabulary, **options)
-    return predict(docs, model, keep=tuple(docs.columns) if "text" not in docs.columns else tuple(docs.columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    made = predict(docs, model, keep=tuple(docs.columns), names=("__lang", "__score"))
+    return made.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)

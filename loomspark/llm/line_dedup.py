@@ -58,8 +58,9 @@ def repeats(docs: DataFrame, modulus: int = 3, least: int = 2, text: str = "text
     return joined.where((F.col("f.key") != F.col("key")) | (F.col("f.first") != F.col("first"))).select("key", "first", "n").distinct()
 
 
-def deduplicate(docs: DataFrame, modulus: int = 3, least: int = 2, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the repeated chunks taken out of ``text``, and the columns n_lines and n_removed (lines)."""
+def deduplicate(docs: DataFrame, modulus: int = 3, least: int = 2, text: str = "text", id_col: str = "doc_id", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with the repeated chunks taken out of ``text``, and the columns ``counts``: lines, and lines removed.
+    They take the place of columns of those names."""
     common.tidy(common.session_of(docs))
     out = repeats(docs, modulus, least, text, id_col).groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("__out"))
     rows = docs.withColumn("__key", common.row_key(text, id_col)).join(out, "__key", "left")
@@ -72,5 +73,5 @@ def deduplicate(docs: DataFrame, modulus: int = 3, least: int = 2, text: str = "
     n_removed = F.coalesce(F.aggregate("__out", F.lit(0).cast("long"), lambda s, o: s + o["n"]), F.lit(0).cast("long"))
     rest = [F.col(c) for c in docs.columns if c != text]
     made = rows.select(*rest, F.when(F.col("__out").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n")).alias("__text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__lines"), n_removed.alias("__removed"))
-    names = {"__text": text, "__lines": "n_lines", "__removed": "n_removed"}
-    return made.select(*(F.col("__text").alias(text) if c == text else F.col(c) for c in docs.columns), *(F.col(k).alias(v) for k, v in names.items() if v != text))
+    names = {text: "__text", counts[0]: "__lines", counts[1]: "__removed"}
+    return made.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns), *(F.col(names[c]).alias(c) for c in counts if c not in docs.columns))
