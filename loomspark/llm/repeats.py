@@ -166,10 +166,12 @@ def _compare(length: int):
 
 def repeated_strings(docs: DataFrame, length: int = 200, text: str = "text", id_col: str = "doc_id", together: int = TOGETHER) -> DataFrame:
     """key and spans (array of a, b): the strings starting at a..b-1 start anywhere else, too."""
-    phrases = parse(docs, length, text, id_col)
-    dictionary = phrases.groupBy("trigger", "phrase").agg(F.count("*").alias("times"), F.min(F.struct("key", "a")).alias("one"), F.max("again").alias("again"))
-    # the least place is asked for to keep the columns of the dictionary the same: then its shuffle is reused below
-    by_trigger = dictionary.groupBy("trigger").agg(F.count("*").alias("kinds"), F.sum("times").alias("total"), F.max("again").alias("again"), F.min("one").alias("one")).where("(total > 1 or again) and one is not null").select("trigger", "kinds", F.col("again").alias("selfish"))
+    parsed = common.written(parse(docs, length, text, id_col), "phrases")
+    # triggers that occur once drop out before anything else is counted
+    often = parsed.groupBy("trigger").agg(F.count("*").alias("total"), F.max("again").alias("again")).where("total > 1 or again").select("trigger")
+    phrases = common.written(parsed.join(often, "trigger", "left_semi"), "shared-phrases")
+    dictionary = common.written(phrases.groupBy("trigger", "phrase").agg(F.count("*").alias("times"), F.min(F.struct("key", "a")).alias("one"), F.max("again").alias("again")), "dictionary")
+    by_trigger = dictionary.groupBy("trigger").agg(F.count("*").alias("kinds"), F.max("again").alias("selfish"))
     verdict = dictionary.join(by_trigger, "trigger").select("trigger", "phrase", "times", "one", "kinds", "selfish").where("times > 1 or kinds > 1 or selfish")
     located = phrases.join(verdict, ["trigger", "phrase"])
     shared = (F.col("kinds") > 1) | F.col("selfish")
