@@ -42,6 +42,7 @@ TEMPLATES = {
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 TERM = r"[a-z0-9]+"
+SALTS = 64
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
 
 
@@ -129,6 +130,9 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
     homes = bare.select("home").distinct()
     above = homes.select("home", F.posexplode(F.concat(F.array("home"), F.when(F.col("home") == "", F.array().cast("array<string>")).otherwise(parents(F.col("home"))))).alias("up", "dir"))
     nearest = above.join(by_dir, "dir").groupBy("home").agg(F.min(F.struct("up", "dir", "dir_license")).alias("n")).select("home", F.col("n.dir").alias("from_dir"), F.col("n.dir_license").alias("dir_license"))
-    out = rows.withColumn("home", F.when(F.col("license").isNull() & F.col("path").isNotNull(), F.element_at(parents(F.col("path")), 1))).join(nearest, "home", "left")
+    # files of one directory are spread over SALTS tasks, as one may hold a third of them
+    nearest = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    home = F.when(F.col("license").isNull() & F.col("path").isNotNull(), F.element_at(parents(F.col("path")), 1))
+    out = rows.withColumn("home", home).withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(nearest, ["home", "salt"], "left")
     via = F.when(F.col("license").isNotNull(), F.lit("own")).when(F.col("dir_license").isNotNull(), F.lit("inherited"))
     return out.select(*keep, "path", F.coalesce("license", "dir_license").alias("license"), "score", via.alias("via"), F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("from_dir")).alias("from_path"))
