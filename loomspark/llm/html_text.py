@@ -146,7 +146,14 @@ def _inside(node: Node, tags: tuple[str, ...]) -> bool:
 
 
 def _has(node: Node, tag: str) -> bool:
-    return any(isinstance(x, Node) and (x.tag == tag or _has(x, tag)) for x in node.parts)
+    stack = [node]
+    while stack:
+        for x in stack.pop().parts:
+            if isinstance(x, Node):
+                if x.tag == tag:
+                    return True
+                stack.append(x)
+    return False
 
 
 def measure(root: Node) -> list[Node]:
@@ -210,21 +217,32 @@ def select(root: Node) -> list[Node]:
 
 
 def blocks(node: Node) -> Iterator[str]:
-    """Text blocks below a node in page order; white space within a block is one space."""
+    """Text blocks below a node in page order; white space within a block is one space, and a table's row is one block."""
     run: list[str] = []
-    for x in node.parts:
+    cells, stack = 0, [(iter(node.parts), False)]
+    while stack:
+        parts, cell = stack[-1]
+        x = next(parts, None)
         if isinstance(x, str):
             run.append(x)
+            continue
+        if x is None:
+            stack.pop()
+            cells -= cell
         elif x.cut and x.tag in ("button", "label", "option"):
             continue
-        elif x.tag in ("td", "th") and not x.cut:
-            run.append(" " + " ".join(blocks(x)) + " ")
+        else:
+            cell = x.tag in ("td", "th") and not x.cut
+            if not x.cut:
+                stack.append((iter(x.parts), cell))
+        if cell or cells:
+            run.append(" ")
         else:
             if text := " ".join(unescape("".join(run)).split()):
                 yield text
             run = []
-            if not x.cut:
-                yield from blocks(x)
+        if x is not None:
+            cells += cell
     if text := " ".join(unescape("".join(run)).split()):
         yield text
 
@@ -238,9 +256,6 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
-        sys.setrecursionlimit(20_000)
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)

@@ -25,6 +25,10 @@ def test_article_only():
     assert H.main_text(PAGE.replace("<main><article>", '<div class="content">').replace("</article></main>", "</div>")) == TEXT
 
 
+def test_references_are_decoded_once():
+    assert H.main_text("<table><tr><td>a &amp;lt; b</td><td><p>c</p><p>d</p></td></tr></table><p>e &amp;gt; f</p>") == "a &lt; b c d\n\ne &gt; f"
+
+
 def test_density_of_nodes():
     root = H.parse("<body><div><p>" + "word " * 50 + "</p></div><div><a>x</a><a>y</a></div></body>")
     order = H.measure(root)
@@ -33,7 +37,7 @@ def test_density_of_nodes():
 
 
 def test_defined_cases(spark):
-    deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
+    deep = "<div>" * 40_000 + "deep text" + "</div>" * 40_000
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>x"), (4, "u", "plain text"), (5, "u", "<!-- never ends"), (6, "u", deep), (7, "u", PAGE), (7, "u", PAGE), (None, None, "<body><p>null id</p></body>"), (8, "u", "<script>x"), (9, "u", "a < b and c > d"), (10, "u", "<p>" + "long " * 200_000)]
     pages = spark.createDataFrame([(*r, 1, "k") for r in rows], "page_id long, url string, html string, n_chars int, text string")
     got = H.extract(pages).collect()
