@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
 from .token_counts import balanced
 
 #: Distinct words that a worker keeps between batches.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -196,7 +197,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
         for batch in batches:
             at = batch.schema.get_field_index("__text")
             sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in balanced(sizes + 64, 1 << 22):
+            for a, b in balanced(sizes + 64, 1 << 21):
                 part = batch.slice(a, b - a)
                 all_ids, n = enc.encode_batch(part.column(at))
                 ends = np.concatenate([[0], np.cumsum(n)])
@@ -209,7 +210,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
                     decoded.append(hashlib.sha256(enc.decode(own).tobytes()).hexdigest())
                 cols = [*(part.column(i) for i in range(part.num_columns) if i != at), *([pa.array(ids, pa.binary())] if with_ids else []), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            common.done()
 
+    common.tidy(common.session_of(docs))
     return docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 

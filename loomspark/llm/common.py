@@ -43,8 +43,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let each finished query drop its shuffle files at once instead of at some later garbage collection."""
+    """Let each finished query drop its shuffle files at once instead of at some later garbage collection, and hand
+    Python as many rows at a time as the operators work on: larger Arrow batches are only held in memory, twice."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
+def done() -> None:
+    """Give the memory that Arrow keeps for later back: the next stage runs in the same worker."""
+    pa.default_memory_pool().release_unused()
 
 
 def row_key(text: str = "text", id_col: str = "doc_id") -> Column:

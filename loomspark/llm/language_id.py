@@ -205,7 +205,7 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lan
     return Model(vocabulary, langs, probs)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score"), kept_words: int = 300_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score"), kept_words: int = 150_000) -> DataFrame:
     """``keep`` columns and, called ``names``, the language and score of each whole text; nothing is shuffled."""
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
@@ -245,6 +245,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 else:
                     lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+        common.done()
 
     return docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text")).mapInArrow(run, schema)
 

@@ -111,6 +111,7 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int, text: str = "text"
                         r = registers(h, n).reshape(bands, rows).astype(np.uint64)
                         keys.append(common.signed(common.mix((common.mix(r + np.uint64(1)) * mult).sum(1, dtype=np.uint64) + number)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size_of, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "id", "n", "cls", "bands"])
+        common.done()
 
     return docs.select(common.row_key(text, id_col).alias("key"), F.col(id_col).alias("id"), common.utf8(text).alias("t")).mapInArrow(run, schema)
 
@@ -200,6 +201,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str, id_col:
                         marks.append(registers(h, ESTIMATE).tobytes())
                         sets.append(h.tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "regs", "members"])
+        common.done()
 
     texts = docs.select(common.row_key(text, id_col).alias("key"), common.utf8(text).alias("t"))
     # a row that repeats wholly gives its set twice, which compares the same twice
