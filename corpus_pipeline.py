@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that an earlier document has are cut out; a document that consisted of them alone goes."""
-    out = line_dedup.deduplicate(docs, counts=("__n_lines", "__n_removed"))
+    """Runs of lines that an earlier document has are cut out; a document that consisted of them alone goes."""
+    out = line_dedup.deduplicate(docs, counts=("__n_lines", "__n_removed"), windows=True)
     cut = F.col("__n_removed") > 0
     kept = out.where(~cut | (F.length(F.trim("text")) > 0))
     return kept.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)

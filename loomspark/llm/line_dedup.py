@@ -6,6 +6,13 @@ moves no boundary beyond them.  Chunks of several lines which occur more than on
 their hashes, compared byte by byte (they are grouped by their text), and removed but for the first occurrence:
 the one of the smallest id, then of the first line.
 
+Chunks alone lose most repeats: a passage without a whole chunk of its own, and a single long line.  ``windows=True``
+(the queries) tests, besides the chunks, every window of two neighbouring lines that has a visible character, which
+extends a match line by line to both its ends, and every single line of ``words`` words (separated by white space) or
+more.  A line goes if any of those that hold it repeats an earlier one; one which overlaps its own first occurrence does
+not count, and of three or more blank lines in a row the inner ones may stay.  Every line has an earlier equal one that
+stays.
+
 Texts are cut once to count the hashes of chunks; the text of a chunk only moves if its hash occurs twice.
 
 Defined cases: a null text stays null and has no lines; an empty text is one empty line; blank chunks (no
@@ -52,17 +59,60 @@ def repeats(docs: DataFrame, modulus: int = 3, least: int = 2, text: str = "text
     found = chunks(docs, modulus, text, id_col).where((F.col("n") >= least) & F.col("body").rlike(r"\S"))
     hashed = found.withColumn("h", F.xxhash64("body"))
     twice = hashed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    same = common.written(hashed.join(twice, "h", "left_semi"), "chunks")
+    return _later(common.written(hashed.join(twice, "h", "left_semi"), "chunks")).select("key", "first", "n").distinct()
+
+
+def _later(same: DataFrame) -> DataFrame:
+    """The rows of ``same`` (h, key, id, first, n, body) whose body occurs earlier, compared byte by byte."""
     first = same.groupBy("h", "body").agg(F.min(F.struct("id", "first", "key")).alias("f"), F.count("*").alias("times")).where("times > 1")
     joined = same.join(first.select("h", F.col("body").alias("other"), "f"), "h").where(F.col("body") == F.col("other"))
-    return joined.where((F.col("f.key") != F.col("key")) | (F.col("f.first") != F.col("first"))).select("key", "first", "n").distinct()
+    return joined.where((F.col("f.key") != F.col("key")) | (F.col("f.first") != F.col("first")))
 
 
-def deduplicate(docs: DataFrame, modulus: int = 3, least: int = 2, text: str = "text", id_col: str = "doc_id", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
-    """``docs`` with the repeated chunks taken out of ``text``, and the columns ``counts``: lines, and lines removed.
-    They take the place of columns of those names."""
+def spots(docs: DataFrame, modulus: int, least: int, words: int, text: str, id_col: str) -> DataFrame:
+    """h, key, first, n of all that is tested: chunks, windows of two lines, and long lines."""
+    cut = docs.where(F.col(text).isNotNull()).select(common.row_key(text, id_col).alias("key"), F.col(text).alias("text"))
+    cut = common.held(cut, "lines", lines_of("text")).drop("text")
+    pair = lambda i: F.struct(i.alias("first"), F.element_at("lines", i).alias("a"), F.get("lines", i).alias("b"))
+    at = cut.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines")), pair)).alias("p")).select("key", "p.*")
+    spot = lambda n, *of: F.struct(F.xxhash64(F.lit(n), *of).alias("h"), F.lit(n).alias("n"))
+    two = F.when(F.col("b").isNotNull() & (F.col("a").rlike(r"\S") | F.col("b").rlike(r"\S")), spot(2, F.col("a"), F.col("b")))
+    one = F.when((F.length("a") >= 2 * words - 1) & (F.size(F.regexp_extract_all("a", F.lit(r"\S+"), F.lit(0))) >= words), spot(1, F.col("a")))
+    found = at.select("key", "first", F.explode(F.array_compact(F.array(two, one))).alias("s")).select("s.h", "key", "first", "s.n")
+    whole = chunks(docs, modulus, text, id_col).where((F.col("n") >= max(least, 3)) & F.col("body").rlike(r"\S"))  # shorter ones are windows
+    return found.unionByName(whole.select(F.xxhash64("n", "body").alias("h"), "key", "first", "n"))
+
+
+def runs(docs: DataFrame, modulus: int = 3, least: int = 2, words: int = 50, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """key, first, n: chunks, windows of two lines and lines of at least ``words`` words that repeat an earlier one.
+    Hashes are counted without their text; texts move once, to the spots whose hash occurs twice."""
+    tested = common.written(spots(docs, modulus, least, words, text, id_col), "spots")
+    twice = tested.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    wanted = tested.join(twice, "h", "left_semi").groupBy("key").agg(F.collect_set(F.struct("h", "first", "n")).alias("s"))
+    texts = docs.where(F.col(text).isNotNull()).select(common.row_key(text, id_col).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    texts = common.held(texts.join(wanted, "key"), "lines", lines_of("text")).select("key", "id", "lines", F.explode("s").alias("s"))
+    same = texts.select("s.h", "key", "id", "s.first", "s.n", F.array_join(_between(F.col("lines"), F.col("s.first"), F.col("s.first") + F.col("s.n")), "\n").alias("body"))
+    later = _later(common.written(same, "runs"))
+    apart = (F.col("f.key") != F.col("key")) | (F.col("first") >= F.col("f.first") + F.col("n"))
+    return later.where(apart).select("key", "first", "n").distinct()
+
+
+def _stretches(found: DataFrame) -> DataFrame:
+    """key and __out: the lines of all spans of a key as (first, n) that neither touch nor overlap, in order."""
+    lines = found.select("key", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i"))
+    by = common.held(lines.groupBy("key").agg(F.collect_set("i").alias("i")), "l", F.array_sort("i"))
+    edge = lambda step: F.filter("l", lambda x, i: F.coalesce(F.get("l", i + step) != x + step, F.lit(True)))
+    return by.select("key", F.transform(F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b")), lambda z: F.struct(z["a"].alias("first"), (z["b"] - z["a"] + 1).alias("n"))).alias("__out"))
+
+
+def deduplicate(docs: DataFrame, modulus: int = 3, least: int = 2, text: str = "text", id_col: str = "doc_id", counts: tuple[str, str] = ("n_lines", "n_removed"), windows: bool = False, words: int = 50) -> DataFrame:
+    """``docs`` with the repeated chunks (``windows``: and windows of two lines, and lines of ``words`` words) taken out
+    of ``text``, and the columns ``counts``: lines, and lines removed.  They take the place of columns of those names."""
     common.tidy(common.session_of(docs))
-    out = repeats(docs, modulus, least, text, id_col).groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("__out"))
+    if windows:
+        out = _stretches(runs(docs, modulus, least, words, text, id_col)).withColumnRenamed("key", "__key")
+    else:
+        out = repeats(docs, modulus, least, text, id_col).groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("__out"))
     rows = docs.withColumn("__key", common.row_key(text, id_col)).join(out, "__key", "left")
     rows = common.held(rows, "__all", lines_of(text))
     lines = F.col("__all")

@@ -69,3 +69,56 @@ def test_clashing_names_and_empty_tables(spark):
     out = line_dedup.deduplicate(docs)
     assert out.columns == [*docs.columns] and out.count() == docs.count()
     assert line_dedup.deduplicate(docs.limit(0)).count() == 0
+
+
+def brute_runs(rows, words=50):
+    """Numbers of the lines in runs of two lines or more, or in single lines of ``words`` words, that an earlier
+    place has, by comparing all pairs of places; knows nothing of chunks or hashes."""
+    docs = sorted({((i is not None, i or 0), t) for i, t in rows if t is not None})
+    places = [(k, n, d, t.split("\n")) for d, (k, t) in enumerate(docs) for n in range(len(t.split("\n")))]
+    gone = defaultdict(set)
+    for k, n, d, lines in places:
+        for k2, n2, d2, other in places:
+            if (k2, n2) >= (k, n):
+                continue
+            length = 0
+            while n + length < len(lines) and n2 + length < len(other) and lines[n + length] == other[n2 + length] and (d != d2 or n2 + length < n):
+                length += 1
+            if length >= 2 and any(map(str.strip, lines[n : n + length])) or length == 1 and len(lines[n].split()) >= words:
+                gone[docs[d]] |= set(range(n, n + length))
+    return {(k, t): (t, gone[k, t]) for k, t in docs}
+
+
+def test_windows_same_as_all_pairs(spark):
+    long = " ".join(f"long{i}" for i in range(50))
+    passage = "first of it\nsecond of it\nthird of it"
+    made = [f"a\n{passage}\nb", f"c\n{passage}\nd", "e\nsecond of it\nthird of it\nf", f"g\n{long}\nh", f"i\n{long}\nj", f"{long} more\nk", long.rsplit(" ", 1)[0] + "\nl", "m\nm\nm\nm\nm", "n\n\no\n\np", "q\n\no\n\nr", " \n\n \ns", " \n\n \nt", "third of it\nfirst of it"]
+    rows = [(i, t) for i, t in enumerate(made)] + [(100 + r[0] if r[0] is not None else None, r[1]) for r in data.rows()]
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), windows=True).collect()
+    assert len(got) == len(rows)
+    want = brute_runs(rows)
+    whole = defaultdict(list)
+    for i, t in rows:
+        whole[i].append(t)
+    for r in got:
+        t = whole[r.doc_id][0]
+        if t is None:
+            assert r.text is None
+            continue
+        gone = want[(r.doc_id is not None, r.doc_id or 0), t][1]
+        kept = [x for n, x in enumerate(t.split("\n")) if n not in gone]
+        assert [x for x in r.text.split("\n") if x.strip()] == [x for x in kept if x.strip()]
+        assert r.n_lines == t.count("\n") + 1 and len(kept) == r.n_lines - r.n_removed
+    by = {r.doc_id: r.text for r in got}
+    assert by[1] == "c\nd" and by[2] == "e\nf" and by[4] == "i\nj" and by[12] == made[12] and by[7] == "m\nm"
+
+
+def test_queries_use_windows(spark, tmp_path):
+    import corpus_pipeline
+    from loomspark.llm import queries
+
+    rows = [(i, f"alone {i}\n{' '.join(['word'] * 60)}\nend {i}", "en", "s", 400) for i in range(2)]
+    docs = spark.createDataFrame(rows, data.SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id, r.n_removed) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()) == [(0, 0), (1, 1)]
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}[1] == "alone 1\nend 1"
