@@ -1,12 +1,17 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a text is a candidate notice, and a licence file (by its name) is one as a whole.  Terms are runs of
-ASCII letters and digits, lower-cased; the weight of a term in a notice is its count times ln((N + 1) / (df + 1)) + 1,
-with N the number of texts and df the number of texts that hold the term, over the whole table.  Terms that no
-template has get the weight of df = 0.  A notice takes the template of the largest cosine if that is ``least`` or more.
+Candidate notices of a text are its lines, windows of two and three neighbouring lines, its sentences (across lines),
+and the windows of as many terms as a template has that hold one of its rare terms, so that a notice is found where it
+is wrapped, or stands within a line that says more.  The whole text and its first terms, as many as the template has,
+are held against full licence texts (``licence_texts``; the one of AGPL-3.0 is made from that of
+GPL-3.0).  A licence file (by its name) is held against the short notices as a whole, too.
 
-Only the lines which can reach ``least`` are weighed: those with one of the heaviest terms of a template, as many as
-leave the rest of the template a norm below ``least`` of the whole.  That bound is exact.
+Terms are runs of ASCII letters and digits, lower-cased; the weight of a term in a notice is its count times
+ln((N + 1) / (df + 1)) + 1, with N the number of texts and df the number of texts that hold the term, over the whole
+table and for all terms.  A text takes the template of the largest cosine if that is ``least`` or more.
+
+Only the candidates which can reach ``least`` are weighed: those with one of some terms of a template, as many as
+leave the rest of the template a norm below ``least`` of the whole.  That bound is exact: other terms only lower a cosine.
 
 A file without a notice of its own inherits from the nearest directory above it that has one: the directory's
 licence is that of its licence files or else of its licensed files, the smallest path first.  Directories are
@@ -20,6 +25,8 @@ give one result each; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +49,8 @@ TEMPLATES = {
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 TERM = r"[a-z0-9]+"
+#: Ends of sentences: a stop and a capital after it ("v. 2.0" goes on), or a blank line.
+SENTENCE = r"(?<=[.!?])\s+(?=\p{Lu})|\n\s*\n"
 SALTS = 64
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
 
@@ -51,19 +60,28 @@ def terms_of(text: Column) -> Column:
 
 
 def _terms(text: str) -> list[str]:
-    import re
-
     return re.findall(TERM, text.lower())
 
 
-def weights(files: DataFrame, templates: dict[str, str], text: str) -> tuple[dict[str, float], float]:
-    """Weight of each template term from its document frequency, and that of a term never seen."""
-    vocabulary = sorted({t for x in templates.values() for t in _terms(x)})
-    found = files.select(F.array_intersect(terms_of(F.col(text)), F.array(*map(F.lit, vocabulary))).alias("t"))
+def full_texts() -> dict[str, str]:
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    texts["AGPL-3.0"] = re.sub(r"(?i)\bGNU(\s+)General(\s+)Public(\s+)License", r"GNU Affero\1General\2Public\3License", texts["GPL-3.0"])
+    return texts
+
+
+def frequencies(files: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """term and w, the weight of every term of the table, and the number of texts."""
     n = files.count()
-    df = {r.t: r.n for r in found.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # the terms of the templates at most
-    weight = lambda k: math.log((n + 1) / (k + 1)) + 1
-    return {t: weight(df.get(t, 0)) for t in vocabulary}, weight(0)
+    found = files.select(F.explode(F.array_distinct(terms_of(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return common.written(found.select("term", "df", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("w")), "frequencies"), n
+
+
+def weights(df: DataFrame, n: int, templates: list[str]) -> tuple[dict[str, float], set[str]]:
+    """Weight of each term of the templates, and which of them more than one text in 50 has."""
+    vocabulary = sorted({t for x in templates for t in _terms(x)})
+    terms = F.broadcast(common.session_of(df).createDataFrame([(t,) for t in vocabulary], "term string"))  # a few thousand by their definition
+    found = {r.term: r for r in df.join(terms, "term").collect()}
+    return {t: found[t].w if t in found else math.log(n + 1) + 1 for t in vocabulary}, {t for t, r in found.items() if r.df > n / 50}
 
 
 def template_vectors(templates: dict[str, str], weight: dict[str, float]) -> dict[str, dict[str, float]]:
@@ -77,39 +95,69 @@ def template_vectors(templates: dict[str, str], weight: dict[str, float]) -> dic
     return out
 
 
-def key_terms(vectors: dict[str, dict[str, float]], least: float) -> list[str]:
-    """Terms of which a notice must have one to reach ``least``."""
+def key_terms(vectors: dict[str, dict[str, float]], least: float, common_terms: frozenset[str] | set[str] = frozenset()) -> list[str]:
+    """Terms of which a notice must have one to reach ``least``; the common ones only where the others don't do."""
     keys = set()
     for v in vectors.values():
         rest = 1.0
-        for t, x in sorted(v.items(), key=lambda i: (-i[1], i[0])):
-            if math.sqrt(max(rest, 0.0)) < least:
+        for t, x in sorted(v.items(), key=lambda i: (i[0] in common_terms, -i[1], i[0])):
+            if math.sqrt(max(rest, 0.0)) < least - 1e-9:
                 break
             keys.add(t)
             rest -= x * x
     return sorted(keys)
 
 
+def _pattern(keys: list[str]) -> str:
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(keys) + r")(?![a-z0-9])"
+
+
+def units(files: DataFrame, short: list[str], full: list[str], lengths: list[int], heads: list[int], text: str, path: str) -> DataFrame:
+    """key, kind ('short' or 'full'), line (the order among equal cosines) and terms of the candidates."""
+    keys = F.array(*map(F.lit, short))
+    rows = files.where(F.col(text).rlike(_pattern(sorted({*short, *full})))).select(common.row_key(text, path).alias("key"), F.col(text).alias("text"), F.col(path).rlike(LICENCE_FILE).alias("file")).distinct()
+    rows = common.written(rows, "candidates")
+    noted = common.held(rows.where(F.col("text").rlike(_pattern(short))), "lines", F.split("text", "\n"))
+    numbers = lambda k: F.when(F.size("lines") >= k, F.sequence(F.lit(1), F.size("lines") - k + 1)).otherwise(F.array().cast("array<int>"))
+    near = lambda k: F.transform(numbers(k), lambda i: F.concat_ws(" ", *(F.element_at("lines", i + j) for j in range(k))))
+    whole = F.when(F.col("file"), F.array("text")).otherwise(F.array().cast("array<string>"))
+    texts = noted.select("key", F.posexplode(F.concat("lines", whole, near(2), near(3), F.split("text", SENTENCE))).alias("line", "u")).where(F.col("u").rlike(_pattern(short)))
+    out = texts.select("key", F.lit("short").alias("kind"), F.struct(F.lit(0).alias("a"), F.col("line").cast("long").alias("b")).alias("line"), terms_of(F.col("u")).alias("terms"))
+    # windows of terms around each key term; written as rows of (start, length)
+    words = common.held(noted.select("key", "text"), "all", terms_of(F.col("text"))).drop("text")
+    hits = words.select("key", "all", F.explode(F.filter(F.transform("all", lambda x, i: F.when(x.isin(short), i + 1)), lambda i: i.isNotNull())).alias("at"))
+    sized = hits.select("key", "all", "at", F.explode(F.array(*map(F.lit, lengths))).alias("m"))
+    spans = sized.select("key", "all", "m", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("m") + 1), F.col("at"))).alias("a")).where(F.col("a") + F.col("m") - 1 <= F.size("all"))
+    within = spans.select("key", F.col("a"), F.col("m"), F.slice("all", F.col("a"), F.col("m")).alias("terms")).distinct()
+    out = out.unionByName(within.select("key", F.lit("short").alias("kind"), F.struct(F.lit(1).alias("a"), (F.col("a").cast("long") * 1000 + F.col("m")).alias("b")).alias("line"), "terms"))
+    long = common.held(rows.where(F.col("text").rlike(_pattern(full))).select("key", "text"), "all", terms_of(F.col("text")))
+    tops = F.array(F.size("all"), *(F.least(F.lit(m), F.size("all")) for m in heads))
+    top = long.select("key", "all", F.explode(F.array_distinct(tops)).alias("m"))
+    return out.unionByName(top.select("key", F.lit("full").alias("kind"), F.struct(F.lit(2).alias("a"), F.col("m").cast("long").alias("b")).alias("line"), F.slice("all", F.lit(1), F.col("m")).alias("terms")))
+
+
 def notices(files: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, text: str = "text", path: str = "path") -> DataFrame:
-    """``path``, key, license and score: the best notice of each text that has one."""
+    """``path``, key, license and score: the best notice of each text that has one.  Full licence texts are held beside
+    the templates of the module only."""
+    full = {} if templates else full_texts()
     templates = templates or TEMPLATES
-    weight, unseen = weights(files, templates, text)
-    vectors = template_vectors(templates, weight)
-    pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(key_terms(vectors, least)) + r")(?![a-z0-9])"
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    units = F.when(F.col(path).rlike(LICENCE_FILE), F.concat(lines, F.array(F.coalesce(F.col(text), F.lit(""))))).otherwise(lines)
-    picked = files.select(common.row_key(text, path).alias("key"), F.filter(units, lambda x: x.rlike(pattern)).alias("u")).where(F.size("u") > 0).distinct()
-    at = picked.select("key", F.posexplode("u").alias("line", "u"))
     spark = common.session_of(files)
-    rows = [(name, t, x) for name, v in vectors.items() for t, x in v.items()]
-    templ = F.broadcast(spark.createDataFrame(rows, "license string, term string, tw double"))  # a few hundred rows by their definition
-    known = F.broadcast(spark.createDataFrame(list(weight.items()), "term string, w double"))
-    tf = at.select("key", "line", F.explode(terms_of(F.col("u"))).alias("term")).groupBy("key", "line", "term").agg(F.count("*").alias("tf")).join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("w", F.lit(unseen)))
-    norm = tf.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = tf.join(templ, "term").groupBy("key", "line", "license").agg(F.sum(F.col("x") * F.col("tw")).alias("dot"))
-    score = dot.join(norm, ["key", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= least)
-    best = score.groupBy("key").agg(F.min(F.struct(-F.col("score"), F.col("line"), F.col("license"))).alias("b"))
-    return best.select("key", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score"))
+    df, n = frequencies(files, text)
+    weight, frequent = weights(df, n, [*templates.values(), *full.values()])
+    vectors, wide = template_vectors(templates, weight), template_vectors(full, weight)
+    lengths = sorted({len(_terms(x)) for x in templates.values()})
+    heads = sorted({len(_terms(x)) for x in full.values()})
+    found = units(files, key_terms(vectors, least), key_terms(wide, least, frequent) or key_terms(vectors, least), lengths, heads, text, path)
+    rows = [(kind, name, t, x) for kind, vs in (("short", vectors), ("full", wide)) for name, v in vs.items() for t, x in v.items()]
+    templ = F.broadcast(spark.createDataFrame(rows, "kind string, license string, term string, tw double"))  # some ten thousand rows by their definition
+    one = ["key", "kind", "line"]
+    tf = found.select(*one, F.explode("terms").alias("term")).groupBy(*one, "term").agg(F.count("*").alias("tf"))
+    tf = common.written(tf.join(df.select("term", "w"), "term").withColumn("x", F.col("tf") * F.col("w")), "weighed")
+    norm = tf.groupBy(*one).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dot = tf.join(templ, ["kind", "term"]).groupBy(*one, "license").agg(F.sum(F.col("x") * F.col("tw")).alias("dot"))
+    score = dot.join(norm, one).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= least)
+    best = score.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("line"), F.col("license"))).alias("b"))
+    return best.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def parents(path: Column) -> Column:

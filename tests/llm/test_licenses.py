@@ -74,3 +74,31 @@ def test_same_as_brute_force(spark):
     assert all(a[2] is b[2] or abs(a[2] - b[2]) < 1e-6 for a, b in zip(got, want, strict=True))
     assert {r[3] for r in got} == {"own", "inherited", None}
     assert L.scan(files.limit(0)).count() == 0
+
+
+def test_wrapped_embedded_and_whole_files(spark):
+    full = L.full_texts()
+    found = {
+        "wrap.c": ("/* Licensed under the Apache License,\n * Version 2.0.\n */\nint x;", "Apache-2.0"),
+        "three.c": ("# This work is licensed under\n# the GNU General Public\n# License, version 3.\ncode", "GPL-3.0"),
+        "more.py": ("This file is released under the MIT License, see it for more.", "MIT"),
+        "author.py": ("Copyright (c) 2021 A. Author. Released under the MIT License.", "MIT"),
+        "LICENSE": ("MIT License\n\nCopyright (c) 2021 A. Author\n" + full["MIT"], "MIT"),
+        "head.py": ("# " + full["ISC"].replace("\n", "\n# ") + "\n" + "code of it\n" * 900, "ISC"),
+        "COPYING": (full["GPL-3.0"], "GPL-3.0"),
+        "AGPL/COPYING": (full["AGPL-3.0"], "AGPL-3.0"),
+        "prose.txt": ("the author of this file has a license to drive and sees it for more", None),
+    }
+    rows = [(f"alone/{i}/{p}", t) for i, (p, (t, _)) in enumerate(found.items())]
+    rows += [(f"rest/{i}.txt", " ".join(("see", "for", "file", "the", "this", "it", "more", "of", "a")[: 2 + i % 8]) + f" own{i}") for i in range(100)]
+    got = {r.path: r for r in L.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for i, (p, (_, license)) in enumerate(found.items()):
+        r = got[f"alone/{i}/{p}"]
+        assert (r.license, r.via) == (license, "own" if license else None), (p, r)
+    assert all(r.license is None for p, r in got.items() if p.startswith("rest/"))
+
+
+def test_frequencies_of_all_terms(spark):
+    rows = [(str(i), "see it see" if i % 2 else "other") for i in range(10)]
+    df, n = L.frequencies(spark.createDataFrame(rows, "path string, text string"), "text")
+    assert n == 10 and {r.term: (r.df, round(r.w, 9)) for r in df.collect()} == {t: (5, round(math.log(11 / 6) + 1, 9)) for t in ("see", "it", "other")}
