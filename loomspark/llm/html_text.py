@@ -4,9 +4,15 @@ A page becomes a tree of its block elements.  Elements that are no article by th
 headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are cut off.  Every
 node gets the characters, tags, link characters and link tags below it, and from them its composite density:
 characters a tag, adjusted for links.  The sum of the densities of a node's children decides: the node with the
-largest sum holds the text.  The lowest density on the way from it up to the body is the threshold; a sibling
-on that way with the same tag and class, and a density of at least the threshold, is taken too (an article that is
-split over several containers).  All text of what was taken is returned, block by block.
+largest sum holds the text.  The lowest density on the way from it up to the body is the threshold.  On a page without
+<article> or <main>, every other node that is left and has a density of at least the threshold is taken too (an article
+that is split over several containers); with them, siblings of the same tag and class.  All text of what was taken is
+returned, block by block.
+
+A name cuts an element off if a whole word of its class or id says so ("sidebar", "cookie-notice"), or a part of one
+("site-footer"; not "has-sidebar" or "no-sidebar").  The element that the largest sum lies in stays: with a part always,
+with a whole word if little text is outside it, with a name of comments if it holds a page heading or <main>.  So
+does the header of an article ("entry-header") with its h1.
 
 Defined cases: a null or empty page, and one without text, give an empty string; unclosed and crossing tags are
 repaired as browsers do for blocks; a cut-off tag or comment at the end ends with the page; of nodes with equal
@@ -36,31 +42,44 @@ ROLES = frozenset("navigation banner complementary contentinfo search form dialo
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer footnav comments comment commentlist respond disqus discussion replies reply cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related recommended pagination pager skip toolbar login search form".split())
 #: Names that are no sign of their own on a container of the whole page.
 WRAPPERS = frozenset("html body main article".split())
+COMMENTS = frozenset("comment comments commentlist respond disqus discussion replies reply".split())
+#: Parts that say that a name is about the page, not of the element ("has-sidebar").
+ABOUT = frozenset("has no not with without hide hidden".split())
+#: Parts of names of headers that are not those of an article.
+SITE = frozenset("site page top global blog web main".split())
 WORD = re.compile(r"[a-z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "key", "parent", "parts", "chars", "tags", "links", "linked", "own", "total", "density", "cut")
+    __slots__ = ("tag", "key", "parent", "parts", "chars", "tags", "links", "linked", "own", "total", "density", "cut", "name", "parsed")
 
     def __init__(self, tag: str, key: str, parent: Node | None, cut: bool):
         self.tag, self.key, self.parent, self.cut = tag, key, parent, cut
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.links = self.linked = self.own = 0
         self.total = self.density = 0.0
+        self.name: tuple[int, frozenset[str]] | None = None
+        self.parsed: tuple[int, int, int, int] | None = None
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """Class and id of a tag, and whether they, its role or its visibility say that it is no article."""
-    key, no = [], False
+def _names(attributes: str) -> tuple[str, bool, tuple[int, frozenset[str]] | None]:
+    """Class and id of a tag, whether its role or visibility say that it is no article, and what its names say: 2 (a
+    whole word) or 1 (a part of one), with all parts of such words."""
+    key, no, level, parts = [], False, 0, set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             key.append(value)
             if not NAMES.isdisjoint(WORD.findall(value)):
-                no = True
+                for token in value.split():
+                    found = WORD.findall(token)
+                    if NAMES.isdisjoint(found) or not ABOUT.isdisjoint(found):
+                        continue
+                    level = max(level, 2 if NAMES.issuperset(found) else 1)
+                    parts.update(found)
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             no = True
-    return " ".join(key), no
+    return " ".join(key), no, (level, frozenset(parts)) if level else None
 
 
 def parse(html: str) -> Node:
@@ -119,8 +138,10 @@ def parse(html: str) -> Node:
                 if up.tag in close:
                     node = up.parent
                 up = up.parent
-        key, no = _names(m[4]) if m[4] else ("", False)
+        key, no, name = _names(m[4]) if m[4] else ("", False, None)
         node = _open(node, tag, key, tag in NOT_TEXT or no and tag not in WRAPPERS)
+        if name and not node.cut and tag not in WRAPPERS:
+            node.name = name
     return root
 
 
@@ -156,8 +177,43 @@ def _has(node: Node, tag: str) -> bool:
     return False
 
 
+def _cut_by_name(order: list[Node]) -> bool:
+    """Cut what its name says is no article; ``order`` has been measured with all of it.  Whether anything was cut."""
+    named = [n for n in order if n.name]
+    if not named:
+        return False
+    root, node, way = order[0], max(order, key=lambda n: n.total), set()
+    while node is not None:
+        way.add(id(node))
+        node = node.parent
+    aside, rest = set(), root.chars - root.linked  # text that no name off the way holds
+    for n in order:
+        if n.parent is not None and id(n.parent) in aside:
+            aside.add(id(n))
+        elif n.name and id(n) not in way:
+            aside.add(id(n))
+            rest -= n.chars - n.linked
+    for n in named:
+        level, parts = n.name
+        if id(n) in way:
+            if not COMMENTS.isdisjoint(parts):
+                stays = _has(n, "h1") or _has(n, "main")
+            else:
+                mine = n.chars - n.linked
+                stays = level == 1 or (rest - mine) * 4 < mine
+        else:
+            stays = level == 1 and parts & NAMES == {"header"} and SITE.isdisjoint(parts) and _has(n, "h1")
+        n.cut = not stays
+    return any(n.cut for n in named)
+
+
 def measure(root: Node) -> list[Node]:
     """Sums and densities of all nodes that are left, children before parents."""
+    order = _measure(root)
+    return _measure(root) if _cut_by_name(order) else order
+
+
+def _measure(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -166,7 +222,10 @@ def measure(root: Node) -> list[Node]:
         if node.cut:
             continue
         order.append(node)
-        node.own = node.chars
+        if node.parsed is None:
+            node.parsed = (node.chars, node.tags, node.links, node.linked)
+        node.chars, node.tags, node.links, node.linked = node.parsed
+        node.own, node.density, node.total = node.chars, 0.0, 0.0
         stack += [x for x in reversed(node.parts) if isinstance(x, Node)]
     for node in reversed(order):
         for x in node.parts:
@@ -207,10 +266,16 @@ def select(root: Node) -> list[Node]:
     taken, way = {id(best)}, best
     found = [best]
     while way.parent is not None:
-        for x in way.parent.parts:
-            if isinstance(x, Node) and not x.cut and x is not way and id(x) not in taken and (x.tag, x.key) == (best.tag, best.key) and x.density >= least:
+        stack = [x for x in way.parent.parts if isinstance(x, Node) and x is not way]
+        while stack:
+            x = stack.pop()
+            if x.cut or not x.chars or id(x) in taken:
+                continue
+            if x.density >= least and (up is None or (x.tag, x.key) == (best.tag, best.key)):
                 found.append(x)
                 taken.add(id(x))
+            elif up is None:
+                stack += [y for y in x.parts if isinstance(y, Node)]
         way = way.parent
     place = {id(n): i for i, n in enumerate(order)}
     return sorted(found, key=lambda n: place[id(n)])

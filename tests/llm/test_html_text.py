@@ -46,3 +46,24 @@ def test_defined_cases(spark):
     assert [by[i].text for i in (1, 2, 3, 4, 5, 6, 8)] == ["", "", "x", "plain text", "", "deep text", ""]
     assert by[7].text == TEXT and by[7].n_chars == len(TEXT) and by[None].text == "null id" and by[10].n_chars == 999_999
     assert H.extract(pages.limit(0)).count() == 0
+
+
+LONG = ["The first paragraph of the story is long enough to be read as the text of an article by anyone.", "The second one goes on about the same things, and says a little more about each of them.", "The third one ends the story with a few words that nobody would want to lose from it."]
+
+
+def test_names_of_the_page_are_not_those_of_the_text():
+    text = "".join(f"<p>{x}</p>" for x in LONG)
+    junk = "<div class='site-footer'><p>Copyright of the site and its owners</p></div><div class='sidebar'><p>Words at the side of it</p></div><div class='post-comments'><p>I liked this</p></div>"
+    for start in ("<div class='layout has-sidebar'>", "<div id='page' class='no-sidebar'>", "<div class='layout sidebar-right'>", "<div class='widget'>", "<div id='main-content' class='with-comments'>"):
+        assert H.main_text(f"<body>{start}{text}</div>{junk}</body>") == "\n\n".join(LONG), start
+    for tag in ("article", "div"):
+        assert H.main_text(f"<body><{tag}><div class='entry-header'><h1>The title</h1></div>{text}</{tag}>{junk}</body>") == "\n\n".join(["The title", *LONG])
+    long = "".join(f"<p>A reader says {x}</p>" for x in LONG * 5)
+    assert H.main_text(f"<body><div class='story'>{text}</div><div class='comments'>{long}</div></body>") == "\n\n".join(LONG)
+
+
+def test_articles_split_over_containers():
+    for a, b in (("<div id='lead'>", "<div id='story'>"), ("<div class='post' id='p1'>", "<div class='post' id='p2'>"), ("<section>", "<div class='more'>")):
+        text = "".join(f"<p>{x}</p>" for x in LONG * 2)
+        page = f"<body><div class='nav'><a href='/'>Home</a></div>{a}{text}</{a[1:].split()[0].strip('>')}>{b}{text}{text}</div><ul><li><a href='/a'>one link</a></li><li><a href='/b'>another</a></li></ul></body>"
+        assert H.main_text(page) == "\n\n".join(LONG * 6), a
