@@ -232,6 +232,13 @@ def reconcile(spark: SparkSession, at: str) -> DataFrame:
     return resolve.reconcile(big.where("l_returnflag = 'A'"), big.where("l_returnflag = 'R'"), "l_partkey")
 
 
+@query("select coalesce(a.l_partkey, r.l_partkey) l_partkey, case when r.l_partkey is null then 'left_only' when a.l_partkey is null then 'right_only' else 'matched' end side from (select distinct l_partkey from lineitem where l_returnflag = 'A') a full join (select distinct l_partkey from lineitem where l_returnflag = 'R') r on a.l_partkey = r.l_partkey")
+def reconcile_full(spark: SparkSession, at: str) -> DataFrame:
+    """Over all rows of both flags."""
+    lines = table(spark, at, "lineitem")
+    return resolve.reconcile(lines.where("l_returnflag = 'A'"), lines.where("l_returnflag = 'R'"), "l_partkey")
+
+
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def reference_check(spark: SparkSession, at: str) -> DataFrame:
     return resolve.unattributed(table(spark, at, "documents").select("doc_id"), table(spark, at, "labels"), "doc_id")
@@ -378,11 +385,22 @@ NATIONS_SQL = "(select distinct c_nationkey s, s_nationkey d from lineitem join
  select t.root, e.d, t.depth + 1, list_append(t.way, e.d), list_contains(t.way, e.d) from t join e on e.s = t.node where not t.again and t.depth < 2)
  select root, node, depth, array_to_string(way, '>') path, case when again then 'repeat' when depth = 2 and node in (select s from e) then 'expandable' end stub from t""")
 def obtain_tree(spark: SparkSession, at: str) -> DataFrame:
-    l, o, c, s = (table(spark, at, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    edges = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("c_nationkey").alias("s"), F.col("s_nationkey").alias("d")).distinct()
+    edges = _nation_edges(spark, at)
     return graph.bounded_tree(edges, edges, "s", "d", depth=2)
 
 
+@query()
+def obtain_tree_full(spark: SparkSession, at: str) -> DataFrame:
+    """To the depth of the reference; tests hold it against brute force."""
+    edges = _nation_edges(spark, at)
+    return graph.bounded_tree(edges, edges, "s", "d", depth=4)
+
+
+def _nation_edges(spark: SparkSession, at: str) -> DataFrame:
+    l, o, c, s = (table(spark, at, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("c_nationkey").alias("s"), F.col("s_nationkey").alias("d")).distinct()
+
+
 # ---- search
 
 ALIAS_SQL = f"""(with f as (select p_partkey as id, lower({NAME_SQL}) as name, regexp_split_to_array(lower({NAME_SQL}), '[ _/#]+') p from part),

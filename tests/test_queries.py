@@ -41,3 +41,23 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_obtain_tree_full_same_as_brute_force(spark):
+    at = SF.replace("sf0.01", "sf0.001")
+    con = duckdb.connect()
+    edges = con.execute(f"select distinct c_nationkey, s_nationkey from '{at}/lineitem.parquet' join '{at}/orders.parquet' on l_orderkey = o_orderkey join '{at}/customer.parquet' on o_custkey = c_custkey join '{at}/supplier.parquet' on l_suppkey = s_suppkey").fetchall()
+    to = {}
+    for s, d in edges:
+        to.setdefault(s, []).append(d)
+    want, ways = [], [((s,), False) for s in to]
+    while ways:
+        way, again = ways.pop()
+        depth = len(way) - 1
+        stub = "repeat" if again else "expandable" if depth == 4 and way[-1] in to else None
+        want.append((way[0], way[-1], depth, ">".join(map(str, way)), stub))
+        if not again and depth < 4:
+            ways += [((*way, d), d in way) for d in to.get(way[-1], ())]
+    got = queries.QUERIES["obtain_tree_full"](spark, at).select("root", "node", "depth", "path", "stub")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert {r[2] for r in want} == {0, 1, 2, 3, 4}
