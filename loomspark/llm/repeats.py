@@ -5,8 +5,9 @@ all in some string of ``length`` bytes, so that every such string holds a trigge
 phrase is the stretch of text that the strings of one trigger cover.  The dictionary is the table of distinct
 phrases with their numbers of occurrences; the parse is the sequence of the phrases of each text.
 
-Only the order of suffixes down to ``length`` bytes matters, and of it only which are equal, so the suffix
-arrays of dictionary and parse are combined without the order between unequal ones:
+No suffix array is built, neither of the dictionary nor of the parse, whose order of phrases is not used.  Only which
+suffixes are equal down to ``length`` bytes matters, and equal ones share a trigger, so hashes of the strings of
+``length`` bytes within the phrases of each trigger say the same without a sort of all suffixes:
 
 * a trigger that occurs once: none of its strings starts anywhere else;
 * a phrase that occurs again: all its strings do;
