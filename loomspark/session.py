@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+_RUNS: dict[str, str] = {}
 
 
 def session(name: str = "loomspark", **settings: str) -> SparkSession:
@@ -21,16 +24,44 @@ def session(name: str = "loomspark", **settings: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where the session names none (tests)."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``).  Where the session names none, a temporary one in
+    local mode (tests); on a cluster each machine would have its own, so that is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="loomspark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """One folder in the shared one for all tables of this application; it goes when the program ends, or by ``clear``."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        _RUNS[app] = f"{shared_dir(spark)}/loomspark-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_remove, spark, app)
+    return _RUNS[app]
+
+
+def _remove(spark: SparkSession, app: str) -> None:
+    at = _RUNS.pop(app, None)
+    if at:
+        with contextlib.suppress(Exception):  # the JVM may be gone by now; then the folder stays
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the written tables of this application.  Results that have not been read or saved yet need them."""
+    _remove(spark, spark.sparkContext.applicationId)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: the loss of an executor costs no step that is done."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage with a table in the shared folder: the loss of an executor costs no step that is done, and Spark can
+    drop the shuffle files of the query that made it."""
+    at = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
