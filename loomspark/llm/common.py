@@ -1,14 +1,12 @@
 """Helpers shared by the text operators: row keys, written tables, byte buffers, rolling hashes.
 
-Every operator identifies a row by ``row_key``: the hash of its id and its text.  Two rows that share
+Every operator identifies a row by ``row_key``: 128 bits of its id and its text.  Two rows that share
 both are the same row twice and get the same answer, so no generated id is needed and a task that is run
 again on another executor gives the same keys.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,37 +14,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
+from ..session import written  # noqa: F401
 
 
 def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="loomspark-")
-        spark.sparkContext.setCheckpointDir(at)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back.  Survives the loss of executors, and lets
-    Spark drop the shuffle files of the query that made it."""
-    spark = session_of(df)
-    at = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def tidy(spark: SparkSession) -> None:
-    """Let each finished query drop its shuffle files at once instead of at some later garbage collection, and hand
-    Python as many rows at a time as the operators work on: larger Arrow batches are only held in memory, twice."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    """Two settings of the session, for good, where its user has not chosen them: each finished query drops its shuffle
+    files at once instead of at some later garbage collection, and Python is handed as many rows at a time as the operators
+    work on (larger Arrow batches are only held in memory, twice).  Plans are run after the operators return, so the
+    settings can't be put back by them."""
+    chosen = spark.sparkContext.getConf()
+    for name, value in (("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")):
+        if not chosen.contains(name):
+            spark.conf.set(name, value)
 
 
 def done() -> None:
@@ -55,7 +38,10 @@ def done() -> None:
 
 
 def row_key(text: str = "text", id_col: str = "doc_id") -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text))
+    """16 bytes; the id's length keeps it apart from the text, and a null is no empty text."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    size = F.coalesce(F.length(F.col(id_col).cast("string")), F.lit(-1)).cast("string")
+    return F.unhex(F.md5(F.concat(size, F.lit(":"), name, F.when(F.col(text).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(text))))))
 
 
 def utf8(text: str = "text") -> Column:

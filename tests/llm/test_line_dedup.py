@@ -12,9 +12,10 @@ from . import data
 
 def chunks(text, modulus=3):
     lines, starts = text.split("\n"), []
-    for i, line in enumerate(lines):
-        h = xxhash.xxh64(line.encode(), seed=42).intdigest()
-        h = xxhash.xxh64(lines[max(i - 1, 0)].encode(), seed=h).intdigest()
+    hashes = [xxhash.xxh64(line.encode(), seed=42).intdigest() for line in lines]
+    for i, h in enumerate(hashes):
+        before = hashes[i - 1]
+        h ^= (before << 1 | before >> 63) & ((1 << 64) - 1)
         signed = h - (1 << 64) if h >> 63 else h
         if i == 0 or signed % modulus == 0:
             starts.append(i)
