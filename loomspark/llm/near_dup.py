@@ -17,13 +17,14 @@ Two sets of similarity 0.8 share no band with a probability of about 1 in 80,000
 still found if anything else links them.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; texts of
-fewer words than a shingle have the whole sequence as their one shingle; rows whose text repeats are one class;
-null ids are passed over when the smallest id is taken, and a group of null ids alone gets null; an empty table
-gives an empty result; other columns are ignored.
+fewer words than a shingle have the whole sequence as their one shingle; rows whose set repeats (128 bits of the whole
+set) are one class; null ids are passed over when the smallest id is taken, and a group of null ids alone gets null; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -88,7 +89,7 @@ def estimate(equal: np.ndarray | float, n: int) -> np.ndarray | float:
 
 def sketch(docs: DataFrame, size: int, bands: int, rows: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """key, id, n (set size), cls (of the set; null where empty), bands (array of bucket keys)."""
-    schema = f"key long, id {docs.schema[id_col].dataType.simpleString()}, n long, cls long, bands array<long>"
+    schema = f"key binary, id {docs.schema[id_col].dataType.simpleString()}, n long, cls binary, bands array<long>"
     n = bands * rows
     number = common.mix(np.arange(bands, dtype=np.uint64) + np.uint64(17))
 
@@ -106,11 +107,10 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int, text: str = "text"
                             cls.append(None)
                             keys.append([])
                             continue
-                        sums = np.array([h.sum(dtype=np.uint64), common.mix(h * np.uint64(7)).sum(dtype=np.uint64), len(h)], np.uint64)
-                        cls.append(int(common.signed(common.mix(common.mix(common.mix(sums[:1]) + sums[1:2]) + sums[2:]))[0]))
+                        cls.append(hashlib.blake2b(h, digest_size=16).digest())
                         r = registers(h, n).reshape(bands, rows).astype(np.uint64)
                         keys.append(common.signed(common.mix((common.mix(r + np.uint64(1)) * mult).sum(1, dtype=np.uint64) + number)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size_of, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "id", "n", "cls", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size_of, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "id", "n", "cls", "bands"])
         common.done()
 
     return docs.select(common.row_key(text, id_col).alias("key"), F.col(id_col).alias("id"), common.utf8(text).alias("t")).mapInArrow(run, schema)
@@ -120,15 +120,15 @@ class Links:
     """Union-find over what a block has seen."""
 
     def __init__(self):
-        self.up: dict[int, int] = {}
+        self.up: dict[bytes, bytes] = {}
 
-    def root(self, x: int) -> int:
+    def root(self, x: bytes) -> bytes:
         while (y := self.up.get(x, x)) != x:
             self.up[x] = self.up.get(y, y)
             x = y
         return x
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a: bytes, b: bytes) -> bool:
         a, b = self.root(a), self.root(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
@@ -161,18 +161,18 @@ def _compare(percent: int, centre: bool):
                 at = (cells[i], blocks[i], chunks[i])
                 if at != now:
                     now, left, regs, links = at, [], None, Links()
-                cls, values = int(classes[i]), np.frombuffer(sets[i].tobytes(), np.uint64)
+                cls, values = classes[i], np.frombuffer(sets[i].tobytes(), np.uint64)
                 mark = np.frombuffer(marks[i].tobytes(), np.uint16)
                 if roles[i] == 0:
                     left.append((cls, values, mark))
                     continue
                 if centre:
-                    out.append((int(cells[i]), cls, any(similar(v, values, percent) for c, v, _ in left if c != cls)))
+                    out.append((cells[i], cls, any(similar(v, values, percent) for c, v, _ in left if c != cls)))
                     continue
                 if not left:
                     continue
                 if nears[i]:
-                    links.join(cls, int(cells[i]))  # it is linked with the centre already
+                    links.join(cls, cells[i])  # it is linked with the centre already
                 if regs is None or len(regs) != len(left):
                     regs = np.array([m for _, _, m in left])
                 for j in np.flatnonzero(estimate((regs == mark).sum(1), ESTIMATE) >= margin):
@@ -182,7 +182,7 @@ def _compare(percent: int, centre: bool):
                         out.append((c, cls, True))
             if out:
                 a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.bool_())], names=["a", "b", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.bool_())], names=["a", "b", "near"])
 
     return run
 
@@ -205,7 +205,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str, id_col:
 
     texts = docs.select(common.row_key(text, id_col).alias("key"), common.utf8(text).alias("t"))
     # a row that repeats wholly gives its set twice, which compares the same twice
-    return texts.join(wanted.select("key", "cls"), "key").select("cls", "t").mapInArrow(run, "cls long, regs binary, members binary")
+    return texts.join(wanted.select("key", "cls"), "key").select("cls", "t").mapInArrow(run, "cls binary, regs binary, members binary")
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, text: str, id_col: str) -> DataFrame:
@@ -218,7 +218,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, text: st
     ranked = shared.join(rank, "cls")
     centres = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "cls"))["cls"].alias("cell"))
     cells = common.written(shared.join(centres, "bucket").select("cell", "cls").distinct(), "cells")
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
+    sizes = common.written(cells.groupBy("cell").agg(F.count("*").alias("size")), "sizes")
     wanted = classes.select("key", "cls").join(rank.select("cls"), "cls", "left_semi")
     sets = common.written(full_sets(docs, wanted, size, text, id_col), "sets")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
@@ -232,13 +232,13 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, text: st
     no = F.lit(False).alias("near")
     members = cells.where("cell <> cls").join(sizes, "cell").select("cell", "cls", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"), F.lit(0).alias("chunk"), F.lit(1).alias("role"), no)
     heads = sizes.select("cell", F.col("cell").alias("cls"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("chunk"), F.lit(0).alias("role"), no)
-    seen = common.written(dealt(members.unionByName(heads).join(sets, "cls")).mapInArrow(_compare(percent, True), "a long, b long, near boolean"), "seen")
+    seen = common.written(dealt(members.unionByName(heads).join(sets, "cls")).mapInArrow(_compare(percent, True), "a binary, b binary, near boolean"), "seen")
     apart = seen.where("not near").select(F.col("a").alias("cell"), F.col("b").alias("cls")).join(sizes.where("size > 2"), "cell")
     chunks = F.greatest(F.lit(1), F.ceil(F.col("left") / BLOCK)).cast("int")
     cell_of = apart.groupBy("cell").agg(F.count("*").alias("left"), F.first("size").alias("size"))
     asking = apart.select("cell", "cls", "size").join(cell_of.select("cell", "left"), "cell").select("cell", "cls", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("cls"), chunks).cast("int").alias("chunk"), F.lit(0).alias("role"), no)
     asked = seen.withColumnRenamed("a", "cell").withColumnRenamed("b", "cls").join(cell_of, "cell").select("cell", "cls", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("role"), "near")
-    more = dealt(asking.unionByName(asked).join(sets, "cls")).mapInArrow(_compare(percent, False), "a long, b long, near boolean")
+    more = dealt(asking.unionByName(asked).join(sets, "cls")).mapInArrow(_compare(percent, False), "a binary, b binary, near boolean")
     return common.written(seen.where("near").unionByName(more).select("a", "b"), "links")
 
 
@@ -256,20 +256,35 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 48, rows: int = 7, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """key, id, n_shingles, component_id (smallest id of the group) and kept (the row has that id) for each row."""
+def grouped(docs: DataFrame, size: int, percent: int, bands: int, rows: int, text: str, id_col: str) -> DataFrame:
+    """key, id, n and label (the group of the row; null where its set is empty) of each row."""
     common.tidy(common.session_of(docs))
     made = common.written(sketch(docs, size, bands, rows, text, id_col), "sketch")
     one = made.where("cls is not null").groupBy("cls").agg(F.min("key").alias("key"))
     classes = made.select("key", "cls", "bands").join(one, ["key", "cls"]).dropDuplicates(["cls"])
     label = components(links(docs, classes, size, percent, text, id_col))
-    rows_ = made.select("key", "id", "n", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return made.select("key", "id", "n", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 48, rows: int = 7, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """key, id, n_shingles, component_id (smallest id of the group) and kept (the row has that id) for each row."""
+    rows_ = grouped(docs, size, percent, bands, rows, text, id_col)
     smallest = rows_.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     out = rows_.join(smallest, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select("key", "id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents but for near-duplicates of one with a smaller id."""
-    found = near_duplicates(docs, size, percent, text=text, id_col=id_col).where("not kept").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", common.row_key(text, id_col)).join(found, "__key", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 48, rows: int = 7, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of each group: the one of the smallest id (a null id comes last), then of the smallest key; of rows that
+    repeat wholly one stays, whatever their other columns.  Documents without a set are no group: all of them stay, but for
+    whole repeats."""
+    rows_ = common.written(grouped(docs, size, percent, bands, rows, text, id_col), "groups")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    first = rows_.where("label is not null").groupBy("label").agg(F.min(order).alias("f")).select(F.col("f.key").alias("__key"))
+    kept = first.unionByName(rows_.where("label is null").select(F.col("key").alias("__key")).distinct())
+    stay = docs.withColumn("__key", common.row_key(text, id_col)).join(kept, "__key", "left_semi")
+    twice = common.written(rows_.groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("n")).where("n > 1").select("__key"), "twice")
+    if twice.isEmpty():
+        return stay.select(*docs.columns)
+    again = stay.join(twice, "__key", "left_semi").groupBy("__key").agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return stay.join(twice, "__key", "left_anti").select(*docs.columns).unionByName(again)
