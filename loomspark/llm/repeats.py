@@ -1,22 +1,24 @@
-"""Suffix-array dedup by parsing: bytes covered by a ``length``-byte string that starts anywhere else are removed.
+"""Suffix-array dedup by prefix-free parsing: bytes covered by a ``length``-byte string that starts anywhere else go.
 
 The corpus is parsed with a rolling hash over ``length`` / 2 bytes.  A trigger is a position whose hash is the least of
 all in some string of ``length`` bytes, so that every such string holds a trigger which depends on its bytes alone.  A
 phrase is the stretch of text that the strings of one trigger cover.  The dictionary is the table of distinct
-phrases with their numbers of occurrences; the parse is the sequence of the phrases of each text.
+phrases; the parse is the table of where each of them occurs.
 
-No suffix array is built, neither of the dictionary nor of the parse, whose order of phrases is not used.  Only which
-suffixes are equal down to ``length`` bytes matters, and equal ones share a trigger, so hashes of the strings of
-``length`` bytes within the phrases of each trigger say the same without a sort of all suffixes:
+Positions in corpus order, as far as ``length`` bytes tell them apart, are the suffixes of the dictionary's phrases in
+order, each standing for as many positions as its phrase has in the parse:
 
 * a trigger that occurs once: none of its strings starts anywhere else;
-* a phrase that occurs again: all its strings do;
-* a phrase that occurs once and whose trigger occurs in other phrases too: the suffixes of the phrases of the
-  trigger, one occurrence each, are compared; those with an equal beginning of ``length`` bytes repeat.
-  The phrases of one trigger meet in one task where they are few (``together``), and are compared string by
-  string in a distributed aggregation where they are many.
+* a phrase that occurs again in the parse: all its strings do;
+* a phrase that occurs once and whose trigger has other phrases too: its suffixes are sorted together with theirs.
 
-Hashes: 64 bits for the trigger and 64 independent bits for phrase or string, compared together.
+The suffix array of the dictionary is built in blocks: strings that are equal down to ``length`` bytes share a trigger, so
+the phrases of one trigger meet in one task and are sorted by prefix doubling on their bytes (8, 16, ... ``length``); equal
+ranks at the end are equal strings, byte by byte.  Suffixes that are still equal there are what is sought, so the suffix
+array of the parse, which would put them in order, is not built.  Where a trigger has more than ``together`` phrases,
+its strings are counted by 128 bits of hash in a distributed aggregation instead.
+
+Hashes: 64 bits for the trigger and 64 independent bits for the phrase, compared together.
 
 Defined cases: null and empty texts, and those shorter than ``length``, lose nothing; rows that repeat wholly repeat
 each other's strings; ids play no part but to name rows (null ids too); an empty table gives an empty result.
@@ -38,6 +40,8 @@ from . import common
 from .common import Rolling
 
 TOGETHER = 2000
+#: Bytes of a block of suffixes that are sorted together; a larger group is a block of its own.
+BLOCK = 1 << 15
 
 
 @lru_cache(maxsize=2)
@@ -94,7 +98,7 @@ def parse(docs: DataFrame, length: int, text: str, id_col: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                keys, cols, sizes = batch.column(0).to_numpy(), [], []
+                cols, sizes = [], []
                 with np.errstate(over="ignore"):
                     for i, buf in enumerate(common.binary_views(batch.column(1))):
                         if len(buf) >= length:
@@ -103,10 +107,10 @@ def parse(docs: DataFrame, length: int, text: str, id_col: str) -> DataFrame:
                             cols.append((p.first, p.last, p.trigger, p.phrase, p.again))
                 if cols:
                     a, b, trigger, phrase, again = (np.concatenate(c) for c in zip(*cols, strict=True))
-                    key = np.repeat(keys[[i for i, _ in sizes]], [n for _, n in sizes])
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(common.signed(trigger)), pa.array(common.signed(phrase)), pa.array(again)], names=["key", "a", "b", "trigger", "phrase", "again"])
+                    key = batch.column(0).take(pa.array(np.repeat([i for i, _ in sizes], [n for _, n in sizes])))
+                    yield pa.RecordBatch.from_arrays([key, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(common.signed(trigger)), pa.array(common.signed(phrase)), pa.array(again)], names=["key", "a", "b", "trigger", "phrase", "again"])
 
-    return docs.select(common.row_key(text, id_col).alias("key"), common.utf8(text).alias("t")).mapInArrow(run, "key long, a int, b int, trigger long, phrase long, again boolean")
+    return docs.select(common.row_key(text, id_col).alias("key"), common.utf8(text).alias("t")).mapInArrow(run, "key binary, a int, b int, trigger long, phrase long, again boolean")
 
 
 def _strings(buf: np.ndarray, length: int) -> np.ndarray:
@@ -114,53 +118,82 @@ def _strings(buf: np.ndarray, length: int) -> np.ndarray:
     return r.windows(r.prefix(buf), length)
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Place of each value among the distinct ones, in order, and how many there are."""
+    order = np.argsort(values)
+    found = values[order]
+    place = np.zeros(len(values), np.int64)
+    np.cumsum(found[1:] != found[:-1], out=place[1:])
+    out = np.empty(len(values), np.int64)
+    out[order] = place
+    return out, int(place[-1]) + 1
+
+
+def suffix_ranks(buf: np.ndarray, length: int) -> np.ndarray:
+    """Rank of the suffix at each position by its first ``length`` bytes, as the suffix array has it; equal ones are equal in
+    these bytes.  Prefix doubling; the last step overlaps.  Positions with fewer bytes behind them are left out."""
+    width = min(8, length)
+    first = np.zeros(len(buf) - width + 1, np.uint64)
+    for k in range(width):
+        first = first << np.uint64(8) | buf[k : k + len(first)]
+    rank, kinds = _ranked(first)
+    while 2 * width <= length:
+        rank, kinds = _ranked(rank[:-width] * kinds + rank[width:])
+        width *= 2
+    if width < length:
+        rank, kinds = _ranked(rank[: width - length] * kinds + rank[length - width :])
+    return rank
+
+
 def _compare(length: int):
     """Rows (trigger, key, a, alone, body), sorted by trigger: strings of an ``alone`` phrase that occur again."""
 
     def decide(rows: list[tuple]) -> tuple[list, list, list]:
-        number, found, weight = [], [], []
-        for i, (_, _, _, alone, body) in enumerate(rows):
-            h = _strings(np.frombuffer(body, np.uint8), length)
-            found.append(h)
-            number.append(np.full(len(h), i))
-            weight.append(np.full(len(h), 1 if alone else 2))
-        h, number, weight = np.concatenate(found), np.concatenate(number), np.concatenate(weight)
-        triggers = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-        h = common.mix(h + common.mix(triggers)[number])
-        offset = np.arange(len(h)) - np.repeat(np.cumsum([len(x) for x in found]) - [len(x) for x in found], [len(x) for x in found])
-        _, place = np.unique(h, return_inverse=True)
-        again = np.bincount(place, weights=weight) >= 2
-        hit = again[place] & np.array([r[3] for r in rows])[number]
-        keys, starts = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        key, at = keys[number[hit]], starts[number[hit]] + offset[hit]
-        if not len(key):
+        sizes = np.array([len(r[4]) for r in rows])
+        rank = suffix_ranks(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), length)
+        number = np.repeat(np.arange(len(rows)), sizes - length + 1)  # the strings of each body
+        offset = np.arange(len(number)) - np.repeat(np.cumsum(sizes - length + 1) - (sizes - length + 1), sizes - length + 1)
+        place = rank[(np.cumsum(sizes) - sizes)[number] + offset]
+        alone = np.array([r[3] for r in rows])
+        again = np.bincount(place, weights=np.where(alone, 1, 2)[number]) >= 2
+        hit = again[place] & alone[number]
+        n, at = number[hit], np.array([r[2] for r in rows])[number[hit]] + offset[hit]
+        if not len(n):
             return [], [], []
         # runs of neighbouring strings of one phrase
-        n = number[hit]
         new = np.concatenate([[True], (n[1:] != n[:-1]) | (at[1:] != at[:-1] + 1)])
         begin = np.flatnonzero(new)
         stop = np.concatenate([begin[1:], [len(at)]])
-        return key[begin].tolist(), at[begin].tolist(), (at[stop - 1] + 1).tolist()
+        return [rows[i][1] for i in n[begin]], at[begin].tolist(), (at[stop - 1] + 1).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-
-        def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if rows:
-                with np.errstate(over="ignore"):
-                    k, a, b = decide(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["key", "a", "b"])
-
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            waiting += zip(*cols, strict=True)
-            if len(waiting) > 4000:  # all but the last trigger, which may go on
-                cut = len(waiting)
-                while cut and waiting[cut - 1][0] == waiting[-1][0]:
-                    cut -= 1
-                yield from out(waiting[:cut])
-                waiting = waiting[cut:]
-        yield from out(waiting)
+        block: list[tuple] = []
+        group: list[tuple] = []  # of one trigger, which may go on
+        size = 0
+        for whole in batches:
+            keys, starts, ends = [], [], []
+
+            def decided(rows: list[tuple]) -> None:
+                if rows:
+                    for out, found in zip((keys, starts, ends), decide(rows), strict=True):
+                        out += found
+
+            for row in zip(*(whole.column(i).to_pylist() for i in range(5)), strict=True):
+                if group and group[-1][0] != row[0]:
+                    block += group
+                    group = []
+                    if size > BLOCK:
+                        decided(block)
+                        block, size = [], 0
+                group.append(row)
+                size += len(row[4])
+            if keys:
+                yield _spans(keys, starts, ends)
+        if block or group:
+            yield _spans(*decide(block + group))
+
+    def _spans(keys: list, starts: list, ends: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["key", "a", "b"])
 
     return run
 
@@ -169,10 +202,11 @@ def repeated_strings(docs: DataFrame, length: int = 200, text: str = "text", id_
     """key and spans (array of a, b): the strings starting at a..b-1 start anywhere else, too."""
     parsed = common.written(parse(docs, length, text, id_col), "phrases")
     # triggers that occur once drop out before anything else is counted
-    often = parsed.groupBy("trigger").agg(F.count("*").alias("total"), F.max("again").alias("again")).where("total > 1 or again").select("trigger")
+    # what a join by trigger meets is written first, so that the join of a trigger with very many rows can be split
+    often = common.written(parsed.groupBy("trigger").agg(F.count("*").alias("total"), F.max("again").alias("again")).where("total > 1 or again").select("trigger"), "triggers")
     phrases = common.written(parsed.join(often, "trigger", "left_semi"), "shared-phrases")
     dictionary = common.written(phrases.groupBy("trigger", "phrase").agg(F.count("*").alias("times"), F.min(F.struct("key", "a")).alias("one"), F.max("again").alias("again")), "dictionary")
-    by_trigger = dictionary.groupBy("trigger").agg(F.count("*").alias("kinds"), F.max("again").alias("selfish"))
+    by_trigger = common.written(dictionary.groupBy("trigger").agg(F.count("*").alias("kinds"), F.max("again").alias("selfish")), "kinds")
     verdict = dictionary.join(by_trigger, "trigger").select("trigger", "phrase", "times", "one", "kinds", "selfish").where("times > 1 or kinds > 1 or selfish")
     located = phrases.join(verdict, ["trigger", "phrase"])
     shared = (F.col("kinds") > 1) | F.col("selfish")
@@ -186,7 +220,7 @@ def repeated_strings(docs: DataFrame, length: int = 200, text: str = "text", id_
     bodies = texts.select("key", "t", F.explode("m").alias("m")).select("key", F.col("m.trigger").alias("trigger"), F.col("m.kinds").alias("kinds"), F.col("m.a").alias("a"), (F.col("m.role") == "asks").alias("alone"), F.expr(f"substring(t, m.a + 1, m.b - m.a + {length - 1})").alias("body"))
     bodies = common.written(bodies, "bodies")
     n = int(common.session_of(docs).conf.get("spark.sql.shuffle.partitions"))
-    few = bodies.where(F.col("kinds") <= together).select("trigger", "key", "a", "alone", "body").repartition(n, "trigger").sortWithinPartitions("trigger").mapInArrow(_compare(length), "key long, a int, b int")
+    few = bodies.where(F.col("kinds") <= together).select("trigger", "key", "a", "alone", "body").repartition(n, "trigger").sortWithinPartitions("trigger").mapInArrow(_compare(length), "key binary, a int, b int")
     many = _many(bodies.where(F.col("kinds") > together), length)
     found = few.unionByName(many).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("more"))
     whole = F.transform(F.filter("m", lambda x: x["role"] != "asks"), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
@@ -207,10 +241,11 @@ def _many(bodies: DataFrame, length: int) -> DataFrame:
                 if not sum(sizes):
                     continue
                 take = lambda c, kind: np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(kind), sizes)
+                key = batch.column(1).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
                 offset = np.concatenate([np.arange(x) for x in sizes])
-                yield pa.RecordBatch.from_arrays([pa.array(take(0, np.int64)), pa.array(common.signed(np.concatenate(found))), pa.array(take(1, np.int64)), pa.array((take(2, np.int64) + offset).astype(np.int32)), pa.array(take(3, bool))], names=["trigger", "h", "key", "a", "alone"])
+                yield pa.RecordBatch.from_arrays([pa.array(take(0, np.int64)), pa.array(common.signed(np.concatenate(found))), key, pa.array((take(2, np.int64) + offset).astype(np.int32)), pa.array(take(3, bool))], names=["trigger", "h", "key", "a", "alone"])
 
-    rows = bodies.select("trigger", "key", "a", "alone", "body").mapInArrow(run, "trigger long, h long, key long, a int, alone boolean")
+    rows = bodies.select("trigger", "key", "a", "alone", "body").mapInArrow(run, "trigger long, h long, key binary, a int, alone boolean")
     again = rows.groupBy("trigger", "h").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n")).where("n > 1").select("trigger", "h")
     return rows.where("alone").join(again, ["trigger", "h"]).select("key", "a", (F.col("a") + 1).alias("b"))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from loomspark.llm import repeats
@@ -33,5 +34,15 @@ def test_same_as_comparing_all_strings(spark, seed, length, together):
     assert ordered(map(tuple, got)) == ordered(brute(data.rows(seed), length))
 
 
+@pytest.mark.parametrize("length", [3, 8, 20, 200])
+def test_suffix_ranks(length):
+    r = np.random.RandomState(length)
+    base = r.randint(97, 100, 300, dtype=np.uint8)
+    buf = np.concatenate([base, r.randint(97, 100, 100, dtype=np.uint8), base])
+    strings = [bytes(buf[i : i + length]) for i in range(len(buf) - length + 1)]
+    place = {x: i for i, x in enumerate(sorted(set(strings)))}
+    assert repeats.suffix_ranks(buf, length).tolist() == [place[x] for x in strings]
+
+
 def test_empty_table(spark):
     assert repeats.remove(data.table(spark).limit(0), 200).count() == 0
