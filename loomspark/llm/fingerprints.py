@@ -5,17 +5,18 @@ paragraphs, lane by lane, modulo powers of two.  The order of paragraphs does no
 ``delete`` change a fingerprint without the rest of the text.  A vector has two kinds of lanes:
 
 * 8 lanes modulo 2**64, uniform in the paragraph's digest: these decide equality;
-* 256 lanes modulo 2**16, to which every two-word shingle of the paragraph adds +1 or -1 in one lane (a
+* 256 lanes modulo 2**64, read as signed numbers, to which every two-word shingle of the paragraph adds +1 or -1 in one lane (a
   counting sketch): the inner product of two such parts estimates how many shingles two texts share, so
   that ``likeness`` grades texts which are not equal.
 
 Likeness of a and b: 2<a,b> / (<a,a> + <b,b>) over the sketch lanes, held to 0..1; 1 where both are equal, and
 0 where just one is empty.  A fingerprint is written as hex: the 8 wide lanes, a colon, and the sketch lanes as
-base64 of little-endian 16-bit numbers, compressed.
+base64 of little-endian 64-bit numbers, compressed.
 
-Defined cases: a null text is empty (all lanes 0); rows are taken in the order of (doc_id, text), null ids first,
-so that ties and repeated rows have a defined successor; one row is its own successor; an empty table gives an
-empty result; other columns are ignored.
+Defined cases: a null text is empty (all lanes 0); rows are taken in the order of doc_id (null ids first), then of the
+SHA-256 of the text (a null text's before all), so that ties and repeated rows have a defined successor and the rows of
+one id are spread over many tasks; one row is its own successor; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -101,28 +102,31 @@ class Fingerprint:
     def delete(self, paragraph: bytes) -> Fingerprint:
         return self._change(paragraph, -1)
 
-    def lanes(self) -> np.ndarray:
-        """Sketch lanes as they are after the reduction modulo 2**16, read as signed numbers."""
-        return self.sketch.astype(np.int16).astype(np.int64)
-
     def text(self) -> str:
-        low = zlib.compress(self.sketch.astype("<i2").tobytes(), 1)
+        low = zlib.compress(self.sketch.astype("<i8").tobytes(), 1)
         return self.wide.astype("<u8").tobytes().hex() + ":" + base64.b64encode(low).decode()
 
     @classmethod
     def parse(cls, value: str) -> Fingerprint:
         wide, low = value.split(":")
-        return cls(np.frombuffer(bytes.fromhex(wide), "<u8").astype(np.uint64), np.frombuffer(zlib.decompress(base64.b64decode(low)), "<i2").astype(np.int64))
+        return cls(np.frombuffer(bytes.fromhex(wide), "<u8").astype(np.uint64), np.frombuffer(zlib.decompress(base64.b64decode(low)), "<i8").astype(np.int64))
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> int:
+    """Exact: whole numbers of any size where 64 bits might not hold the sum."""
+    if max(-int(a.min()), int(a.max()), -int(b.min()), int(b.max())) < 1 << 27:
+        return int(a @ b)
+    return sum(x * y for x, y in zip(a.tolist(), b.tolist(), strict=True))
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
     if np.array_equal(a.wide, b.wide):
         return 1.0
-    x, y = a.lanes(), b.lanes()
-    total = int(x @ x) + int(y @ y)
+    x, y = a.sketch, b.sketch
+    total = _dot(x, x) + _dot(y, y)
     if not total:
         return 0.0
-    return float(min(1.0, max(0.0, 2 * int(x @ y) / total)))
+    return float(min(1.0, max(0.0, 2 * _dot(x, y) / total)))
 
 
 def edited(text: str, following: str) -> str:
@@ -197,7 +201,7 @@ def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id
 
     arrow = to_arrow_schema(out)
     n = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("digest", F.sha2("text", 256)).repartitionByRange(n, "id", "digest").sortWithinPartitions("id", "digest").drop("digest")
     made = common.written(dealt.mapInArrow(run, out), "fingerprints")
     names = [F.col("id").alias(id_col), *(F.col(c) for c, _ in OUT)]
     inner = made.where("kind = 0").select(*names)

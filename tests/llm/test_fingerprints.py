@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 from loomspark.llm import fingerprints as P
 
@@ -25,7 +26,8 @@ def test_same_as_one_by_one(spark):
     docs = data.table(spark, extra=True)
     for n in (3, 40):
         got = P.compare_with_next(docs, partitions=n).collect()
-        rows = sorted(((i, t) for i, t, *_ in data.rows()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+        digest = lambda t: hashlib.sha256(t.encode()).hexdigest() if t is not None else ""
+        rows = sorted(((i, t) for i, t, *_ in data.rows()), key=lambda x: (x[0] is not None, x[0] or 0, digest(x[1])))
         want = []
         for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
             t, following = t or "", following or ""
@@ -44,3 +46,49 @@ def test_likeness_tells_edits_from_strangers(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 400")
     a, b = P.compare_with_next(docs).selectExpr("avg(near_edited)", "avg(near_next)").first()
     assert a > b + 0.2
+
+
+def shared(a, b):
+    """Share of the two-word shingles of lines that two texts have in common, from all of them."""
+    def bag(t):
+        out = Counter()
+        for line in t.split("\n"):
+            w = line.split()
+            out.update(zip(w, w[1:], strict=False) if len(w) > 1 else w)
+        return out
+
+    x, y = bag(a), bag(b)
+    square = lambda c: sum(n * n for n in c.values())
+    return 2 * sum(n * y[k] for k, n in x.items()) / ((square(x) + square(y)) or 1)
+
+
+def test_wide_lanes_are_sums_of_digests():
+    text = "one line\n\nanother line\none line"
+    sums = [0] * P.WIDE
+    for p in text.encode().split(b"\n"):
+        raw = hashlib.shake_128(p).digest(8 * P.WIDE)
+        sums = [(s + int.from_bytes(raw[8 * i : 8 * i + 8], "little")) % (1 << 64) for i, s in enumerate(sums)]
+    assert P.Fingerprint.of(text.encode()).text().split(":")[0] == b"".join(s.to_bytes(8, "little") for s in sums).hex()
+
+
+def test_likeness_is_that_of_all_shingles():
+    r = random.Random(3)
+    of = lambda t: P.Fingerprint.of(t.encode())
+    for n in (300, 3000):
+        a = data.words(r, n).split()
+        for change in (0, 20, 100, 250):
+            b = list(a)
+            for i in r.sample(range(n), change * n // 300):
+                b[i] = f"other{i}"
+            x, y = " ".join(a), " ".join(b)
+            assert abs(P.likeness(of(x), of(y)) - shared(x, y)) < 0.2
+    assert P.likeness(of(data.words(r, 900, 10**9)), of(data.words(r, 900, 10**9))) < 0.25
+
+
+def test_lanes_do_not_wrap():
+    of = lambda n: P.Fingerprint.of(("x " * n).encode())
+    for a, b in ((4000, 3000), (40_000, 30_000), (1_000_000, 750_000)):
+        assert abs(P.likeness(of(a), of(b)) - shared("x " * a, "x " * b)) < 1e-6
+        assert P.likeness(P.Fingerprint.parse(of(a).text()), of(b)) == P.likeness(of(a), of(b))
+    big = P.Fingerprint(sketch=P.Fingerprint.of(b"a b c d").sketch << 40)
+    assert P.likeness(big, P.Fingerprint(wide=big.wide + 1, sketch=big.sketch)) == 1.0
