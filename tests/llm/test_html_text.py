@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import html
+import math
+import re
+from html.parser import HTMLParser
+
 from loomspark.llm import html_text as H
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var s = "</p><p>no</p>";</script></head><body>
@@ -62,6 +67,96 @@ def test_names_of_the_page_are_not_those_of_the_text():
     assert H.main_text(f"<body><div class='story'>{text}</div><div class='comments'>{long}</div></body>") == "\n\n".join(LONG)
 
 
+def test_names_are_whole_tokens():
+    text = "".join(f"<p>{x}</p>" for x in LONG)
+    for start in ("<section id='social-history'>", "<div class='related-work'>", "<div class='comment-on-the-text'>"):
+        end = "</" + start[1:].split()[0] + ">"
+        assert H.main_text(f"<body>{start}{text}{end}</body>") == "\n\n".join(LONG), start
+        assert H.main_text(f"<body><article><p>{LONG[0]}</p>{start}{text}{end}</article></body>") == "\n\n".join([LONG[0], *LONG]), start
+    parts = "<p class='share-holder'>of shares</p><h2 id='notice-of-intent'>To all</h2><p id='reply-paris'>Paris replied</p><div class='entry-header'><h1>The title</h1></div>"
+    assert H.main_text(f"<body><article>{text}{parts}</article></body>") == "\n\n".join([*LONG, "of shares", "To all", "Paris replied", "The title"])
+
+
+def test_inline_elements_are_nodes():
+    page = f"<body><article><p>{LONG[0]}</p><p>a <span class='advert'>AD inline</span>b<b hidden>secret</b>c <i style='display: none'>no</i>d</p><p><b>{LONG[1]}<br><p>{LONG[2]}</p></article></body>"
+    assert H.main_text(page) == "\n\n".join([LONG[0], "a bc d", LONG[1], LONG[2]])
+
+
+def test_density_decides_without_names():
+    text = "".join(f"<p>{x}</p>" for x in LONG * 2)
+    links = "<div>" + "".join(f"<a href='/{i}'>a link {i}</a> " for i in range(30)) + "</div>"
+    assert H.main_text(f"<body>{links}<h1>The title</h1>{links}<div>{text}</div>{links}</body>") == "\n\n".join(["The title", *LONG * 2])
+    assert H.main_text(f"<body><form id='aspnet'>{links}<div>{text}</div></form></body>") == "\n\n".join(LONG * 2)
+    assert H.main_text(f"<body><form><p>Your name and a few words</p><input></form><div>{text}</div></body>") == "\n\n".join(LONG * 2)
+    assert H.main_text(f"<body><ul><li><a href='/a'>one link</a></li></ul><div>{LONG[0]}<br><br>{LONG[1]}</div></body>") == f"{LONG[0]} {LONG[1]}"
+    assert H.main_text(f"<body><div>{text}<p>yes</p></div><p>(short)</p><section>{text}</section></body>") == "\n\n".join([*LONG * 2, "yes", "(short)", *LONG * 2])
+
+
+class Strict(HTMLParser):
+    """A tree of well-formed markup with what the paper counts: characters, tags, link characters, link tags."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = self.now = {"tag": "body", "up": None, "text": 0, "below": []}
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        new = {"tag": tag, "up": self.now, "text": 0, "below": []}
+        self.now["below"].append(new)
+        self.now = new
+
+    def handle_endtag(self, tag):
+        self.now = self.now["up"]
+
+    def handle_data(self, text):
+        self.now["text"] += len(text.strip())
+
+
+def counted(n, link=False):
+    link = link or n["tag"] == "a"
+    c, t, lc, lt = n["text"], 0, n["text"] if link else 0, 0
+    for x in n["below"]:
+        a, b, d, e = counted(x, link)
+        c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e + (x["tag"] == "a")
+    n["counts"] = c, t, lc, lt
+    return n["counts"]
+
+
+def test_same_densities_as_counting_each_node():
+    page = "<div><p>some <b>bold</b> words here</p><p>and <a href='/x'>a link</a> too</p></div><ul><li><a href='/y'>menu one</a></li><li><a href='/z'>menu two</a></li></ul><section>text <i>of <u>three</u> levels</i> <em>more</em></section>"
+    strict = Strict(page).root
+    c0, _, l0, _ = counted(strict)
+    flat = []
+
+    def walk(n):
+        c, t, lc, lt = n["counts"]
+        log = math.log(math.log(c / max(c - lc, 1) * lc + l0 / c0 * c + math.e) + 1)
+        flat.append((n["tag"], c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1) + 1) / log))
+        for x in n["below"]:
+            walk(x)
+
+    walk(strict)
+    got = [(n.tag, n.density) for n in H.measure(H.parse(page))]
+    assert [t for t, _ in got] == [t for t, _ in flat]
+    assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, flat, strict=True))
+    for n in H.measure(H.parse(page)):
+        below = [x.density for x in n.parts if isinstance(x, H.Node)]
+        assert n.total >= sum(below) - 1e-9 and (n.own or abs(n.total - sum(below)) < 1e-9)
+
+
+def test_driver_pages(spark):
+    """Each page holds one <article>; its text by plain patterns, without a tree."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    rows = pages.collect()
+    assert len(rows) == len(got) > 100
+    for r in rows:
+        body = re.search(r"(?s)<article>(.*)</article>", r.html)[1]
+        cut = re.split(r"(?i)</?(?:p|h1|div|ul|ol|li|h2|h3|blockquote|table|tr|pre)\b[^>]*>", body.replace("<br>", " "))
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in cut]
+        assert got[r.page_id] == "\n\n".join(x for x in want if x)
+
+
 def test_articles_split_over_containers():
     for a, b in (("<div id='lead'>", "<div id='story'>"), ("<div class='post' id='p1'>", "<div class='post' id='p2'>"), ("<section>", "<div class='more'>")):
         text = "".join(f"<p>{x}</p>" for x in LONG * 2)
