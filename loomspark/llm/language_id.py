@@ -6,8 +6,9 @@ gets, for each language, the sum of the log-probabilities of its words; the scor
 language under equal priors.  Probabilities are learnt by expectation-maximisation over the word counts of a
 sample of labelled rows, bounded by ``train_rows`` for each language.
 
-Words are runs of letters, lower-cased, with the vocabulary's word mark in front; a word of over 32 letters is
-scored in parts of 32.
+Words are runs of letters, lower-cased, with the vocabulary's word mark in front.  All pieces of letters count, whatever
+their length, and words of any length are summed over whole: long ones one by one, in logarithms, as their products would
+leave the range of floating point.
 
 Defined cases: ``und`` with score 0 where the text is null or has no letter, and for every row if nothing can be
 learnt (no labelled row); rows with a null label or id are not learnt from; repeated rows count as often as they
@@ -29,14 +30,17 @@ from pyspark.sql import types as T
 
 from . import common
 
-MARK, LONGEST, PART = "▁", 8, 32
+MARK = "▁"
+#: Letters of the longest word whose probability is multiplied out (FLOOR to this power is a double still); positions of a
+#: longer one that are looked up at a time.
+SHORT, STRETCH = 40, 4096
 FLOOR = 1e-7
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(maxsize=2)
 def pieces_of(path: str) -> tuple[str, ...]:
-    """Pieces of letters, with or without the word mark, lower-cased, of up to LONGEST characters."""
+    """Pieces of letters, with or without the word mark, lower-cased."""
     if path.endswith(".model"):
         import sentencepiece
 
@@ -46,7 +50,7 @@ def pieces_of(path: str) -> tuple[str, ...]:
         from tokenizers import Tokenizer
 
         found = {p.lower().replace("</w>", "") for p in Tokenizer.from_file(path).get_vocab()}
-    return tuple(sorted(p for p in found if 0 < len(p) <= LONGEST and (p == MARK or p.removeprefix(MARK).isalpha())))
+    return tuple(sorted(p for p in found if p and (p == MARK or p.removeprefix(MARK).isalpha())))
 
 
 def _hash(codes: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
@@ -67,6 +71,7 @@ class Pieces:
                     h = _hash(np.array([ord(ch)]), h)
                 keys.append(common.mix(h)[0])
         keys = np.array(keys, np.uint64)
+        self.longest = max(map(len, self.names), default=1)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
 
@@ -94,11 +99,57 @@ def _steps(codes: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, int, np.nda
     m = codes.shape[1]
     for s in range(m):
         h = None
-        for n in range(1, min(LONGEST, m - s) + 1):
+        for n in range(1, min(pieces.longest, m - s) + 1):
             h = _hash(codes[:, s + n - 1], h)
             yield s, n, pieces.find(h)
 
 
+def _stretches(codes: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, np.ndarray]]:
+    """(a, numbers) of a word: the pieces that begin at a, a + 1, ... (rows), by their length (columns)."""
+    m, none = len(codes), len(pieces)
+    for a in range(0, m, STRETCH):
+        size = min(STRETCH, m - a)
+        some = np.concatenate([codes[a : a + size + pieces.longest - 1], np.zeros(pieces.longest, codes.dtype)])
+        h, out = None, np.full((size, pieces.longest), none)
+        for n in range(1, pieces.longest + 1):
+            h = _hash(some[n - 1 : n - 1 + size], h)
+            fits = np.arange(a, a + size) + n <= m
+            out[fits, n - 1] = pieces.find(h)[fits]
+        yield a, out
+
+
+def _log_weights(found: np.ndarray, table: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Log-probabilities (starts x lengths x languages) of pieces; letters have a floor."""
+    return np.concatenate([single[found[:, :1]], table[found[:, 1:]]], axis=1)
+
+
+def _logs(probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(divide="ignore"):
+        return np.log(np.vstack([probs, np.zeros((1, probs.shape[1]))])), np.log(np.vstack([np.maximum(probs, FLOOR), np.full((1, probs.shape[1]), FLOOR)]))
+
+
+def long_forward(codes: np.ndarray, pieces: Pieces, table: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of each beginning of a word (rows) in each language."""
+    top, k = pieces.longest, table.shape[1]
+    out = np.full((len(codes) + 1 + top, k), -np.inf)
+    out[0] = 0
+    for a, found in _stretches(codes, pieces):
+        for s, w in enumerate(_log_weights(found, table, single), a):
+            out[s + 1 : s + 1 + top] = np.logaddexp(out[s + 1 : s + 1 + top], out[s] + w)
+    return out[: len(codes) + 1]
+
+
+def long_backward(codes: np.ndarray, pieces: Pieces, table: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of each end of a word."""
+    top, k = pieces.longest, table.shape[1]
+    out = np.full((len(codes) + 1 + top, k), -np.inf)
+    out[len(codes)] = 0
+    for a, found in reversed(list(_stretches(codes, pieces))):
+        for s, w in reversed(list(enumerate(_log_weights(found, table, single), a))):
+            out[s] = np.logaddexp.reduce(out[s + 1 : s + 1 + top] + w, axis=0)
+    return out[: len(codes) + 1]
+
+
 @dataclass
 class Model:
     vocabulary: str
@@ -113,6 +164,10 @@ class Model:
         out = np.zeros((len(words), k))
         with np.errstate(over="ignore"):
             for at, codes in by_length(words):
+                if codes.shape[1] > SHORT:
+                    for i, one in zip(at, codes, strict=True):
+                        out[i] = long_forward(one, pieces, *_logs(self.probs))[-1]
+                    continue
                 forward = np.zeros((codes.shape[1] + 1, len(at), k))
                 forward[0] = 1
                 for s, n, found in _steps(codes, pieces):
@@ -129,6 +184,16 @@ def expected(words: list[str], langs: np.ndarray, counts: np.ndarray, probs: np.
     with np.errstate(over="ignore"):
         for at, codes in by_length(words):
             m, lang = codes.shape[1], langs[at]
+            if m > SHORT:
+                for one, j, n in zip(codes, lang, counts[at], strict=True):
+                    logs = [x[:, j : j + 1] for x in _logs(probs)]
+                    ahead, behind = long_forward(one, pieces, *logs)[:, 0], long_backward(one, pieces, *logs)[:, 0]
+                    behind = np.concatenate([behind, np.full(pieces.longest, -np.inf)])
+                    for a, found in _stretches(one, pieces):
+                        ends = np.arange(a, a + len(found))[:, None] + np.arange(1, pieces.longest + 1)
+                        share = np.exp(ahead[a : a + len(found), None] + _log_weights(found, *logs)[:, :, 0] + behind[ends] - ahead[-1])
+                        out += np.bincount(found.ravel() * k + j, weights=n * share.ravel(), minlength=len(out))
+                continue
             steps = [(s, n, f, (single if n == 1 else table)[f, lang]) for s, n, f in _steps(codes, pieces)]
             forward, backward = np.zeros((m + 1, len(at))), np.zeros((m + 1, len(at)))
             forward[0], backward[m] = 1, 1
@@ -151,16 +216,6 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), off - off[0]
 
 
-def parts_of(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words cut into parts of PART letters, and the word of each part; empty words have none."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for a in range(0, len(w), PART):
-            parts.append(w[a : a + PART])
-            owner.append(i)
-    return parts, np.array(owner, np.int64)
-
-
 def learn(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", id_col: str = "doc_id", train_rows: int = 1500, rounds: int = 2) -> Model:
     """``train_rows``: about as many rows of each language, chosen by a hash of the id, are learnt from (all where
     there are fewer).  What comes to the driver is the table of languages and of piece probabilities, whose size
@@ -181,10 +236,10 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lan
         for batch in batches:
             names, at, off = words_of(batch.column(0))
             rows = np.repeat(np.array([order[x] for x in batch.column(1).to_pylist()], np.int64), np.diff(off))
-            parts, owner = parts_of(names)
-            n = np.bincount(rows * len(names) + at, minlength=len(langs) * len(names)).reshape(len(langs), -1)[:, owner] if parts else np.zeros((len(langs), 0))
+            n = np.bincount(rows * len(names) + at, minlength=len(langs) * len(names)).reshape(len(langs), len(names))
+            n[:, [i for i, w in enumerate(names) if not w]] = 0  # between two runs of what is no letter
             k, j = np.nonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([parts[x] for x in j], pa.string()), pa.array(k, pa.int32()), pa.array(n[k, j], pa.int64())], names=["w", "k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in j], pa.string()), pa.array(k, pa.int32()), pa.array(n[k, j], pa.int64())], names=["w", "k", "n"])
 
     counted = common.written(sample.select("t", "l").mapInArrow(words, "w string, k int, n long").groupBy("w", "k").agg(F.sum("n").alias("n")), "words")
     probs = np.full((len(pieces), len(langs)), 1.0 / len(pieces))
@@ -197,10 +252,9 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lan
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(k, pa.int32()), pa.array(total[i, k])], names=["p", "k", "x"])
 
     for _ in range(rounds):
-        rows = counted.mapInArrow(expect, "p int, k int, x double").groupBy("p", "k").agg(F.sum("x").alias("x")).collect()
+        sums = counted.mapInArrow(expect, "p int, k int, x double").groupBy("p", "k").agg(F.sum("x").alias("x")).toArrow()
         total = np.full(probs.shape, 0.01)
-        for r in rows:
-            total[r.p, r.k] += r.x
+        total[sums["p"].to_numpy(), sums["k"].to_numpy()] += sums["x"].to_numpy()
         probs = total / total.sum(0)
     return Model(vocabulary, langs, probs)
 
@@ -222,13 +276,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                     known, used, new = {}, 0, found
                 if used + len(new) > len(table):
                     table = np.vstack([table[:used], np.zeros((max(len(new), len(table)), k))])
-                parts, owner = parts_of(new)
-                if parts and k:
-                    scored = model.score(parts, pieces)
-                    for j in range(k):
-                        table[used : used + len(new), j] = np.bincount(owner, weights=scored[:, j], minlength=len(new))
-                else:
-                    table[used : used + len(new)] = 0
+                table[used : used + len(new)] = 0
+                some = [i for i, w in enumerate(new) if w]
+                if some and k:
+                    table[used + np.array(some)] = model.score([new[i] for i in some], pieces)
                 known.update(zip(new, range(used, used + len(new)), strict=True))
                 used += len(new)
                 place = np.array([known[w] for w in found], np.int64)
@@ -262,7 +313,10 @@ def identify(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, vocabulary: str, least: float = 0.5, **options) -> DataFrame:
-    """The documents whose language is recognised: not ``und``, posterior of at least ``least``."""
+    """The documents whose language is recognised: not ``und``, posterior of at least ``least``.  Where nothing can be learnt
+    (no labelled row), no language is rejected: only null texts and those without a letter go."""
     model = learn(docs.where(~held_out()), vocabulary, **options)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     made = predict(docs, model, keep=tuple(docs.columns), names=("__lang", "__score"))
     return made.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)
