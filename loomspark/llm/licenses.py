@@ -48,6 +48,8 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Tags that name a licence; a candidate must have the terms of one and no others.
+TAGS = {f"tag:{name}": f"SPDX-License-Identifier: {name}" for name in TEMPLATES}
 TERM = r"[a-z0-9]+"
 #: Ends of sentences: a stop and a capital after it ("v. 2.0" goes on), or a blank line.
 SENTENCE = r"(?<=[.!?])\s+(?=\p{Lu})|\n\s*\n"
@@ -140,7 +142,7 @@ def notices(files: DataFrame, templates: dict[str, str] | None = None, least: fl
     """``path``, key, license and score: the best notice of each text that has one.  Full licence texts are held beside
     the templates of the module only."""
     full = {} if templates else full_texts()
-    templates = templates or TEMPLATES
+    templates = templates or TEMPLATES | TAGS
     spark = common.session_of(files)
     df, n = frequencies(files, text)
     weight, frequent = weights(df, n, [*templates.values(), *full.values()])
@@ -155,7 +157,9 @@ def notices(files: DataFrame, templates: dict[str, str] | None = None, least: fl
     tf = common.written(tf.join(df.select("term", "w"), "term").withColumn("x", F.col("tf") * F.col("w")), "weighed")
     norm = tf.groupBy(*one).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dot = tf.join(templ, ["kind", "term"]).groupBy(*one, "license").agg(F.sum(F.col("x") * F.col("tw")).alias("dot"))
-    score = dot.join(norm, one).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= least)
+    score = dot.join(norm, one).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
+    tag = F.col("license").startswith("tag:")
+    score = score.where(F.col("score") >= F.when(tag, 1 - 1e-6).otherwise(F.lit(least))).withColumn("license", F.regexp_replace("license", "^tag:", ""))
     best = score.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("line"), F.col("license"))).alias("b"))
     return best.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
@@ -181,6 +185,6 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
     # files of one directory are spread over SALTS tasks, as one may hold a third of them
     nearest = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     home = F.when(F.col("license").isNull() & F.col("path").isNotNull(), F.element_at(parents(F.col("path")), 1))
-    out = rows.withColumn("home", home).withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(nearest, ["home", "salt"], "left")
+    out = rows.withColumn("home", home).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(nearest, ["home", "salt"], "left")
     via = F.when(F.col("license").isNotNull(), F.lit("own")).when(F.col("dir_license").isNotNull(), F.lit("inherited"))
     return out.select(*keep, "path", F.coalesce("license", "dir_license").alias("license"), "score", via.alias("via"), F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("from_dir")).alias("from_path"))

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from . import common
 from .common import Rolling
 
-TOGETHER = 2000
+TOGETHER = 500
 #: Bytes of a block of suffixes that are sorted together; a larger group is a block of its own.
 BLOCK = 1 << 15
 

@@ -1,7 +1,8 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Texts are split at ASCII white space, where the tokenizer's own pre-tokenizer always splits and its
-normaliser joins nothing, so the counts of the parts add up to the count of the text, however long it is.
+Texts are split at ASCII white space where the tokenizer allows it: its pre-tokenizer drops white space, its normaliser
+joins nothing over it and adds nothing to a text, and no added token holds any (``splits_at_spaces`` reads its file).
+Then the counts of the parts add up to the count of the text, however long it is; else whole texts are encoded.
 The library encodes each distinct part of a batch once, in calls balanced by bytes; what comes back is a
 length, kept in a table of bounded size that each Python worker carries from batch to batch.
 
@@ -11,6 +12,7 @@ gives an empty result; other columns are ignored unless named in ``keep``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SPACES = " \t\n\r\x0b\x0c"
 #: Bytes of text in one call of the library; distinct parts kept by a worker between batches.
 CALL_BYTES, KEPT_PARTS = 1 << 18, 600_000
 
@@ -44,6 +47,37 @@ def _tokenizer(path: str):
     return lambda parts: [len(x) for x in batch(parts, add_special_tokens=False)]
 
 
+def splits_at_spaces(path: str) -> bool:
+    """Whether white space never carries nor joins tokens of this vocabulary, so that texts may be cut there."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        return [] if not part else [y for x in part[inner] for y in steps(x, inner)] if part["type"] == "Sequence" else [part]
+
+    def drops(step: dict) -> bool:
+        if step["type"] in ("BertPreTokenizer", "Whitespace", "WhitespaceSplit"):
+            return True
+        # what does not match is removed, and nothing that matches has white space in it
+        pattern = step.get("pattern", {}).get("Regex", "")
+        if step["type"] != "Split" or not step.get("invert") or step.get("behavior") != "Removed" or not pattern:
+            return False
+        import regex
+
+        return not any(regex.search(pattern, a + s + b) and any(set(m.group()) & set(SPACES) for m in regex.finditer(pattern, a + s + b)) for s in SPACES for a in ("", "a", "1", ".", "'", s) for b in ("", "a", "1", ".", s))
+
+    def joins_nothing(step: dict) -> bool:
+        if step["type"] == "Replace":
+            return step["pattern"] == {"Regex": "\\s+"} and step["content"] == " "
+        return step["type"] in ("NFC", "NFD", "Lowercase", "BertNormalizer", "StripAccents")
+
+    pre = steps(made.get("pre_tokenizer"), "pretokenizers")
+    whole = not any(set(t["content"]) & set(SPACES) or t.get("single_word") for t in made.get("added_tokens") or [])
+    return bool(pre) and drops(pre[0]) and all(joins_nothing(x) for x in steps(made.get("normalizer"), "normalizers")) and whole
+
+
 def balanced(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of about ``limit`` bytes each."""
     ends = np.cumsum(sizes)
@@ -75,7 +109,7 @@ class Counter:
             self.known, self.older = {}, self.known
         if new:
             fresh = [parts[i] for i in new]
-            sizes = np.fromiter(map(len, fresh), np.int64, len(fresh)) + 16
+            sizes = pc.binary_length(pa.array(fresh, pa.large_string())).to_numpy() + 16
             got: list[int] = []
             for a, b in balanced(sizes, self.call_bytes):
                 got += self.lengths(fresh[a:b])
@@ -104,10 +138,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", keep: tup
     """``keep`` columns, ``n_bytes`` and ``n_tokens`` of each whole text.
 
     ``vocabulary`` is the path of a tokenizers .json or a sentencepiece .model file, the same on every
-    machine.  A .json is taken to drop white space, as the word-level ones do; for a .model, where white space
-    becomes part of the pieces, whole texts are encoded.
+    machine.  A .model, where white space becomes part of the pieces, encodes whole texts.
     """
-    splits = vocabulary.endswith(".json")
+    splits = splits_at_spaces(vocabulary)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,9 +41,9 @@ def key(r):
     return (r[0] is not None, r[0] or 0)
 
 
-@pytest.mark.parametrize("broadcast", [500_000, 0])
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
 def test_same_as_all_windows(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
     rows = data.rows()
     bench = spark.createDataFrame(items_of(rows), "item_id long, text string")
     got = decontaminate.scan(data.table(spark, extra=True), bench).drop("key")

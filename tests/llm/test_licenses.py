@@ -87,6 +87,11 @@ def test_wrapped_embedded_and_whole_files(spark):
         "head.py": ("# " + full["ISC"].replace("\n", "\n# ") + "\n" + "code of it\n" * 900, "ISC"),
         "COPYING": (full["GPL-3.0"], "GPL-3.0"),
         "AGPL/COPYING": (full["AGPL-3.0"], "AGPL-3.0"),
+        "spdx.rs": ("// SPDX-License-Identifier: MIT\nfn main() {}", "MIT"),
+        "spdx.go": ("// code\n// SPDX-License-Identifier: BSD-3-Clause\npackage x", "BSD-3-Clause"),
+        "other.go": ("// SPDX-License-Identifier: Zlib\npackage x", None),
+        "bsd.txt": ("Copyright 2020 Someone. All rights reserved.\n\n" + full["BSD-3-Clause"], "BSD-3-Clause"),
+        "apache.txt": (full["Apache-2.0"], "Apache-2.0"),
         "prose.txt": ("the author of this file has a license to drive and sees it for more", None),
     }
     rows = [(f"alone/{i}/{p}", t) for i, (p, (t, _)) in enumerate(found.items())]

@@ -48,6 +48,26 @@ def test_counts_as_the_library(spark, docs):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((r.text or "").encode()), n > 2048), (r.doc_id, r.text)
 
 
+def test_where_texts_may_be_split(tmp_path):
+    import json
+
+    assert token_counts.splits_at_spaces(WORD_LEVEL) and not token_counts.splits_at_spaces(PIECES)
+    with open(WORD_LEVEL, encoding="utf-8") as f:
+        made = json.load(f)
+    changes = {
+        "keeps": {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+        "none": {"pre_tokenizer": None},
+        "spaces": {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": " ?\\p{L}+"}, "behavior": "Removed", "invert": True}},
+        "adds": {"normalizer": {"type": "Prepend", "prepend": "x"}},
+        "token": {"added_tokens": [{**made["added_tokens"][0], "content": "two words"}]},
+    }
+    for name, change in changes.items():
+        (at := tmp_path / f"{name}.json").write_text(json.dumps(made | change), encoding="utf-8")
+        assert not token_counts.splits_at_spaces(str(at)), name
+    (at := tmp_path / "bert.json").write_text(json.dumps(made | {"pre_tokenizer": {"type": "BertPreTokenizer"}}), encoding="utf-8")
+    assert token_counts.splits_at_spaces(str(at))
+
+
 def test_counts_of_pieces(spark, docs):
     import sentencepiece
 
