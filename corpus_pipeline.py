@@ -2,6 +2,9 @@
 
 Each stage takes the documents that the one before it kept, decides over all of them, and returns the columns of
 ``documents`` (the last one: ids and digests of its encoding as well).  ``run`` writes each stage and reads it again.
+
+Columns beyond those of ``documents`` pass through all stages but the last.  An empty table gives an empty result at every
+stage.  What a stage does with nulls, ties, repeated rows and very long texts is said below; none cuts a text short.
 """
 
 from __future__ import annotations
@@ -16,12 +19,16 @@ from loomspark.llm import byte_bpe, common, decontaminate, language_id, line_ded
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that is recognised go."""
+    """Documents without a language that is recognised go: null and empty texts, those without a letter, and those whose best
+    language has a posterior below 0.5.  Equal posteriors go to the label that sorts first.  Where no row has a label, none
+    but texts without a letter go.  Rows that repeat are judged alike."""
     return language_id.keep_known(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that an earlier document has are cut out; a document that consisted of them alone goes."""
+    """Runs of lines that an earlier document has are cut out; a document that consisted of them alone goes.  Earlier is the
+    smaller id (null first), then the first line; rows that repeat wholly are one document and keep what is theirs, for the
+    next stage to remove.  A null text stays null (the stage before lets none through)."""
     out = line_dedup.deduplicate(docs, counts=("__n_lines", "__n_removed"), windows=True)
     cut = F.col("__n_removed") > 0
     kept = out.where(~cut | (F.length(F.trim("text")) > 0))
@@ -29,17 +36,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
+    """One row of each group stays: five-word shingles, similarity of 0.8 or more.  It is that of the smallest id (null
+    last), then of the smallest digest; of rows that repeat wholly one stays.  Texts without words are in no group."""
     return near_dup.keep_one(docs, size=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of ten words of the benchmark go."""
+    """Documents with a window of ten words of the benchmark (or with a whole item of fewer words) go.  Null and empty texts
+    have no window and stay; rows that repeat are judged alike; an empty benchmark removes none."""
     return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document and the digest of what they decode to."""
+    """Ids of each document and the digest of what they decode to; a null text counts as empty.  One row for each row."""
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "n_chars"), with_ids=False)
 
 
