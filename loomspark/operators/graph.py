@@ -12,8 +12,9 @@ class CycleError(ValueError):
     """A node that reaches itself where that is no result."""
 
 
-def closure(edges: DataFrame, src: str, dst: str, most: int = 64) -> DataFrame:
-    """src, dst, depth: all that each node reaches, with the fewest steps.  Raises if that takes more than ``most``."""
+def closure(edges: DataFrame, src: str, dst: str, most: int = 64, acyclic: bool = False) -> DataFrame:
+    """src, dst, depth: all that each node reaches, with the fewest steps.  Raises if that takes more than ``most``, and with
+    ``acyclic`` if a node reaches itself."""
     step = edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d")).distinct()
     front = step.select(F.col("__s").alias(src), F.col("__d").alias(dst), F.lit(1).alias("depth"))
     seen = written(front, "closure")
@@ -22,7 +23,7 @@ def closure(edges: DataFrame, src: str, dst: str, most: int = 64) -> DataFrame:
         more = front.join(step, front[dst] == step["__s"]).select(src, F.col("__d").alias(dst)).distinct()
         front = written(more.join(seen.select(src, dst), [src, dst], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if front.isEmpty():
-            return seen
+            return check_acyclic(seen, src, dst) if acyclic else seen
         if depth > most:
             break
         seen = seen.unionByName(front)

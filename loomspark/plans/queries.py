@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
 from ..operators import collections, emit, gate, graph, merge, odds, ordered, resolve, rows, search
 from ..sources.tables import RowQuery, json_field, resolve_titles, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+from . import producers as _producers  # noqa: F401
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
 def part_name() -> Column:
@@ -347,7 +333,7 @@ def _tags(spark: SparkSession, at: str) -> DataFrame:
 
 @query(f"with recursive e as {TAGS_SQL}, t as (select s, d, 1 as depth from e union all select t.s, e.d, t.depth + 1 from t join e on t.d = e.s) select s, d, min(depth) as depth from t group by 1, 2")
 def tag_closure(spark: SparkSession, at: str) -> DataFrame:
-    return graph.closure(_tags(spark, at), "s", "d")
+    return graph.closure(_tags(spark, at), "s", "d", acyclic=True)
 
 
 TURNS_SQL = "(select conv_id * 1000 + turn node, lag(conv_id * 1000 + turn) over (partition by conv_id order by turn) parent, conv_id, role from conversations)"
