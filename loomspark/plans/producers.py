@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, recipes
+from ..operators import graph, loot, recipes
 from ..sources.tables import table
 from .registry import query
 
@@ -77,3 +77,62 @@ def skipped_recipes(spark: SparkSession, at: str) -> DataFrame:
 def recipe_inputs(spark: SparkSession, at: str) -> DataFrame:
     found = recipes.inputs(recipes.producers(recipe_documents(spark, at)), item_tags(spark, at))
     return found.select("recipe_id", "slot", "item", "tag", "count", F.array_join("members", ",").alias("members"))
+
+
+# ---- loot
+
+SILK_DOC = '{"type": "ns:match_tool", "predicate": {"enchantments": [{"enchantments": "ns:silk_touch", "levels": {"min": 1}}]}}'
+METHODS = {"block": "block_drop", "chest": "chest_loot"}
+
+
+def loot_tables(spark: SparkSession, at: str) -> DataFrame:
+    """table and doc: one for each order, one pool of its lines; every fourth line is a container, some are no item."""
+    n, qty = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    shears = F.when(F.col("l_returnflag") == "R", F.lit(', "condition": "shears"')).otherwise("")
+    count = F.when(F.col("l_tax") > 0.04, _text('{"type": "ns:uniform", "min": ', n, ', "max": ', n + 2, "}")).otherwise(n.cast("string"))
+    item = _text('{"type": "ns:item", "name": "ns:p', part, '", "weight": ', qty, ', "modifier": [{"type": "other"}, {"type": "ns:set_count", "count": ', count, "}]", shears, "}")
+    nested = _text('{"type": "ns:alternatives"', shears, ', "children": [{"type": "item", "name": "s', supplier, '", "condition": ', SILK_DOC, '}, {"type": "ns:group", "children": [{"type": "item", "name": "ns:p', part, '", "modifier": {"type": "set_count", "count": {"min": 0, "max": 2}}}]}]}')
+    entry = F.when(n % 4 == 3, nested).when((n % 4 == 2) & (qty > 40), F.lit('{"type": "ns:tag", "name": "x"}')).otherwise(item)
+    pools = table(spark, at, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_tax", entry.alias("e")))), lambda x: x["e"]), ", ").alias("entries"))
+    k = F.col("l_orderkey")
+    rolls = F.when(k % 3 == 0, F.lit('{"type": "ns:uniform", "min": 1, "max": 3}')).when(k % 3 == 1, F.lit("2")).otherwise(F.lit('{"type": "ns:binomial", "n": 3, "p": 0.5}'))
+    gate = F.when(k % 7 == 0, _text(', "condition": {"type": "ns:all_of", "terms": ["ns:rain", "silk"]}')).otherwise("")
+    doc = F.concat(F.lit('{"type": "ns:'), F.when(k % 2 == 0, "block").otherwise("chest"), F.lit('", "pools": [{"rolls": '), rolls, gate, F.lit(', "entries": ['), F.col("entries"), F.lit("]}]}"))
+    family = F.when(k % 11 == 0, "entities").when(k % 2 == 0, "blocks").otherwise("chests")
+    return pools.select(_text("loot/", family, "/", k).alias("table"), doc.alias("doc"))
+
+
+def loot_predicates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("ns:silk", SILK_DOC), ("ns:shears", '{"type": "match_tool", "predicate": {"items": ["ns:shears"]}}'), ("ns:rain", '{"type": "weather"}')], "name string, doc string")
+
+
+LINES_SQL = """(select *, 'loot/' || (case when l_orderkey % 11 = 0 then 'entities' when l_orderkey % 2 = 0 then 'blocks' else 'chests' end) || '/' || l_orderkey "table", row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_tax) - 1 place,
+ cast(l_quantity as int) qty, case when l_linenumber % 4 = 3 then 'nested' when l_linenumber % 4 = 2 and cast(l_quantity as int) > 40 then 'tag' else 'item' end kind,
+ case when l_orderkey % 7 = 0 then 'silk touch' when l_returnflag = 'R' then 'shears' end gate0, case l_orderkey % 3 when 2 then null else 2.0 end r0 from lineitem)"""
+LEAVES_SQL = f"""(with l as (select *, cast(sum(case kind when 'item' then greatest(qty, 1) else 1 end) over (partition by l_orderkey) as double) total from {LINES_SQL}), x as (
+ select "table", l_orderkey, '0.' || place path, 'p' || l_partkey item, l_linenumber count_min, case when l_tax > 0.04 then l_linenumber + 2 else l_linenumber end count_max, gate0 gate, case when l_returnflag <> 'R' and r0 is not null then greatest(qty, 1) / total end chance, r0 from l where kind = 'item'
+ union all select "table", l_orderkey, '0.' || place || '.0', 's' || l_suppkey, 1, 1, coalesce(gate0, 'silk touch'), null, null from l where kind = 'nested'
+ union all select "table", l_orderkey, '0.' || place || '.1.0', 'p' || l_partkey, 1, 2, gate0, null, null from l where kind = 'nested')
+ select "table", l_orderkey, path, item, count_min, count_max, gate, chance, case when chance is not null then r0 end rolls, chance * r0 * (count_min + count_max) / 2 per_attempt from x)"""
+
+
+@query(f'select "table", path, item, count_min, count_max, gate, round(chance, 9) chance, rolls, round(per_attempt, 9) per_attempt from {LEAVES_SQL}')
+def loot_walk(spark: SparkSession, at: str) -> DataFrame:
+    leaves, _ = loot.walk(loot_tables(spark, at), loot_predicates(spark))
+    return leaves.select("table", "path", "item", "count_min", "count_max", "gate", F.round("chance", 9).alias("chance"), "rolls", F.round("per_attempt", 9).alias("per_attempt"))
+
+
+@query(f"""select "table", '0.' || place path, 'tag' entry_type from {LINES_SQL} where kind = 'tag'""")
+def loot_skipped(spark: SparkSession, at: str) -> DataFrame:
+    return loot.walk(loot_tables(spark, at), loot_predicates(spark))[1]
+
+
+@query(f"""select "table" source_id, path, case when l_orderkey % 2 = 0 then 'block_drop' else 'chest_loot' end as method, item as output, count_min as count, case when l_orderkey % 2 = 0 then cast(l_orderkey as varchar) end input, gate note,
+ round(chance, 9) chance, case when chance is not null then count_max end count_max from {LEAVES_SQL} where l_orderkey % 11 <> 0""")
+def extract_loot(spark: SparkSession, at: str) -> DataFrame:
+    """Producers of all tables of the families that are read; that of a block names the block."""
+    tables = loot.readable(loot_tables(spark, at), ["blocks", "chests"], ["entities"], METHODS)
+    leaves = loot.walk(tables, loot_predicates(spark))[0].join(tables.select("table", "method"), "table")
+    block = F.when(F.col("method") == "block_drop", F.element_at(F.split("table", "/"), -1))
+    return leaves.select(F.col("table").alias("source_id"), "path", "method", F.col("item").alias("output"), F.col("count_min").alias("count"), block.alias("input"), F.col("gate").alias("note"), F.round("chance", 9).alias("chance"), F.when(F.col("chance").isNotNull(), F.col("count_max")).alias("count_max"))
