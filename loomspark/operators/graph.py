@@ -86,3 +86,45 @@ def bounded_tree(roots: DataFrame, edges: DataFrame, src: str, dst: str, depth:
     inner = steps.select(F.col("__s").alias("node")).distinct().withColumn("__more", F.lit(True))
     stub = F.when(F.col("again"), "repeat").when((F.col("depth") == depth) & F.col("__more"), "expandable")
     return out.join(inner, "node", "left").select("root", "node", "depth", F.array_join(F.transform("way", lambda x: x.cast("string")), ">").alias("path"), stub.alias("stub"))
+
+
+def producer_tree(roots: DataFrame, producers: DataFrame, inputs: DataFrame, depth: int = 4) -> DataFrame:
+    """root, path, depth, item, tag and stub of all that the roots (column item) are made of.
+
+    ``producers`` has output and producer; ``inputs`` has producer, slot, item and tag (one of the two null).  ``path`` names
+    the producers and slots from the root.  A tag is a leaf; an item on its own way ends it (stub 'repeat'), and a producer
+    all of whose inputs do so is left out; at ``depth`` an item that has producers is cut off (stub 'expandable'), but a root
+    never is.  ``roots`` may have ``way`` (array of items already above), to go on below a stub."""
+    gathered = inputs.groupBy("producer").agg(F.array_sort(F.collect_list(F.struct("slot", "item", "tag"))).alias("inputs"))
+    made = written(producers.select("output", "producer").join(gathered, "producer", "left").select("output", "producer", F.coalesce("inputs", F.array().cast("array<struct<slot:int,item:string,tag:string>>")).alias("inputs")), "producers")
+    way = F.array_union("way", F.array("item")) if "way" in roots.columns else F.array("item")
+    level = written(roots.select(F.col("item").alias("root"), F.lit("").alias("path"), F.lit(0).alias("depth"), "item", F.lit(None).cast("string").alias("tag"), way.alias("way"), F.lit(False).alias("again")).distinct(), "tree")
+    out = level
+    for d in range(1, max(depth, 1) + 1):
+        grown = level.where("tag is null and not again").join(made, F.col("item") == F.col("output")).select("root", "path", "way", "producer", "inputs")
+        kept = grown.where(~((F.size("inputs") > 0) & F.forall("inputs", lambda i: F.coalesce(F.array_contains("way", i["item"]), F.lit(False)))))
+        each = kept.select("root", "path", "way", "producer", F.inline("inputs"))
+        again = F.coalesce(F.array_contains("way", F.col("item")), F.lit(False))
+        path = F.concat_ws("/", F.nullif("path", F.lit("")), F.concat_ws(".", "producer", "slot"))
+        level = written(each.select("root", path.alias("path"), F.lit(d).alias("depth"), "item", "tag", F.when(F.col("item").isNull() | again, F.col("way")).otherwise(F.concat("way", F.array("item"))).alias("way"), again.alias("again")), "tree")
+        out = out.unionByName(level)
+    known = producers.select(F.col("output").alias("item")).distinct().withColumn("__more", F.lit(True))
+    stub = F.when(F.col("again"), "repeat").when((F.col("depth") == max(depth, 1)) & F.col("__more"), "expandable")
+    return out.join(known, "item", "left").select("root", "path", "depth", "item", "tag", stub.alias("stub"), "way")
+
+
+def tree_depths(tree: DataFrame) -> DataFrame:
+    """root, the depth of its tree, and its number of nodes."""
+    return tree.groupBy("root").agg(F.max("depth").alias("depth"), F.count("*").alias("n_nodes"))
+
+
+def truncated(tree: DataFrame, depth: int) -> DataFrame:
+    """The tree cut at a depth: what had more below becomes a stub."""
+    tops = tree.where(F.col("depth") == depth + 1).select("root", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise("").alias("path")).distinct().withColumn("__more", F.lit(True))
+    kept = tree.where(F.col("depth") <= depth).join(tops, ["root", "path"], "left")
+    return kept.select("root", "path", "depth", "item", "tag", F.coalesce("stub", F.when(F.col("__more"), "expandable")).alias("stub"), "way")
+
+
+def expanded(tree: DataFrame, producers: DataFrame, inputs: DataFrame, depth: int = 4) -> DataFrame:
+    """The trees below the stubs that were cut off, each with the items above it as its way; ``root`` is the item of the stub."""
+    return producer_tree(tree.where("stub = 'expandable'").select("item", "way"), producers, inputs, depth)

@@ -136,3 +136,54 @@ def extract_loot(spark: SparkSession, at: str) -> DataFrame:
     leaves = loot.walk(tables, loot_predicates(spark))[0].join(tables.select("table", "method"), "table")
     block = F.when(F.col("method") == "block_drop", F.element_at(F.split("table", "/"), -1))
     return leaves.select(F.col("table").alias("source_id"), "path", "method", F.col("item").alias("output"), F.col("count_min").alias("count"), block.alias("input"), F.col("gate").alias("note"), F.round("chance", 9).alias("chance"), F.when(F.col("chance").isNotNull(), F.col("count_max")).alias("count_max"))
+
+
+# ---- trees of producers
+
+EDGES_SQL = """e as (select 'n' || n_nationkey as output, n_nationkey || '-' || k producer, slot, case when slot < 2 then 'n' || (case slot when 0 then n_nationkey * 3 + k + 1 else n_nationkey * 5 + k * 7 + 2 end) % 25 end item, case when slot = 2 then 't' || k end tag
+ from nation, range(2) a(k), range(3) b(slot) where n_nationkey % 6 <> 5 and not (slot = 2 and n_nationkey % 2 = 0))"""
+
+
+def made_of(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
+    """Producers and inputs: two producers for most nations, of two items and at times a tag."""
+    n, k, slot = F.col("n_nationkey"), F.col("k"), F.col("slot")
+    e = table(spark, at, "nation").where(n % 6 != 5).select(n, F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("producer", _text(n, "-", k)).withColumn("output", _text("n", n))
+    item = F.when(slot == 0, n * 3 + k + 1).otherwise(n * 5 + k * 7 + 2) % 25
+    inputs = e.select("producer", n, "k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("slot")).where((slot < 2) | (n % 2 == 1))
+    return e.select("output", "producer"), inputs.select("producer", "slot", F.when(slot < 2, _text("n", item)).alias("item"), F.when(slot == 2, _text("t", k)).alias("tag"))
+
+
+def _tree_sql(depth: int, roots: str = "select 'n' || n_nationkey as item, ['n' || n_nationkey] as way from nation") -> str:
+    return f"""with recursive {EDGES_SQL}, p as (select output, producer, list(item order by slot) items, bool_or(tag is not null) tagged from e group by all), roots as ({roots}),
+ t as (select item root, '' path, 0 as depth, item, null::varchar tag, way, false again from roots union all
+ select t.root, case t.path when '' then '' else t.path || '/' end || e.producer || '.' || e.slot, t.depth + 1, e.item, e.tag, case when e.item is null or list_contains(t.way, e.item) then t.way else list_append(t.way, e.item) end, coalesce(list_contains(t.way, e.item), false)
+ from t join p on p.output = t.item and t.tag is null and not t.again and t.depth < {depth} and (p.tagged or not list_has_all(t.way, list_filter(p.items, lambda x: x is not null))) join e on e.producer = p.producer),
+ o as (select root, path, depth, item, tag, case when again then 'repeat' when depth = {depth} and item in (select output from e) then 'expandable' end stub from t)"""
+
+
+@query(_tree_sql(4) + " select * from o")
+def producer_tree(spark: SparkSession, at: str) -> DataFrame:
+    roots = table(spark, at, "nation").select(_text("n", F.col("n_nationkey")).alias("item"))
+    return graph.producer_tree(roots, *made_of(spark, at), depth=4).drop("way")
+
+
+@query(_tree_sql(3) + " select root, max(depth) as depth, count(*) n_nodes from o group by 1")
+def tree_depths(spark: SparkSession, at: str) -> DataFrame:
+    roots = table(spark, at, "nation").select(_text("n", F.col("n_nationkey")).alias("item"))
+    return graph.tree_depths(graph.producer_tree(roots, *made_of(spark, at), depth=3))
+
+
+@query(_tree_sql(2) + " select * from o")
+def tree_truncated(spark: SparkSession, at: str) -> DataFrame:
+    """The tree of depth 3 cut at 2 is the tree of depth 2, but that only what has nodes below is a stub there."""
+    roots = table(spark, at, "nation").select(_text("n", F.col("n_nationkey")).alias("item"))
+    made = graph.producer_tree(roots, *made_of(spark, at), depth=3)
+    return graph.truncated(made, 2).drop("way")
+
+
+@query(_tree_sql(2, "select 'n' || (n_nationkey * 3 + k + 1) % 25 as item, ['n' || n_nationkey, 'n' || (n_nationkey * 3 + k + 1) % 25] as way from nation, range(2) a(k) where n_nationkey = 7 and (n_nationkey * 3 + k + 1) % 25 % 6 <> 5") + " select distinct * from o")
+def tree_expanded(spark: SparkSession, at: str) -> DataFrame:
+    """Below the stubs in slot 0 of the tree of depth 1 of one item."""
+    roots = spark.createDataFrame([("n7",)], "item string")
+    tree = graph.producer_tree(roots, *made_of(spark, at), depth=1)
+    return graph.expanded(tree.where("path like '%.0'"), *made_of(spark, at), depth=2).drop("way").distinct()
