@@ -235,7 +235,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, text: st
     seen = common.written(dealt(members.unionByName(heads).join(sets, "cls")).mapInArrow(_compare(percent, True), "a binary, b binary, near boolean"), "seen")
     apart = seen.where("not near").select(F.col("a").alias("cell"), F.col("b").alias("cls")).join(sizes.where("size > 2"), "cell")
     chunks = F.greatest(F.lit(1), F.ceil(F.col("left") / BLOCK)).cast("int")
-    cell_of = apart.groupBy("cell").agg(F.count("*").alias("left"), F.first("size").alias("size"))
+    # what joins by cell meet is written, so that the join of a large cell can be split
+    cell_of = common.written(apart.groupBy("cell").agg(F.count("*").alias("left"), F.first("size").alias("size")), "apart")
     asking = apart.select("cell", "cls", "size").join(cell_of.select("cell", "left"), "cell").select("cell", "cls", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("cls"), chunks).cast("int").alias("chunk"), F.lit(0).alias("role"), no)
     asked = seen.withColumnRenamed("a", "cell").withColumnRenamed("b", "cls").join(cell_of, "cell").select("cell", "cls", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("role"), "near")
     more = dealt(asking.unionByName(asked).join(sets, "cls")).mapInArrow(_compare(percent, False), "a binary, b binary, near boolean")
