@@ -58,6 +58,11 @@ def scope_fill(df: DataFrame, group: Sequence[str], order: Sequence[str], sets:
     return joined.select(*df.columns, F.coalesce("__own", "__carried")["v"].alias(name))
 
 
+def declared(value: Column, order: Sequence[str], unknown: int = 999) -> Column:
+    """Place of a value in a declared order; those that are not in it come last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), value), F.lit(0)) - 1, F.lit(unknown)).cast("int")
+
+
 def mixed_order(value: Column, descending: bool = False) -> list[Column]:
     """Sort keys of a text column: numbers first (a trailing % or s is dropped), then other text, blanks last either way."""
     number = F.regexp_replace(F.regexp_replace(F.trim(value), "%$", ""), "s$", "").try_cast("double")

@@ -56,3 +56,65 @@ def reverse_edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Edges that exist in both directions (loops are left out)."""
     swapped = edges.select(F.col(dst).alias(src), F.col(src).alias(dst))
     return edges.where(F.col(src) != F.col(dst)).join(swapped, [src, dst], "left_semi")
+
+
+def best_of(pairs: DataFrame, by: Sequence[str], value: str, level: str = "level", unique: bool = True) -> DataFrame:
+    """by, level and value of the best level of candidate rows (the smallest; with ``unique``, the smallest that has one distinct
+    value alone).  Null levels are no candidates."""
+    counted = pairs.where(F.col(level).isNotNull()).groupBy(*by, level).agg(F.count_distinct(value).alias("__n"), F.min(value).alias(value))
+    if unique:
+        return counted.where("__n = 1").groupBy(*by).agg(F.min(level).alias(level), F.min_by(value, level).alias(value))
+    best = counted.groupBy(*by).agg(F.min(level).alias(level))
+    return pairs.select(*by, level, value).distinct().join(best, [*by, level])
+
+
+def by_routes(asked: DataFrame, routes: Sequence[tuple[str, Column]], known: DataFrame, name: str = "name") -> DataFrame:
+    """name, route, id, n_ids and tried: the first route (name, key) that ``known`` (key, id) has, how many ids it finds there (an
+    ambiguous one has no id), and the routes tried until then; null keys are no attempt."""
+    keys = [k for _, k in routes]
+    labels = F.array(*(F.lit(r) for r, _ in routes))
+    found = candidates(asked, keys, name).join(known.select("key", "id").distinct(), "key").groupBy(name, "level").agg(F.count_distinct("id").alias("n_ids"), F.min("id").alias("id"))
+    best = found.groupBy(name).agg(F.min(F.struct("level", "n_ids", "id")).alias("b"))
+    tried = F.filter(F.transform(F.array(*(F.struct(F.lit(i).alias("i"), k.isNotNull().alias("some")) for i, k in enumerate(keys))), lambda x: F.when(x["some"] & (x["i"] <= F.coalesce("b.level", F.lit(len(keys)))), F.get(labels, x["i"]))), lambda x: x.isNotNull())
+    out = asked.distinct().join(best, name, "left")
+    return out.select(name, F.get(labels, F.col("b.level")).alias("route"), F.when(F.col("b.n_ids") == 1, F.col("b.id")).alias("id"), F.col("b.n_ids").alias("n_ids"), tried.alias("tried"))
+
+
+def registries_of(rows: DataFrame, key: str, registry: str, rank: str, name: str) -> DataFrame:
+    """key, part, registries and names: the registries of an id in their order.  Where the names in the first one share none with
+    those in the others, the id is two entities: ``part`` 0 is the first registry's, 1 that of the others."""
+    each = rows.groupBy(key, rank, registry).agg(F.array_sort(F.collect_set(name)).alias("__names"))
+    by = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), F.col(registry).alias("registry"), F.col("__names").alias("names")))).alias("r"))
+    first, rest = F.get("r", F.lit(0)), F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0)))
+    other = F.array_sort(F.array_distinct(F.flatten(F.transform(rest, lambda x: x["names"]))))
+    split = (F.size(rest) > 0) & (F.size(first["names"]) > 0) & (F.size(other) > 0) & ~F.arrays_overlap(first["names"], other)
+    whole = F.array(F.struct(F.lit(0).alias("part"), F.col("r").alias("r")))
+    two = F.array(F.struct(F.lit(0).alias("part"), F.array(first).alias("r")), F.struct(F.lit(1).alias("part"), rest.alias("r")))
+    made = by.select(key, F.inline(F.when(split, two).otherwise(whole)))
+    return made.select(key, "part", F.transform("r", lambda x: x["registry"]).alias("registries"), F.array_sort(F.array_distinct(F.flatten(F.transform("r", lambda x: x["names"])))).alias("names"))
+
+
+def parents_by_title(pages: DataFrame, title: str, parent: str, key: str, seq: str) -> DataFrame:
+    """key, title, parent_id and missing: the parent named by a title; of pages of one title the last counts.  ``missing`` is a
+    parent that no page has."""
+    ids = pages.groupBy(F.col(title).alias("__t")).agg(F.max_by(key, seq).alias("parent_id"))
+    return pages.join(ids, F.col(parent) == F.col("__t"), "left").select(key, title, "parent_id", (F.col(parent).isNotNull() & F.col("parent_id").isNull()).alias("missing"))
+
+
+def existence(rows: DataFrame, key: str, checks: Sequence[tuple[str, DataFrame]], otherwise: str) -> DataFrame:
+    """key and class: the first of the checks (label, table with the key) that knows the key."""
+    made, label = rows.select(key).distinct(), F.lit(otherwise)
+    for i, (_, known) in enumerate(checks):
+        made = made.join(known.select(key).distinct().withColumn(f"__{i}", F.lit(True)), key, "left")
+    for i, (name, _) in reversed(list(enumerate(checks))):
+        label = F.when(F.col(f"__{i}"), name).otherwise(label)
+    return made.select(key, label.alias("class"))
+
+
+def sole(memberships: DataFrame, key: str, group: str, at_most: bool = False) -> DataFrame:
+    """key and its one group; raises for keys with several, and unless ``at_most`` for those with none (a null group)."""
+    counted = memberships.groupBy(key).agg(F.count_distinct(group).alias("__n"), F.min(group).alias(group))
+    bad = counted.where("__n > 1" if at_most else "__n <> 1").select(key).orderBy(key).limit(5).collect()  # names for the message
+    if bad:
+        raise ValueError(f"not one {group}: " + ", ".join(str(r[0]) for r in bad))
+    return counted.select(key, group)
