@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import display_lines, strip_markup
+
 TEMPLATE = "array<struct<name:string,args:array<string>,named:map<string,string>>>"
 CELLS = "array<struct<row:int,col:int,text:string,header:boolean>>"
 _TOKEN = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
@@ -67,11 +71,68 @@ def grid(text: str) -> list[dict]:
     return sorted(cells, key=lambda c: (c["row"], c["col"]))
 
 
+class TableError(ValueError):
+    """A table whose cells collide or leave holes."""
+
+
+def checked(cells: list[dict]) -> list[dict]:
+    """The cells, or TableError where two share a place or a row is shorter than another."""
+    places = [(c["row"], c["col"]) for c in cells]
+    if len(set(places)) < len(places):
+        raise TableError("two cells in one place")
+    widths: dict[int, int] = {}
+    for row, _ in places:
+        widths[row] = widths.get(row, 0) + 1
+    if len(set(widths.values())) > 1:
+        raise TableError("rows of different lengths")
+    return cells
+
+
+def _find_templates(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else templates(t))
+
+
+def _table_cells(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else grid(t))
+
+
+def _checked_cells(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else checked(grid(t)))
+
+
+def _unescape(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else html.unescape(t))
+
+
 def find_templates(text: Column) -> Column:
-    udf = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else templates(t)), TEMPLATE, F.PandasUDFType.SCALAR)
-    return udf(text)
+    return F.pandas_udf(_find_templates, TEMPLATE)(text)
+
+
+def table_cells(text: Column, strict: bool = False) -> Column:
+    """Cells of the first table; ``strict`` raises where they collide or leave holes."""
+    return F.pandas_udf(_checked_cells if strict else _table_cells, CELLS)(text)
+
+
+def unescape_all(text: Column) -> Column:
+    """All character references, numbered ones too, where ``text.unescape`` knows the common ones."""
+    return F.pandas_udf(_unescape, "string")(text)
+
+
+def field_lines(text: Column) -> Column:
+    """label and value of each line of an infobox field: "Label: value", markup taken out, templates kept; no colon, no label."""
+    shape = r"^(?:([^:{}]+):\s*)?(.*)$"
+    part = lambda x, i: F.regexp_extract(strip_markup(x), shape, i)
+    made = F.transform(display_lines(text), lambda x: F.struct(F.nullif(part(x, 1), F.lit("")).alias("label"), part(x, 2).alias("value")))
+    return F.filter(made, lambda f: f["value"] != "")
+
+
+def points(value: Column) -> Column:
+    """Numbers of ``{{hp|20}}`` and of ``{{hp|4|8}}`` (the last one counts), as doubles."""
+    calls = F.regexp_extract_all(value, F.lit(r"\{\{hp\|([^{}]*)\}\}"), F.lit(1))
+    return F.filter(F.transform(calls, lambda c: F.element_at(F.split(c, "\\|"), -1).try_cast("double")), lambda x: x.isNotNull())
 
 
-def table_cells(text: Column) -> Column:
-    udf = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else grid(t)), CELLS, F.PandasUDFType.SCALAR)
-    return udf(text)
+def sizes(value: Column) -> Column:
+    """height and width in "Height: 1.95 blocks ... Width: 0.6 blocks"."""
+    of = lambda name: F.regexp_extract(value, rf"(?i){name}:\s*([0-9.]+)", 1).try_cast("double")
+    return F.struct(of("height").alias("height"), of("width").alias("width"))

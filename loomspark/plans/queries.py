@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import markup, text
+from ..functions import text
 from ..operators import collections, emit, gate, graph, merge, odds, ordered, resolve, rows, search
 from ..sources.tables import RowQuery, json_field, resolve_titles, table
-from . import names as _names, producers as _producers  # noqa: F401
+from . import markup as _markup, names as _names, producers as _producers  # noqa: F401
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -121,12 +121,12 @@ STRIP = rf"trim(regexp_replace({STRIP}, '[ \t\n\r\f]+', ' ', 'g'))"
 
 
 @query(f"select page_id, {STRIP} text from pages")
-def strip_markup(spark: SparkSession, at: str) -> DataFrame:
+def strip_tags(spark: SparkSession, at: str) -> DataFrame:
     return table(spark, at, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
 
 
 @query("select page_id, unnest(range(0, len(h))) place, unnest(h) href from (select page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) h from pages)")
-def wiki_links(spark: SparkSession, at: str) -> DataFrame:
+def page_links(spark: SparkSession, at: str) -> DataFrame:
     return table(spark, at, "pages").select("page_id", F.posexplode(text.hrefs(F.col("html"))).alias("place", "href"))
 
 
@@ -151,14 +151,6 @@ def recipe_grid(spark: SparkSession, at: str) -> DataFrame:
     return rows.trimmed(rows.grid_cells(shaped, "pattern", ["p_partkey"]), ["p_partkey"])
 
 
-@query()
-def template_fields(spark: SparkSession, at: str) -> DataFrame:
-    """Templates around each part's fields, with nested ones and links inside."""
-    wiki = F.concat(F.lit("text {{Item|[[a|"), "p_name", F.lit("]]|size = "), F.col("p_size").cast("string"), F.lit("|{{in|x}} y}} end"))
-    made = table(spark, at, "part").select("p_partkey", F.explode(markup.find_templates(wiki)).alias("t"))
-    return made.select("p_partkey", "t.name", F.array_join("t.args", ";").alias("args"), F.col("t.named")["size"].alias("size"))
-
-
 @query("select 'k' || n_nationkey title, case when n_nationkey + 3 < 25 and n_nationkey % 5 < 2 then 'k' || (case when (n_nationkey + 1) % 5 < 2 and n_nationkey % 5 = 0 then n_nationkey + 2 else n_nationkey + 1 end) when n_nationkey % 5 < 2 then 'k' || (case when n_nationkey % 5 = 0 then n_nationkey + 2 else n_nationkey + 1 end) else 'k' || n_nationkey end final from nation")
 def title_rewrites(spark: SparkSession, at: str) -> DataFrame:
     n = table(spark, at, "nation")
