@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import collections, emit, gate, graph, merge, odds, ordered, resolve, rows, search
 from ..sources.tables import RowQuery, json_field, resolve_titles, table
-from . import markup as _markup, names as _names, producers as _producers  # noqa: F401
+from . import gates as _gates, markup as _markup, names as _names, producers as _producers, worlds as _worlds  # noqa: F401
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 

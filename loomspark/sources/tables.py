@@ -119,3 +119,74 @@ def verified(files: DataFrame, digests: DataFrame) -> DataFrame:
 
 def has_signature(content: Column, signature: bytes) -> Column:
     return F.substring(content, 1, len(signature)) == F.lit(bytearray(signature))
+
+
+class AnswerError(ValueError):
+    """An answer that is not one of rows."""
+
+
+def answer_rows(answers: DataFrame, schema: str, payload: str = "payload", source: str = "source") -> DataFrame:
+    """source, place and the fields of each row of the answers ({"rows": [...]}); a field that is left out is null.  Raises for an
+    answer with an error or without rows, which is no empty table."""
+    made = answers.select(source, F.from_json(payload, f"error string, rows array<struct<{schema}>>").alias("a"))
+    bad = made.where(F.col("a.error").isNotNull() | F.col("a.rows").isNull()).select(source, "a.error").orderBy(source).limit(5).collect()  # names for the message
+    if bad:
+        raise AnswerError("; ".join(f"{r[0]}: {r[1] or 'no rows'}" for r in bad))
+    return made.select(source, F.posexplode("a.rows").alias("place", "r")).select(source, "place", "r.*")
+
+
+def joined_back(asked: DataFrame, rewrites: DataFrame, answers: DataFrame, hops: int = 4) -> tuple[DataFrame, DataFrame]:
+    """What was answered, by the title that was asked for, and the ledger of titles without an answer, with the reason."""
+    to = resolve_titles(asked, rewrites, hops)
+    both = to.join(answers.withColumnRenamed("title", "final").withColumn("__found", F.lit(True)), "final", "left")
+    misses = both.where("__found is null").select("title", F.when(F.col("final").isNull(), "the rewrites lead nowhere").otherwise("no such page").alias("reason"))
+    return both.where("__found").drop("__found"), misses
+
+
+class LoopError(ValueError):
+    """Rewrites that do not end."""
+
+
+def refuse_loops(resolved: DataFrame) -> DataFrame:
+    """The titles that ``resolve_titles`` gave, or LoopError if the way of one did not end."""
+    bad = resolved.where("final is null").select("title").orderBy("title").limit(5).collect()  # names for the message
+    if bad:
+        raise LoopError(", ".join(r[0] for r in bad))
+    return resolved
+
+
+def release_order(manifest: DataFrame, doc: str = "doc") -> DataFrame:
+    """version, kind and position (0 is the newest) of the releases of a list document; raises if what it calls the latest is no
+    release."""
+    made = manifest.select(F.from_json(doc, "latest struct<release:string>, versions array<struct<id:string,type:string>>").alias("d"))
+    listed = made.select("d.latest.release", F.posexplode("d.versions").alias("position", "v")).select("release", "position", F.col("v.id").alias("version"), F.col("v.type").alias("kind"))
+    if listed.where("version = release and kind = 'release'").isEmpty():
+        raise ValueError("the latest release is not in the list of releases")
+    return listed.select("version", "kind", "position")
+
+
+def stale(curated_rows: DataFrame, releases: DataFrame, current: str) -> DataFrame:
+    """The curated rows (with verified_for, a version) and whether they were checked for an older release than the current one;
+    a version that is not in the list is stale."""
+    at = releases.select(F.col("version").alias("verified_for"), "position")
+    now = releases.where(F.col("version") == current).select(F.col("position").alias("__now"))  # one row
+    return curated_rows.join(at, "verified_for", "left").join(F.broadcast(now), how="cross").withColumn("stale", F.coalesce(F.col("position") > F.col("__now"), F.lit(True))).drop("position", "__now")
+
+
+def by_reference(sources: DataFrame, key: str, references: str) -> DataFrame:
+    """Each reference of a source (an array) with the keys of its sources, in order."""
+    each = sources.select(key, F.explode(references).alias("reference"))
+    return each.groupBy("reference").agg(F.array_sort(F.collect_set(key)).alias("sources"))
+
+
+def checked_objects(wanted: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the wanted (name, sha256), those that the store (sha256, content) holds unharmed, and the misses: absent or corrupt."""
+    joined = wanted.join(stored.select("sha256", "content"), "sha256", "left")
+    good = F.col("content").isNotNull() & (F.sha2("content", 256) == F.col("sha256"))
+    return joined.where(good), joined.where(~good).select("name", "sha256", F.when(F.col("content").isNull(), "absent").otherwise("corrupt").alias("reason"))
+
+
+def image_failures(files: DataFrame, signature: bytes) -> DataFrame:
+    """name and reason of the files (name, content, size, sha1) that are not what was promised; the first reason holds."""
+    why = F.when(~has_signature(F.col("content"), signature), "signature").when(F.octet_length("content") != F.col("size"), "size").when(F.sha1("content") != F.col("sha1"), "digest")
+    return files.select("name", why.alias("reason")).where("reason is not null")
