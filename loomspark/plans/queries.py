@@ -421,6 +421,32 @@ def search_fuzzy(spark: SparkSession, at: str) -> DataFrame:
     return search.fuzzy(_asks(spark, TYPOS), _entities(spark, at))
 
 
+KIND_SQL = "case p_type when 'PROMO' then 'mob' when 'STANDARD' then 'item' when 'ECONOMY' then 'block' when 'SMALL' then 'entity' else 'structure' end"
+SEARCHES = ("brand#2 red ring 1", "red", "ring 1", "brand", "rde rign", "brand_2_small_box_7")
+SEARCHES_SQL = "(values " + ", ".join(f"('{a}')" for a in SEARCHES) + ") q(query)"
+
+
+@query(f"""with e as (select p_partkey as id, {NAME_SQL} as name, {KIND_SQL} kind from part), t as (select id, lower(name) txt, true is_name, false is_phrase from e union all select id, alias, false, strength = 3 from {ALIAS_SQL}),
+ h as (select query, id, case when txt = query then 0 when starts_with(txt, query) then 1 else 2 end tier, is_name, is_phrase from t, {SEARCHES_SQL} where contains(txt, query)),
+ b as (select * from h where not is_name or tier < 2 qualify row_number() over (partition by query, id order by tier, is_name desc, is_phrase desc) = 1),
+ w as (select distinct id, unnest(regexp_split_to_array(lower(name), '[ _/#]+')) word from e), u as (select distinct query, unnest(string_split(query, ' ')) term from {SEARCHES_SQL}),
+ p as (select term, word from (select distinct word from w where word <> ''), (select distinct term from u) where damerau_levenshtein(term, word) <= 1),
+ f as (select u.query, w.id from u join p using (term) join w using (word) group by u.query, w.id having count(distinct term) = (select count(*) from u v where v.query = u.query)),
+ o as (select * from b union all select query, id, 3, true, false from f where (query, id) not in (select query, id from b))
+ select query, o.id, tier, is_name, is_phrase, row_number() over (partition by query order by tier, not (tier = 0 and kind = 'item' and (is_name or is_phrase)), not is_name, not is_phrase, case kind when 'mob' then 0 when 'item' then 1 when 'block' then 2 when 'structure' then 7 else 10 end, length(name), o.id) as rank from o join e using (id) qualify rank <= 10""")
+def search_web(spark: SparkSession, at: str) -> DataFrame:
+    kind = F.when(F.col("p_type") == "PROMO", "mob").when(F.col("p_type") == "STANDARD", "item").when(F.col("p_type") == "ECONOMY", "block").when(F.col("p_type") == "SMALL", "entity").otherwise("structure")
+    e = table(spark, at, "part").select(F.col("p_partkey").alias("id"), part_name().alias("name"), kind.alias("kind"))
+    return search.searched(_asks(spark, SEARCHES), e, search.aliases(e))
+
+
+@query(f"""with a as {ALIAS_SQL}, t as (select query, id, min((case when alias = query then 0 when starts_with(alias, query) then 1 else 2 end, -strength)) m from a, {ASK_SQL} where contains(alias, query) or contains(query, alias) group by 1, 2),
+ w as (select distinct query, unnest(regexp_split_to_array(query, '[ _]+')) word from {ASK_SQL}), s as (select query, id, max(strength) as strength from a join w on contains(alias, word) group by 1, 2 having count(distinct word) = (select count(*) from w v where v.query = w.query))
+ select query, id, m[1] tier, -m[2] as strength from t union all select query, id, 3, strength from s where (query, id) not in (select query, id from t)""")
+def search_candidates(spark: SparkSession, at: str) -> DataFrame:
+    return search.candidates_of(_asks(spark, ASK), search.aliases(_entities(spark, at)))
+
+
 # ---- collections
 
 SPECS = {
