@@ -36,21 +36,23 @@ def check_acyclic(reached: DataFrame, src: str, dst: str) -> DataFrame:
     return reached
 
 
-def ancestry(parents: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
-    """node, depth (of a root: 0) and path (ids from the root, joined by /).  Raises on a cycle or more than ``most`` levels."""
-    rows = parents.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    level = written(rows.where("parent is null").select("node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path")), "ancestry")
-    out, reached = level, level.count()
-    for depth in range(1, most + 1):
-        up = level.select(F.col("node").alias("parent"), F.col("path").alias("above"))
-        level = written(rows.join(up, "parent").select("node", F.lit(depth).alias("depth"), F.concat_ws("/", "above", F.col("node").cast("string")).alias("path")), "ancestry")
-        n = level.count()
-        if not n:
-            break
-        out, reached = out.unionByName(level), reached + n
-    if reached != rows.count():
-        raise CycleError("nodes without a way from a root: a cycle, a missing parent, or too many levels")
-    return out.withColumnRenamed("node", node)
+def ancestry(parents: DataFrame, node: str, parent: str) -> DataFrame:
+    """node, depth (of a root: 0) and path (ids from the root, joined by /), by doubling: as many rounds as the depth has binary
+    digits.  Raises on a cycle, on a parent that is no node, and on a node with two parents."""
+    rows = parents.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.lit(0).alias("depth"), F.col(node).cast("string").alias("path"))
+    rows = written(rows, "ancestry")
+    total = rows.count()
+    if rows.select("node").distinct().count() < total:
+        raise CycleError("a node with two parents")
+    for _ in range(total.bit_length() + 1):
+        if rows.where("up is not null").isEmpty():
+            return rows.select(F.col("node").alias(node), "depth", "path")
+        above = rows.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("path").alias("__path"))
+        joined = rows.where("up is not null").join(above, "up").select("node", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth") + 1).alias("depth"), F.concat_ws("/", "__path", "path").alias("path"))
+        rows = written(rows.where("up is null").unionByName(joined), "ancestry")
+        if rows.count() < total:
+            raise CycleError("a parent that is no node")
+    raise CycleError("nodes without a way from a root")
 
 
 def forest(nodes: DataFrame, node: str, parent: str, group: Column, label: Column, most: int = 64) -> DataFrame:

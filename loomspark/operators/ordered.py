@@ -34,6 +34,17 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: st
     return _with_earlier(within, sizes.select("__part", *group, before.alias("__before")), group).select(*df.columns, (F.col("__n") + F.col("__before")).alias(name))
 
 
+def previous(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``name``: the value of the row before in its group, null in the first.  Each range of rows looks at its own; its first row takes
+    what the range before it ends with."""
+    dealt = _ranges(df.withColumn("__value", F.struct(value.alias("v"))), group, order)
+    within = dealt.withColumn("__own", F.lag("__value").over(Window.partitionBy("__part", *group).orderBy(*order)))
+    ends = dealt.groupBy("__part", *group).agg(F.max_by("__value", F.struct(*order)).alias("__end"))
+    carried = F.lag("__end").over(Window.partitionBy(*group).orderBy("__part"))
+    joined = _with_earlier(within, ends.select("__part", *group, carried.alias("__carried")), group)
+    return joined.select(*df.columns, F.coalesce("__own", "__carried")["v"].alias(name))
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` of each group; the limit is applied before the shuffle too."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)

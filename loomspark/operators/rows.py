@@ -32,6 +32,12 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str], conflic
     return made.select(*keys, *(F.col(f"__first.{c}").alias(c) for c in rest), "n_rows", *(["n_kinds"] if conflict is not None else []))
 
 
+def first_of_text(df: DataFrame, text: str, order: Sequence[str], conflict: Column | None = None) -> DataFrame:
+    """``first_wins`` for a key of long texts: 256 bits of the text move in its place, and it is left out of the result."""
+    made = df.withColumn("__digest", F.sha2(text, 256)).drop(text)
+    return first_wins(made, ["__digest"], order, conflict).drop("__digest")
+
+
 def representative(df: DataFrame, keys: Sequence[str], value: str, preferred: Column) -> DataFrame:
     """The value of a preferred row of each group if there is one, else the smallest."""
     return df.groupBy(*keys).agg(F.coalesce(F.max(F.when(preferred, F.col(value))), F.min(value)).alias(value))

@@ -36,7 +36,9 @@ def _holding(texts: DataFrame, asked: DataFrame, few: int) -> DataFrame:
     if asked.limit(few + 1).count() <= few:
         return texts.join(F.broadcast(asked), F.contains("text", F.col("__q")))
     sizes = sorted(r[0] for r in asked.select(F.length("__q")).distinct().where("length(__q) > 0").collect())  # as many as lengths of a query
-    parts = F.flatten(F.array(*(F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i, n=n: F.substring("text", i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes)))
+    none = F.array().cast("array<string>")
+    part = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(n)))).otherwise(none)
+    parts = F.flatten(F.array(*map(part, sizes))) if sizes else none
     return texts.select("*", F.explode(F.array_distinct(parts)).alias("__q")).join(asked, "__q")
 
 

@@ -106,7 +106,7 @@ def json_column(spark: SparkSession, at: str) -> DataFrame:
 
 @query("select min(doc_id) doc_id, count(*) n_rows, count(distinct source) n_kinds from documents group by text")
 def first_wins_dedup(spark: SparkSession, at: str) -> DataFrame:
-    return rows.first_wins(table(spark, at, "documents").select("text", "doc_id", "source"), ["text"], ["doc_id"], F.col("source")).select("doc_id", "n_rows", "n_kinds")
+    return rows.first_of_text(table(spark, at, "documents").select("text", "doc_id", "source"), "text", ["doc_id"], F.col("source")).select("doc_id", "n_rows", "n_kinds")
 
 
 @query("select p_brand, p_type, coalesce(max(case when p_size = 7 then p_name end), min(p_name)) p_name from part group by 1, 2")
@@ -328,15 +328,12 @@ def tag_closure(spark: SparkSession, at: str) -> DataFrame:
     return graph.closure(_tags(spark, at), "s", "d", acyclic=True)
 
 
-TURNS_SQL = "(select conv_id * 1000 + turn node, lag(conv_id * 1000 + turn) over (partition by conv_id order by turn) parent, conv_id, role from conversations)"
+TURNS_SQL = "(select conv_id || ':' || turn node, lag(conv_id || ':' || turn) over (partition by conv_id order by turn) parent, conv_id, role from conversations)"
 
 
 def _turns(spark: SparkSession, at: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    node = F.col("conv_id") * 1000 + F.col("turn")
-    return table(spark, at, "conversations").select(node.alias("node"), F.lag(node).over(w).alias("parent"), "conv_id", "role")
+    turns = table(spark, at, "conversations").select("conv_id", "turn", "role", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("node"))
+    return ordered.previous(turns, ["conv_id"], ["turn"], F.col("node"), "parent")
 
 
 @query(f"with recursive e as {TURNS_SQL}, t as (select node, 0 as depth, cast(node as varchar) path from e where parent is null union all select e.node, t.depth + 1, t.path || '/' || e.node from t join e on e.parent = t.node) select node, depth, path from t")
@@ -481,9 +478,14 @@ SNAP = "(select 'total' metric, count(*) as value from {t} union all select 'fie
 FIRST_SQL = "(select * from documents qualify row_number() over (partition by text order by doc_id) = 1)"
 
 
+def _first_texts(docs: DataFrame) -> DataFrame:
+    """The first document of each text; of the text itself only whether there is one."""
+    return rows.first_of_text(docs.withColumn("has_text", F.col("text").isNotNull()), "text", ["doc_id"]).withColumn("text", F.when(F.col("has_text"), F.lit("")))
+
+
 def _snapshots(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, at, "documents").select("doc_id", "text", "lang", "source")
-    return gate.snapshot(docs, "lang", ["lang", "source", "text"]), gate.snapshot(rows.first_wins(docs, ["text"], ["doc_id"]), "lang", ["lang", "source", "text"])
+    return gate.snapshot(docs, "lang", ["lang", "source", "text"]), gate.snapshot(_first_texts(docs), "lang", ["lang", "source", "text"])
 
 
 @query(f"select metric, value from {SNAP.format(t='documents')}")
@@ -503,7 +505,7 @@ def regression_gate(spark: SparkSession, at: str) -> DataFrame:
  select coalesce(kind, '(total)') kind, sum(b)::bigint before, sum(a)::bigint after, (sum(a) - sum(b))::bigint net, sum(a * (1 - b))::bigint added, sum(b * (1 - a))::bigint removed from r group by rollup (kind)""")
 def diff(spark: SparkSession, at: str) -> DataFrame:
     docs = table(spark, at, "documents").select("doc_id", "text", "lang", "n_chars")
-    return gate.diff(docs.where("n_chars > 300"), rows.first_wins(docs, ["text"], ["doc_id"]), "doc_id", "lang")
+    return gate.diff(docs.where("n_chars > 300"), _first_texts(docs), "doc_id", "lang")
 
 
 @query(f"select case when r is null then 'kept' when r = 'other language' then 'expected' when r = 'short' then 'expected' else 'failure' end as \"group\", count(*) n from (select {REASONS} r from documents) group by 1")
