@@ -210,10 +210,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
                     decoded.append(hashlib.sha256(enc.decode(own).tobytes()).hexdigest())
                 cols = [*(part.column(i) for i in range(part.num_columns) if i != at), *([pa.array(ids, pa.binary())] if with_ids else []), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-            common.done()
+            pa.default_memory_pool().release_unused()
 
     common.tidy(common.session_of(docs))
-    return docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text")).mapInArrow(common.released(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -227,4 +227,4 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             out = [None if not v.is_valid else b"".join(pieces[i] for i in np.frombuffer(v.as_py(), "<u4").tolist()) for v in col]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(common.released(run), schema)

@@ -7,7 +7,10 @@ again on another executor gives the same keys.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +25,31 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Two settings of the session, for good, where its user has not chosen them: each finished query drops its shuffle
-    files at once instead of at some later garbage collection, and Python is handed as many rows at a time as the operators
-    work on (larger Arrow batches are only held in memory, twice).  Plans are run after the operators return, so the
+    """Three settings of the session, for good, where its user has not chosen them: each finished query drops its shuffle
+    files at once instead of at some later garbage collection, and Python is handed as many rows and bytes at a time as the
+    operators work on (larger Arrow batches are only held in memory, twice).  Plans are run after the operators return, so the
     settings can't be put back by them."""
     chosen = spark.sparkContext.getConf()
-    for name, value in (("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")):
+    for name, value in (("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "1024"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")):
         if not chosen.contains(name):
             spark.conf.set(name, value)
 
 
-def done() -> None:
-    """Give the memory that Arrow keeps for later back: the next stage runs in the same worker."""
-    pa.default_memory_pool().release_unused()
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, and then the memory that Arrow and the C library keep for later back to the system: the worker is idle while
+    the next stages need it, or runs them."""
+
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
 
 
 def row_key(text: str = "text", id_col: str = "doc_id") -> Column:

@@ -155,7 +155,7 @@ def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
             prints = [Fingerprint.of(bytes(v)).text() for v in common.binary_views(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(prints, pa.string())], names=schema.names)
 
-    return docs.select(*(F.col(c) for c in keep), common.utf8(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(c) for c in keep), common.utf8(text).alias("__text")).mapInArrow(common.released(run), schema)
 
 
 def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", partitions: int | None = None) -> DataFrame:
@@ -202,7 +202,7 @@ def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     arrow = to_arrow_schema(out)
     n = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("digest", F.sha2("text", 256)).repartitionByRange(n, "id", "digest").sortWithinPartitions("id", "digest").drop("digest")
-    made = common.written(dealt.mapInArrow(run, out), "fingerprints")
+    made = common.written(dealt.mapInArrow(common.released(run), out), "fingerprints")
     names = [F.col("id").alias(id_col), *(F.col(c) for c, _ in OUT)]
     inner = made.where("kind = 0").select(*names)
     # which partition follows which: a few bytes for each partition that has rows
@@ -222,4 +222,4 @@ def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id
                 schema = to_arrow_schema(edge)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return inner.unionByName(tails.mapInArrow(edges, edge).select(*names))
+    return inner.unionByName(tails.mapInArrow(common.released(edges), edge).select(*names))

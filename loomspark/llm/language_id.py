@@ -241,7 +241,7 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lan
             k, j = np.nonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in j], pa.string()), pa.array(k, pa.int32()), pa.array(n[k, j], pa.int64())], names=["w", "k", "n"])
 
-    counted = common.written(sample.select("t", "l").mapInArrow(words, "w string, k int, n long").groupBy("w", "k").agg(F.sum("n").alias("n")), "words")
+    counted = common.written(sample.select("t", "l").mapInArrow(common.released(words), "w string, k int, n long").groupBy("w", "k").agg(F.sum("n").alias("n")), "words")
     probs = np.full((len(pieces), len(langs)), 1.0 / len(pieces))
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,7 @@ def learn(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lan
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(k, pa.int32()), pa.array(total[i, k])], names=["p", "k", "x"])
 
     for _ in range(rounds):
-        sums = counted.mapInArrow(expect, "p int, k int, x double").groupBy("p", "k").agg(F.sum("x").alias("x")).toArrow()
+        sums = counted.mapInArrow(common.released(expect), "p int, k int, x double").groupBy("p", "k").agg(F.sum("x").alias("x")).toArrow()
         total = np.full(probs.shape, 0.01)
         total[sums["p"].to_numpy(), sums["k"].to_numpy()] += sums["x"].to_numpy()
         probs = total / total.sum(0)
@@ -296,9 +296,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 else:
                     lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
-        common.done()
 
-    return docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text")).mapInArrow(common.released(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

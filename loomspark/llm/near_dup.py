@@ -111,9 +111,8 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int, text: str = "text"
                         r = registers(h, n).reshape(bands, rows).astype(np.uint64)
                         keys.append(common.signed(common.mix((common.mix(r + np.uint64(1)) * mult).sum(1, dtype=np.uint64) + number)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size_of, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "id", "n", "cls", "bands"])
-        common.done()
 
-    return docs.select(common.row_key(text, id_col).alias("key"), F.col(id_col).alias("id"), common.utf8(text).alias("t")).mapInArrow(run, schema)
+    return docs.select(common.row_key(text, id_col).alias("key"), F.col(id_col).alias("id"), common.utf8(text).alias("t")).mapInArrow(common.released(run), schema)
 
 
 class Links:
@@ -201,11 +200,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str, id_col:
                         marks.append(registers(h, ESTIMATE).tobytes())
                         sets.append(h.tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "regs", "members"])
-        common.done()
 
     texts = docs.select(common.row_key(text, id_col).alias("key"), common.utf8(text).alias("t"))
     # a row that repeats wholly gives its set twice, which compares the same twice
-    return texts.join(wanted.select("key", "cls"), "key").select("cls", "t").mapInArrow(run, "cls binary, regs binary, members binary")
+    return texts.join(wanted.select("key", "cls"), "key").select("cls", "t").mapInArrow(common.released(run), "cls binary, regs binary, members binary")
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, text: str, id_col: str) -> DataFrame:
@@ -232,14 +230,14 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, text: st
     no = F.lit(False).alias("near")
     members = cells.where("cell <> cls").join(sizes, "cell").select("cell", "cls", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"), F.lit(0).alias("chunk"), F.lit(1).alias("role"), no)
     heads = sizes.select("cell", F.col("cell").alias("cls"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("chunk"), F.lit(0).alias("role"), no)
-    seen = common.written(dealt(members.unionByName(heads).join(sets, "cls")).mapInArrow(_compare(percent, True), "a binary, b binary, near boolean"), "seen")
+    seen = common.written(dealt(members.unionByName(heads).join(sets, "cls")).mapInArrow(common.released(_compare(percent, True)), "a binary, b binary, near boolean"), "seen")
     apart = seen.where("not near").select(F.col("a").alias("cell"), F.col("b").alias("cls")).join(sizes.where("size > 2"), "cell")
     chunks = F.greatest(F.lit(1), F.ceil(F.col("left") / BLOCK)).cast("int")
     # what joins by cell meet is written, so that the join of a large cell can be split
     cell_of = common.written(apart.groupBy("cell").agg(F.count("*").alias("left"), F.first("size").alias("size")), "apart")
     asking = apart.select("cell", "cls", "size").join(cell_of.select("cell", "left"), "cell").select("cell", "cls", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("cls"), chunks).cast("int").alias("chunk"), F.lit(0).alias("role"), no)
     asked = seen.withColumnRenamed("a", "cell").withColumnRenamed("b", "cls").join(cell_of, "cell").select("cell", "cls", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("role"), "near")
-    more = dealt(asking.unionByName(asked).join(sets, "cls")).mapInArrow(_compare(percent, False), "a binary, b binary, near boolean")
+    more = dealt(asking.unionByName(asked).join(sets, "cls")).mapInArrow(common.released(_compare(percent, False)), "a binary, b binary, near boolean")
     return common.written(seen.where("near").unionByName(more).select("a", "b"), "links")
 
 

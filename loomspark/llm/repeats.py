@@ -110,7 +110,7 @@ def parse(docs: DataFrame, length: int, text: str, id_col: str) -> DataFrame:
                     key = batch.column(0).take(pa.array(np.repeat([i for i, _ in sizes], [n for _, n in sizes])))
                     yield pa.RecordBatch.from_arrays([key, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(common.signed(trigger)), pa.array(common.signed(phrase)), pa.array(again)], names=["key", "a", "b", "trigger", "phrase", "again"])
 
-    return docs.select(common.row_key(text, id_col).alias("key"), common.utf8(text).alias("t")).mapInArrow(run, "key binary, a int, b int, trigger long, phrase long, again boolean")
+    return docs.select(common.row_key(text, id_col).alias("key"), common.utf8(text).alias("t")).mapInArrow(common.released(run), "key binary, a int, b int, trigger long, phrase long, again boolean")
 
 
 def _strings(buf: np.ndarray, length: int) -> np.ndarray:
@@ -220,7 +220,7 @@ def repeated_strings(docs: DataFrame, length: int = 200, text: str = "text", id_
     bodies = texts.select("key", "t", F.explode("m").alias("m")).select("key", F.col("m.trigger").alias("trigger"), F.col("m.kinds").alias("kinds"), F.col("m.a").alias("a"), (F.col("m.role") == "asks").alias("alone"), F.expr(f"substring(t, m.a + 1, m.b - m.a + {length - 1})").alias("body"))
     bodies = common.written(bodies, "bodies")
     n = int(common.session_of(docs).conf.get("spark.sql.shuffle.partitions"))
-    few = bodies.where(F.col("kinds") <= together).select("trigger", "key", "a", "alone", "body").repartition(n, "trigger").sortWithinPartitions("trigger").mapInArrow(_compare(length), "key binary, a int, b int")
+    few = bodies.where(F.col("kinds") <= together).select("trigger", "key", "a", "alone", "body").repartition(n, "trigger").sortWithinPartitions("trigger").mapInArrow(common.released(_compare(length)), "key binary, a int, b int")
     many = _many(bodies.where(F.col("kinds") > together), length)
     found = few.unionByName(many).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("more"))
     whole = F.transform(F.filter("m", lambda x: x["role"] != "asks"), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
@@ -245,7 +245,7 @@ def _many(bodies: DataFrame, length: int) -> DataFrame:
                 offset = np.concatenate([np.arange(x) for x in sizes])
                 yield pa.RecordBatch.from_arrays([pa.array(take(0, np.int64)), pa.array(common.signed(np.concatenate(found))), key, pa.array((take(2, np.int64) + offset).astype(np.int32)), pa.array(take(3, bool))], names=["trigger", "h", "key", "a", "alone"])
 
-    rows = bodies.select("trigger", "key", "a", "alone", "body").mapInArrow(run, "trigger long, h long, key binary, a int, alone boolean")
+    rows = bodies.select("trigger", "key", "a", "alone", "body").mapInArrow(common.released(run), "trigger long, h long, key binary, a int, alone boolean")
     again = rows.groupBy("trigger", "h").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n")).where("n > 1").select("trigger", "h")
     return rows.where("alone").join(again, ["trigger", "h"]).select("key", "a", (F.col("a") + 1).alias("b"))
 
@@ -286,4 +286,4 @@ def remove(docs: DataFrame, length: int = 200, text: str = "text", id_col: str =
                         kept.append(raw)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.binary())] if with_kept else [])], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(common.released(run), schema)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 SPACES = " \t\n\r\x0b\x0c"
 #: Bytes of text in one call of the library; distinct parts kept by a worker between batches.
 CALL_BYTES, KEPT_PARTS = 1 << 18, 600_000
@@ -153,7 +155,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", keep: tup
                 n = counts_of_batch(part.column(at), counter, splits)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns) if i != at), pa.array(sizes[a:b]), pa.array(n, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
 
-    return docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text")).mapInArrow(count, schema)
+    common.tidy(common.session_of(docs))
+    return docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text")).mapInArrow(common.released(count), schema)
 
 
 def with_limit(counted: DataFrame, limit: int = 2048) -> DataFrame:
