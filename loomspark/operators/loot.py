@@ -109,3 +109,27 @@ def readable(tables: DataFrame, read: Sequence[str], skipped: Sequence[str], met
     if bad:
         raise LootError("unknown family or type: " + ", ".join(str(r[0]) for r in bad))
     return made
+
+
+def drop_producers(drops: DataFrame, names: DataFrame, notes: str = "notes") -> tuple[DataFrame, DataFrame]:
+    """Producers (source, output, chance) of drops (source, item, chance, notes), and the ledger of the others.  ``names`` has name and
+    id.  A name with one id is that item; else the links in the notes are, if every one of them has one id."""
+    one = names.groupBy(F.lower("name").alias("name")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").select("name", "id")
+    links = F.regexp_extract_all(F.coalesce(F.col(notes), F.lit("")), F.lit(r"\[\[([^\[\]|]+)"), F.lit(1))
+    rows = drops.withColumn("__own", F.lower("item")).withColumn("__links", links)
+    rows = rows.join(one.select(F.col("name").alias("__own"), F.col("id").alias("__id")), "__own", "left")
+    linked = rows.where("__id is null and size(__links) > 0").select("source", "item", "chance", F.size("__links").alias("need"), F.explode("__links").alias("link"))
+    found = linked.join(one, F.lower(F.trim("link")) == F.col("name"))
+    whole = found.groupBy("source", "item", "chance", "need").agg(F.count("link").alias("n"), F.collect_set("id").alias("ids")).where("n = need")
+    own = rows.where("__id is not null").select("source", F.col("__id").alias("output"), "chance")
+    made = own.unionByName(whole.select("source", F.explode("ids").alias("output"), "chance"))
+    lost = rows.where("__id is null").select("source", "item", "chance").join(whole.select("source", "item", "chance"), ["source", "item", "chance"], "left_anti")
+    return made, lost
+
+
+def trade_producers(sides: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """key, output, count and inputs (item and count, in order) of trades as ``facts.trades`` gives them, of those alone all of whose
+    sides have a known name."""
+    known = sides.join(names.groupBy(F.col("name").alias("item")).agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")).where("n = 1"), "item", "left")
+    by = known.groupBy(key).agg(F.bool_and(F.col("id").isNotNull()).alias("whole"), F.max(F.when(F.col("side") == "given", F.struct("id", "least"))).alias("g"), F.array_sort(F.collect_list(F.when(F.col("side") == "wanted", F.struct("place", "id", "least")))).alias("w"))
+    return by.where("whole and g is not null").select(key, F.col("g.id").alias("output"), F.col("g.least").alias("count"), F.transform("w", lambda x: F.struct(x["id"].alias("item"), x["least"].alias("count"))).alias("inputs"))

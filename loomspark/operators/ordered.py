@@ -74,6 +74,11 @@ def declared(value: Column, order: Sequence[str], unknown: int = 999) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), value), F.lit(0)) - 1, F.lit(unknown)).cast("int")
 
 
+def last_if(flags: Sequence[Column], seq: str) -> list[Column]:
+    """Sort keys that put rows with a flag last, for each flag in turn, and leave all else in the order of ``seq``."""
+    return [F.coalesce(f, F.lit(False)).asc() for f in flags] + [F.col(seq).asc()]
+
+
 def mixed_order(value: Column, descending: bool = False) -> list[Column]:
     """Sort keys of a text column: numbers first (a trailing % or s is dropped), then other text, blanks last either way."""
     number = F.regexp_replace(F.regexp_replace(F.trim(value), "%$", ""), "s$", "").try_cast("double")

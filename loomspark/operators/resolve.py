@@ -118,3 +118,12 @@ def sole(memberships: DataFrame, key: str, group: str, at_most: bool = False) ->
     if bad:
         raise ValueError(f"not one {group}: " + ", ".join(str(r[0]) for r in bad))
     return counted.select(key, group)
+
+
+def edge_flags(producers: DataFrame, output: str, source: str, method: str, count: str, acquired: Sequence[str]) -> DataFrame:
+    """The producers (of one input each) with flags: ``acquisition`` by method; ``round_trip``, that the reverse is a producer too;
+    ``unpacking``, that it gives several of what packs into its input; ``refining``, that it is smelting."""
+    back = producers.select(F.col(output).alias("__s"), F.col(source).alias("__o")).distinct().withColumn("__back", F.lit(True))
+    made = producers.join(back, (F.col(output) == F.col("__o")) & (F.col(source) == F.col("__s")) & (F.col("__o") != F.col("__s")), "left")
+    again = F.coalesce(F.col("__back"), F.lit(False))
+    return made.select(*producers.columns, F.col(method).isin(*acquired).alias("acquisition"), again.alias("round_trip"), (again & (F.col(count) > 1)).alias("unpacking"), (F.col(method) == "smelting").alias("refining"))

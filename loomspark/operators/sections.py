@@ -56,3 +56,43 @@ def others(rows: DataFrame, key: str, group: str) -> DataFrame:
 def collected(rows: DataFrame, key: str, lists: str) -> DataFrame:
     """key and the sorted union of its lists."""
     return rows.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(lists)))).alias(lists))
+
+
+def last_notes(rows: DataFrame, notes: DataFrame, keys: Sequence[str], note: str, seq: str) -> DataFrame:
+    """The rows with the last note of their keys, null where there is none."""
+    last = notes.groupBy(*keys).agg(F.max_by(note, seq).alias(note))
+    return rows.join(last, list(keys), "left")
+
+
+def section_facts(rows: DataFrame, key: str, places: str, items: str) -> DataFrame:
+    """key, how many places (an array) its section has, and how many distinct items they hold (an array within each)."""
+    held = F.array_distinct(F.flatten(F.transform(places, lambda p: p[items])))
+    return rows.select(key, F.size(places).alias("n_places"), F.size(held).alias("n_items"))
+
+
+def borrowed(rows: DataFrame, known: DataFrame, key: str, icon: str, lender: str) -> DataFrame:
+    """key and icon: its own, or that of the entity it borrows from; raises where neither has one."""
+    own = known.select(F.col(key).alias("__k"), F.col(icon).alias("__own"))
+    lent = known.select(F.col(key).alias("__l"), F.col(icon).alias("__lent"))
+    made = rows.select(key, lender).join(own, F.col(key) == F.col("__k"), "left").join(lent, F.col(lender) == F.col("__l"), "left").select(key, F.coalesce("__own", "__lent").alias(icon))
+    bad = made.where(F.col(icon).isNull()).select(key).orderBy(key).limit(5).collect()  # names for the message
+    if bad:
+        raise ValueError("no icon: " + ", ".join(str(r[0]) for r in bad))
+    return made
+
+
+def merged(names: DataFrame, alias_rows: DataFrame, section_rows: DataFrame, overrides: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """One row an entity: its fields with their tiers (A from ``names``, C from ``overrides``), its aliases by strength and name, and its
+    sections in their slots.  Each part is aggregated by the key on its own and joined once."""
+    from . import merge
+
+    base = merge.tiered([("A", names), ("C", overrides)], key, fields)
+    one = merge.aliases(alias_rows, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "alias"))), lambda x: x["alias"]).alias("aliases"))
+    two = merge.sections(section_rows, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "kind"))), lambda x: x["kind"]).alias("sections"))
+    return base.join(one, key, "left").join(two, key, "left")
+
+
+def write_reports(reports: dict[str, DataFrame], at: str) -> None:
+    """Each report as a folder of JSON below ``at``; a report of an earlier build is replaced."""
+    for name, df in reports.items():
+        df.write.mode("overwrite").json(f"{at.rstrip('/')}/{name}")

@@ -213,3 +213,14 @@ def test_written_tables_go(spark):
     session.clear(spark)
     assert not at.exists()
     assert session.written(frame(spark, "a int", (1,)), "x").count() == 1
+
+
+def test_reports_and_icons(spark, tmp_path):
+    from loomspark.operators import sections
+
+    report = frame(spark, "id int, reason string", (1, "a"), (2, "b"))
+    sections.write_reports({"rejects": report}, str(tmp_path))
+    sections.write_reports({"rejects": report.where("id = 1")}, str(tmp_path))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "rejects")).select("id", "reason").collect()] == [(1, "a")]
+    with pytest.raises(ValueError):
+        sections.borrowed(frame(spark, "id string, lender string", ("a", "b")), frame(spark, "id string, icon string", ("c", "x")), "id", "icon", "lender")
