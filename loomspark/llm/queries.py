@@ -1,4 +1,7 @@
-"""The queries of the text operators: each over its whole table, with production parameters."""
+"""The queries of the text operators: each over its whole table, with production parameters, and SQL beside four of them.
+
+The SQL knows nothing of triggers, bands, hash sets or chunks: it compares all strings of 200 bytes, all pairs of sets that share a
+shingle, all windows of words, and all windows of lines, and takes rows with one id for one document."""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, fingerprints, html_text, language_id, licenses, line_dedup, near_dup, repeats, token_counts
+from .decontaminate import LOWER, UPPER
 
 PIECES = "piece_bpe_32k.model"
 
@@ -69,4 +73,33 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_decontamination, op4_near_dedup, op5_token_counts, op6_line_dedup, op7_byte_bpe, op8_fingerprints, op9_license_scan, op10_html_extraction, pipeline)}
 
-ORACLES: dict[str, str] = {}
+OP1_SQL = """with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+ x as (select r, j, substr(h, 1 + 2 * j, 2 * (1024 + 199)) as h from (select r, h, unnest(range(0, n - 199, 1024)) as j from d where n >= 200)),
+ s as (select r, j, unnest(range(0, strlen(h) // 2 - 199)) as i, h from x), k as (select r, j + i as i, md5_number(substr(h, 1 + 2 * i, 400)) as m from s), again as (select m from k group by m having count(*) > 1),
+ c as (select r, i, lag(i) over w as before, lead(i) over w as after from k semi join again using (m) window w as (partition by r order by i)),
+ o as (select r, sum(least(200, coalesce(after - i, 200))) n_removed, count(*) filter (where before is null or i > before + 200) n_spans from c group by r),
+ e as (select r, i, case when before is null or i > before + 200 then coalesce(before + 200, 0) end as a, case when after is null then i + 200 end as z from c),
+ g as (select r, a, i as b from e where a is not null union all select e.r, z, n from e join d on d.r = e.r where z is not null),
+ p as (select g.r, string_agg(substr(h, 1 + 2 * a, 2 * (b - a)), '' order by a) as kept from g join d on d.r = g.r group by g.r)
+ select doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256 from d left join o on o.r = d.r left join p on p.r = d.r"""
+OP3_SQL = f"""with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+ b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+ v as (select item, least(len(w), 10) k, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i, w from b where len(w) > 0), t as (select distinct item, k, array_to_string(w[i : i + k - 1], ' ') as t from v),
+ u as (select doc_id, k, unnest(range(1, len(w) - k + 2)) as i, w from w, (select distinct k from t) where len(w) >= k), x as (select doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') as t from u),
+ f as (select doc_id, i, k, item from x join t using (k, t)), h as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + k)) p from f) group by 1), j as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from f) group by 1)
+ select w.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from w left join h on h.doc_id = w.doc_id left join j on j.doc_id = w.doc_id"""
+OP4_SQL = f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+ s as (select distinct doc_id, case when len(w) = 1 then w[1] else w[i] || ' ' || w[i + 1] end as s from (select doc_id, w, unnest(range(1, greatest(len(w), 2))) as i from w where len(w) > 0)),
+ n as (select doc_id, count(*) as n from s group by 1), g as (select doc_id, md5_number(string_agg(s, chr(0) order by s)) as g from s group by 1), r as (select g, min(doc_id) as doc_id from g group by 1),
+ q as (select s.doc_id, s.s from s semi join r on r.doc_id = s.doc_id), c as (select a.doc_id as a, b.doc_id as b, count(*) as shared from q a join q b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+ e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)), l as (select a, b from e union all select b, a from e),
+ t as (select doc_id as a, doc_id as b from r union select t.a, l.b from t join l on l.a = t.b), m as (select a, min(b) as least from t group by 1)
+ select w.doc_id, coalesce(n.n, 0) n_shingles, coalesce(m.least, w.doc_id) component_id, coalesce(m.least, w.doc_id) = w.doc_id kept from w left join n on n.doc_id = w.doc_id left join g on g.doc_id = w.doc_id left join r on r.g = g.g left join m on m.a = r.doc_id"""
+OP6_SQL = """with t as (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as x from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)),
+ b as (select *, lead(x) over (partition by doc_id order by i) as y from t),
+ v as (select doc_id, i, 2 as n, x || chr(10) || y as body from b where y is not null and regexp_matches(x || y, '[^ \\t\\n\\x0B\\f\\r]') union all select doc_id, i, 1, x from b where len(regexp_extract_all(x, '[^ \\t\\n\\x0B\\f\\r]+')) >= 50),
+ f as (select n, body, min((doc_id, i)) as f from v group by 1, 2 having count(*) > 1), o as (select distinct doc_id, unnest(range(i, i + n)) as i from v join f using (n, body) where doc_id <> f[1] or i >= f[2] + n),
+ k as (select t.doc_id, count(*) n_lines, count(o.i) n_removed, coalesce(string_agg(x, chr(10) order by t.i) filter (where o.i is null), '') as kept from t left join o on o.doc_id = t.doc_id and o.i = t.i group by 1)
+ select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from documents d left join k on k.doc_id = d.doc_id"""
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_near_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL}
