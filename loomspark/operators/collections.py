@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,42 @@ class EmptyCollection(ValueError):
     """A rule without members."""
 
 
+class ManifestError(ValueError):
+    """A manifest that is not one."""
+
+
+RULES = ("kind", "list", "tag", "component", "section", "method")
+
+
+def manifests(documents: Sequence[str]) -> dict[str, dict]:
+    """Specs by name of JSON documents ({"id", "rule": {kind of rule: value}, "sort", "columns"}); raises on an unknown rule, on several,
+    on an empty list, on unknown fields and on two of one name."""
+    out: dict[str, dict] = {}
+    for text in documents:
+        made = json.loads(text)
+        rule = made.get("rule")
+        if not isinstance(made.get("id"), str) or not isinstance(rule, dict) or len(rule) != 1 or not set(rule) <= set(RULES):
+            raise ManifestError(f"no id, or not one known rule: {text[:80]}")
+        if set(made) - {"id", "rule", "sort", "columns", "aliases"} or rule.get("list") == [] or made["id"] in out:
+            raise ManifestError(f"unknown fields, an empty list, or a second {made['id']}")
+        out[made["id"]] = {k: v for k, v in made.items() if k != "id"}
+    return out
+
+
+def entities_of(specs: Mapping[str, Mapping], entities: DataFrame, facts: Mapping[str, DataFrame]) -> DataFrame:
+    """collection, n_members, members (ids in the order of the collection) and its aliases.  Raises for a collection without members, and
+    where a list names an id that is no entity."""
+    for name, spec in specs.items():
+        if "list" in spec["rule"]:
+            known = {r.id for r in entities.where(F.col("id").isin(list(spec["rule"]["list"]))).select("id").collect()}  # as many as the list
+            if missing := sorted(set(spec["rule"]["list"]) - known):
+                raise EmptyCollection(f"{name} lists what is no entity: {missing[:5]}")
+    rows = resolve(specs, entities, facts, strict=True)
+    by = rows.groupBy("collection").agg(F.count("*").alias("n_members"), F.transform(F.array_sort(F.collect_list(F.struct("sort_key", "id"))), lambda x: x["id"]).alias("members"))
+    alias = F.coalesce(*(F.when(F.col("collection") == n, F.array(*map(F.lit, s["aliases"]))) for n, s in specs.items() if s.get("aliases")), F.array().cast("array<string>"))
+    return by.withColumn("aliases", alias)
+
+
 def members(rule: Mapping, entities: DataFrame, facts: Mapping[str, DataFrame]) -> DataFrame:
     """Ids of the entities (columns id, kind, name) that a rule picks.
 

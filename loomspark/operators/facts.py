@@ -150,3 +150,23 @@ def brewing(bases: DataFrame, effects: DataFrame, corruptions: DataFrame, prefix
     for form, ingredient in finishes.items():
         out = out.unionByName(names.select(F.concat(F.lit(form), "potion").alias("output"), F.col("potion").alias("input"), F.lit(ingredient).alias("ingredient")))
     return out.select("output", "input", "ingredient").distinct()
+
+
+def generation(rows: DataFrame, by: Sequence[str], dimension: str, biome: str) -> DataFrame:
+    """Of each block and dimension (``by``): least, most, tries (of veins without a chance), surface (of all), n_biomes, whole (all biomes
+    of the dimension), veins in the order of their heights, and peak: that of all veins that have one, if they agree and span the whole
+    height.  ``rows`` has vein, least, most, peak, tries, chance and surface."""
+    biomes = rows.groupBy(dimension).agg(F.count_distinct(biome).alias("__all"))
+    peaked = F.col("peak").isNotNull()
+    agree = (F.min("peak") == F.max("peak")) & (F.min(F.when(peaked, F.col("least"))) == F.min("least")) & (F.max(F.when(peaked, F.col("most"))) == F.max("most"))
+    made = rows.groupBy(*by).agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.sum(F.when(F.col("chance").isNull(), F.col("tries"))).alias("tries"), F.bool_and("surface").alias("surface"),
+        F.count_distinct(biome).alias("n_biomes"), F.array_sort(F.collect_set(F.struct("least", "most", "vein"))).alias("veins"), F.when(agree, F.min("peak")).alias("peak"),
+    )
+    return made.join(biomes, dimension).withColumn("whole", F.col("n_biomes") == F.col("__all")).drop("__all")
+
+
+def spawn_overrides(rows: DataFrame, key: str, overrides: str) -> DataFrame:
+    """key, category, mobs and suppressed of a map of categories to lists of mobs: an empty list suppresses the category."""
+    made = rows.select(key, F.explode(F.from_json(overrides, "map<string,array<struct<type:string>>>")).alias("category", "m"))
+    return made.select(key, "category", F.transform("m", lambda x: x["type"]).alias("mobs"), (F.size("m") == 0).alias("suppressed"))

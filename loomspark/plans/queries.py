@@ -204,10 +204,10 @@ def resolve_name_unique(spark: SparkSession, at: str) -> DataFrame:
     return resolve.priority_join(*_asked(spark, at), unique=True)
 
 
-@query("select coalesce(a.l_partkey, r.l_partkey) l_partkey, case when r.l_partkey is null then 'left_only' when a.l_partkey is null then 'right_only' else 'matched' end side from (select distinct l_partkey from lineitem where l_returnflag = 'A' and l_quantity > 45) a full join (select distinct l_partkey from lineitem where l_returnflag = 'R' and l_quantity > 45) r on a.l_partkey = r.l_partkey")
+@query("select coalesce(a.l_partkey, r.l_partkey) l_partkey, case when r.l_partkey is null then 'left_only' when a.l_partkey is null then 'right_only' else 'matched' end side from (select distinct l_partkey from lineitem where l_returnflag = 'A') a full join (select distinct l_partkey from lineitem where l_returnflag = 'R') r on a.l_partkey = r.l_partkey")
 def reconcile(spark: SparkSession, at: str) -> DataFrame:
-    big = table(spark, at, "lineitem").where("l_quantity > 45")
-    return resolve.reconcile(big.where("l_returnflag = 'A'"), big.where("l_returnflag = 'R'"), "l_partkey")
+    lines = table(spark, at, "lineitem")
+    return resolve.reconcile(lines.where("l_returnflag = 'A'"), lines.where("l_returnflag = 'R'"), "l_partkey")
 
 
 @query("select coalesce(a.l_partkey, r.l_partkey) l_partkey, case when r.l_partkey is null then 'left_only' when a.l_partkey is null then 'right_only' else 'matched' end side from (select distinct l_partkey from lineitem where l_returnflag = 'A') a full join (select distinct l_partkey from lineitem where l_returnflag = 'R') r on a.l_partkey = r.l_partkey")
@@ -472,6 +472,18 @@ def collection_members(spark: SparkSession, at: str) -> DataFrame:
     return collections.resolve(SPECS, entities, facts)
 
 
+@query("""with m as (select 'asia' collection, c_custkey as id, lower(c_name) sort_key from customer join nation on c_nationkey = n_nationkey where n_regionkey = 2 union all select 'some', c_custkey, lower(c_name) from customer where c_custkey in (1, 2, 3))
+ select collection, count(*) n_members, min(id) first_id, arg_min(id, (sort_key, id)) first_member, case collection when 'asia' then 'east,far' else '' end aliases from m group by 1""")
+def collection_entities(spark: SparkSession, at: str) -> DataFrame:
+    """Manifests whose tags are closures: a region's customers by way of its nations."""
+    specs = collections.manifests(['{"id": "asia", "rule": {"tag": "r2"}, "aliases": ["east", "far"]}', '{"id": "some", "rule": {"list": [1, 2, 3]}}'])
+    entities = table(spark, at, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"), F.col("c_name").alias("name"))
+    closed = graph.closure(_tags(spark, at), "s", "d", acyclic=True).where(F.startswith("d", F.lit("c")))
+    tags = closed.select(F.substring("d", 2, 20).cast(entities.schema["id"].dataType).alias("id"), F.col("s").alias("value"))
+    made = collections.entities_of(specs, entities, {"tag": tags})
+    return made.select("collection", "n_members", F.array_min("members").alias("first_id"), F.get("members", F.lit(0)).alias("first_member"), F.array_join("aliases", ",").alias("aliases"))
+
+
 # ---- gate
 
 SNAP = "(select 'total' metric, count(*) as value from {t} union all select 'field:lang', count(lang) from {t} union all select 'field:source', count(source) from {t} union all select 'field:text', count(text) from {t} union all select 'kind:' || coalesce(lang, 'none'), count(*) from {t} group by lang)"

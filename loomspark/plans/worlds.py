@@ -114,3 +114,22 @@ def brewing(spark: SparkSession, at: str) -> DataFrame:
     after = n.select((k - 1).alias("k"), F.col("n_name").alias("to"))
     corrupt = n.where(k < 6).select(k.alias("k"), F.col("n_name").alias("from")).join(after, "k").select("from", "to", F.lit("eye").alias("ingredient"))
     return facts.brewing(bases, effects, corrupt, ["", "long_", "strong_"], names.toDF("potion"), {"long_": "dust", "strong_": "glow"}, {"splash_": "powder", "lingering_": "breath"})
+
+
+@query("""with r as (select l_partkey, l_returnflag, l_suppkey % 10 biome, l_linenumber vein, l_linenumber as least, l_linenumber + cast(l_quantity as int) as most, case when l_tax > 0.04 then l_linenumber % 2 end peak, l_linenumber tries, case when l_discount > 0.05 then 0.5 end chance, l_quantity > 5 surface from lineitem),
+ d as (select l_returnflag, count(distinct biome) n from r group by 1), g as (select l_partkey, l_returnflag, min(least) as least, max(most) as most, sum(tries) filter (where chance is null) tries, bool_and(surface) surface, count(distinct biome) n_biomes,
+ case when min(peak) = max(peak) and min(least) filter (where peak is not null) = min(least) and max(most) filter (where peak is not null) = max(most) then min(peak) end peak from r group by 1, 2),
+ v as (select l_partkey, l_returnflag, string_agg(least || '-' || most || ':' || vein, ',' order by least, most, vein) veins from (select distinct l_partkey, l_returnflag, least, most, vein from r) group by 1, 2)
+ select g.*, veins, n_biomes = n whole from g join v using (l_partkey, l_returnflag) join d using (l_returnflag)""")
+def extract_generation(spark: SparkSession, at: str) -> DataFrame:
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    rows = table(spark, at, "lineitem").select("l_partkey", "l_returnflag", (F.col("l_suppkey") % 10).alias("biome"), n.alias("vein"), n.alias("least"), (n + q).alias("most"), F.when(F.col("l_tax") > 0.04, n % 2).alias("peak"), n.alias("tries"), F.when(F.col("l_discount") > 0.05, 0.5).alias("chance"), (F.col("l_quantity") > 5).alias("surface"))
+    made = facts.generation(rows, ["l_partkey", "l_returnflag"], "l_returnflag", "biome")
+    return made.withColumn("veins", F.array_join(F.transform("veins", lambda v: F.concat(v["least"].cast("string"), F.lit("-"), v["most"].cast("string"), F.lit(":"), v["vein"].cast("string"))), ","))
+
+
+@query("select p_partkey, unnest(['monster', 'water']) category, unnest([p_name || ',' || p_brand, '']) mobs, unnest([false, true]) suppressed from part where p_size % 2 = 0")
+def spawn_overrides(spark: SparkSession, at: str) -> DataFrame:
+    doc = _text('{"monster": [{"type": "', F.col("p_name"), '"}, {"type": "', F.col("p_brand"), '"}], "water": []}')
+    rows = table(spark, at, "part").where("p_size % 2 = 0").select("p_partkey", doc.alias("doc"))
+    return facts.spawn_overrides(rows, "p_partkey", "doc").withColumn("mobs", F.array_join("mobs", ","))

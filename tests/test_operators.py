@@ -224,3 +224,13 @@ def test_reports_and_icons(spark, tmp_path):
     assert [tuple(r) for r in spark.read.json(str(tmp_path / "rejects")).select("id", "reason").collect()] == [(1, "a")]
     with pytest.raises(ValueError):
         sections.borrowed(frame(spark, "id string, lender string", ("a", "b")), frame(spark, "id string, icon string", ("c", "x")), "id", "icon", "lender")
+
+
+def test_manifests(spark):
+    good = '{"id": "a", "rule": {"list": [1, 9]}}'
+    assert collections.manifests([good]) == {"a": {"rule": {"list": [1, 9]}}}
+    for bad in ([good, good], ['{"id": "a"}'], ['{"id": "a", "rule": {"odd": 1}}'], ['{"id": "a", "rule": {"list": []}}'], ['{"id": "a", "rule": {"kind": "x", "tag": "y"}}'], ['{"id": "a", "rule": {"kind": "x"}, "odd": 1}']):
+        with pytest.raises(collections.ManifestError):
+            collections.manifests(bad)
+    with pytest.raises(collections.EmptyCollection):
+        collections.entities_of(collections.manifests([good]), frame(spark, "id int, kind string, name string", (1, "k", "n")), {})
