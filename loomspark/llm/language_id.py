@@ -216,14 +216,16 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), off - off[0]
 
 
-def learn(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", id_col: str = "doc_id", train_rows: int = 1500, rounds: int = 2) -> Model:
+def learn(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", id_col: str = "doc_id", train_rows: int = 1500, rounds: int = 2, most_labels: int = 1000) -> Model:
     """``train_rows``: about as many rows of each language, chosen by a hash of the id, are learnt from (all where
     there are fewer).  What comes to the driver is the table of languages and of piece probabilities, whose size
-    is that of the vocabulary times the number of languages."""
+    is that of the vocabulary times the number of languages; more than ``most_labels`` of them raise."""
     spark = common.session_of(docs)
     common.tidy(spark)
     labelled = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and i is not null and t is not null")
-    sizes = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).limit(most_labels + 1).collect()}
+    if len(sizes) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
     langs = tuple(sorted(sizes))
     pieces = Pieces(vocabulary)
     if not langs:
