@@ -37,6 +37,18 @@ def sections(rows: DataFrame, key: str, kind: str = "kind", seq: str = "seq", fr
     return made.select(key, kind, "slot", *(F.col(f"__last.{c}").alias(c) for c in rest))
 
 
+class ConflictError(ValueError):
+    """Tags that give one key several values."""
+
+
+def refuse_conflicts(facts: DataFrame, key: str) -> DataFrame:
+    """The facts of ``fact_tiers``, or ConflictError with the first keys in conflict."""
+    bad = facts.where("via = 'conflict'").select(key).orderBy(key).limit(5).collect()  # names for the message
+    if bad:
+        raise ConflictError(", ".join(str(r[0]) for r in bad))
+    return facts
+
+
 def fact_tiers(tagged: DataFrame, explicit: DataFrame, excluded: DataFrame, key: str, value: str) -> DataFrame:
     """key, value, ``via`` and ``n_values``: members of tags but for the excluded, unless named explicitly.
 

@@ -27,11 +27,15 @@ def per_attempt(chance: Column, rolls: Column, least: Column, most: Column) -> C
     return chance * rolls * (least + most) / 2
 
 
-def group_index(df: DataFrame, key: str, order: Sequence[str], keep: int) -> DataFrame:
-    """n_rows, first and last of each group, and ``firsts``: the ``keep`` first by ``order``, joined by commas."""
+def group_index(df: DataFrame, key: str, order: Sequence[str], value: str, keep: int) -> DataFrame:
+    """n_rows, first and last value of each group by ``order``, and ``firsts``: the ``keep`` first values in order.  No more than these
+    are gathered of a group."""
+    from .ordered import top_k
+
     at = F.struct(*order)
-    firsts = F.expr(f"array_join(transform(slice(array_sort(collect_set(struct({', '.join(order)}))), 1, {keep}), x -> cast(x.{order[0]} as string)), ',')")
-    return df.groupBy(key).agg(F.count("*").alias("n_rows"), F.min(at)[order[0]].alias("first_id"), F.max(at)[order[0]].alias("last_id"), firsts.alias("firsts"))
+    ends = df.groupBy(key).agg(F.count("*").alias("n_rows"), F.min_by(value, at).alias("first_id"), F.max_by(value, at).alias("last_id"))
+    few = top_k(df, [key], [F.col(c) for c in order], keep, "__rank").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", F.col(value).alias("v")))), lambda x: x["v"]).alias("firsts"))
+    return ends.join(few, key)
 
 
 def scope(df: DataFrame, by: Sequence[str], value: str, tries: Column, chance: Column, flag: Column, member: str) -> DataFrame:

@@ -27,8 +27,10 @@ def priority_join(asked: DataFrame, levels: Sequence[Column], names: DataFrame,
 
 
 def ambiguous(names: DataFrame, by: Sequence[str], id_col: str) -> DataFrame:
-    """Names with several ids: n_ids, and the smallest and the largest."""
-    return names.groupBy(*by).agg(F.count_distinct(id_col).alias("n_ids"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id")).where("n_ids > 1")
+    """Names with several ids: n_ids, the smallest and the largest, and all of them in order (of these names alone)."""
+    many = names.groupBy(*by).agg(F.count_distinct(id_col).alias("n_ids"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id")).where("n_ids > 1")
+    ids = names.join(many.select(*by), list(by), "left_semi").groupBy(*by).agg(F.array_sort(F.collect_set(id_col)).alias("ids"))
+    return many.join(ids, list(by))
 
 
 def reused(names: DataFrame, by: Sequence[str], id_col: str, page: str) -> DataFrame:

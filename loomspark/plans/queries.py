@@ -36,11 +36,11 @@ def expected_yield(spark: SparkSession, at: str) -> DataFrame:
     return made.groupBy("l_partkey").agg(F.round(F.sum(each), 5).alias("expected"), F.count("*").alias("n"))
 
 
-@query("select o_custkey, count(*) n_rows, arg_min(o_orderkey, (o_orderdate, o_orderkey)) first_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) last_id from orders group by 1")
+@query("""with o as (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) rn from orders)
+ select o_custkey, count(*) n_rows, arg_min(o_orderkey, rn) first_id, arg_max(o_orderkey, rn) last_id, string_agg(o_orderkey, ',' order by rn) filter (where rn <= 3) firsts from o group by 1""")
 def group_index(spark: SparkSession, at: str) -> DataFrame:
-    o = table(spark, at, "orders")
-    order = F.struct("o_orderdate", "o_orderkey")
-    return o.groupBy("o_custkey").agg(F.count("*").alias("n_rows"), F.min_by("o_orderkey", order).alias("first_id"), F.max_by("o_orderkey", order).alias("last_id"))
+    made = odds.group_index(table(spark, at, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", 3)
+    return made.withColumn("firsts", F.array_join(F.transform("firsts", lambda x: x.cast("string")), ","))
 
 
 @query("select c.c_custkey, o.o_orderkey, row_number() over (partition by c.c_custkey order by o.o_orderdate, o.o_orderkey) place from customer c join orders o on o.o_custkey = c.c_custkey")
@@ -99,6 +99,16 @@ def classify_split(spark: SparkSession, at: str) -> DataFrame:
     return rows.classify(table(spark, at, "documents"), rules).select("doc_id", "reject_reason")
 
 
+@query("""select p_partkey, case when p_size % 5 = 0 then 'no edition' when p_size % 5 = 1 then 'other edition' when p_size % 5 = 2 then 'never happens' when p_type = 'PROMO' then 'other page' end reject_reason from part""")
+def edition_filter(spark: SparkSession, at: str) -> DataFrame:
+    """Rows of one edition: by a JSON key that is absent, or there for the other alone, and by a chance of nothing; the first holds."""
+    k = F.col("p_size") % 5
+    doc = F.when(k == 0, "{}").when(k == 1, '{"second": {"p": 1}}').when(k == 2, '{"first": {"p": 0}, "second": {"p": 1}}').otherwise('{"first": {"p": 0.5}}')
+    has = lambda name: F.get_json_object("doc", f"$.{name}").isNotNull()
+    rules = [("no edition", ~has("first") & ~has("second")), ("other edition", ~has("first")), ("never happens", json_field(F.col("doc"), "$.first.p", "double") == 0), ("other page", F.col("p_type") == "PROMO")]
+    return rows.classify(table(spark, at, "part").withColumn("doc", doc), rules).select("p_partkey", "reject_reason")
+
+
 @query("select event_id, cast(json_extract(props, '$.k') as int) k from events")
 def json_column(spark: SparkSession, at: str) -> DataFrame:
     return table(spark, at, "events").select("event_id", json_field(F.col("props"), "$.k", "int").alias("k"))
@@ -162,9 +172,10 @@ def title_rewrites(spark: SparkSession, at: str) -> DataFrame:
 # ---- names
 
 
-@query(f"select {NAME_SQL} as name, count(distinct p_partkey) n_ids, min(p_partkey) first_id, max(p_partkey) last_id from part group by 1 having n_ids > 1")
+@query(f"select {NAME_SQL} as name, count(distinct p_partkey) n_ids, min(p_partkey) first_id, max(p_partkey) last_id, string_agg(distinct p_partkey, ',' order by p_partkey) ids from part group by 1 having n_ids > 1")
 def ambiguous_names(spark: SparkSession, at: str) -> DataFrame:
-    return resolve.ambiguous(table(spark, at, "part").withColumn("name", part_name()), ["name"], "p_partkey")
+    found = resolve.ambiguous(table(spark, at, "part").withColumn("name", part_name()), ["name"], "p_partkey")
+    return found.withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
 
 @query("select p_brand || ' ' || p_name as name, count(distinct p_type) n_pages, count(distinct p_partkey) n_ids from part group by 1 having n_pages > 1 and n_ids > 1")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomspark import session
 from loomspark.functions import markup, text
-from loomspark.operators import collections, emit, facts, gate, graph, loot, odds, ordered, recipes, resolve, rows, search
+from loomspark.operators import collections, emit, facts, gate, graph, loot, merge, odds, ordered, recipes, resolve, rows, search
 from loomspark.sources import tables
 
 
@@ -161,8 +161,12 @@ def test_small_operators(spark):
     assert sorted((r.p, r.w, r.chance) for r in made if r.chance is not None) == [(1, 1.0, 0.25)] and len(made) == 3
     with pytest.raises(collections.EmptyCollection):
         collections.resolve({"none": {"rule": {"kind": "x"}}}, frame(spark, "id int, kind string, name string", (1, "y", "n")), {}, strict=True)
-    index = odds.group_index(frame(spark, "k int, o int", (1, 3), (1, 1), (1, 2)), "k", ["o"], 2).first()
-    assert (index.n_rows, index.first_id, index.last_id, index.firsts) == (3, 1, 3, "1,2")
+    index = odds.group_index(frame(spark, "k int, o int, v string", (1, 3, "c"), (1, 1, "a"), (1, 2, "b")), "k", ["o"], "v", 2).first()
+    assert (index.n_rows, index.first_id, index.last_id, index.firsts) == (3, "a", "c", ["a", "b"])
+    facts_ = merge.fact_tiers(frame(spark, "k int, v int", (1, 1), (1, 2), (2, 3)), frame(spark, "k int, v int"), frame(spark, "k int"), "k", "v")
+    with pytest.raises(merge.ConflictError):
+        merge.refuse_conflicts(facts_, "k")
+    assert merge.refuse_conflicts(facts_.where("k = 2"), "k").count() == 1
     base = frame(spark, "metric string, value long", ("total", 10), ("field:a", 10))
     new = frame(spark, "metric string, value long", ("total", 10), ("field:a", 9))
     assert {r.metric: r.verdict for r in gate.regression(base, new, required=["a"]).collect()} == {"total": "pass", "field:a": "incomplete"}
