@@ -136,3 +136,32 @@ def sizes(value: Column) -> Column:
     """height and width in "Height: 1.95 blocks ... Width: 0.6 blocks"."""
     of = lambda name: F.regexp_extract(value, rf"(?i){name}:\s*([0-9.]+)", 1).try_cast("double")
     return F.struct(of("height").alias("height"), of("width").alias("width"))
+
+
+HEADING = r"(?m)^(={2,6})[ \t]*(.+?)[ \t]*\1[ \t]*$"
+
+
+def page_sections(text: Column) -> Column:
+    """level, title and body of each section of a page in order; what stands before the first heading has level 0 and no title."""
+    marks = F.regexp_extract_all(text, F.lit(HEADING), F.lit(1))
+    titles = F.regexp_extract_all(text, F.lit(HEADING), F.lit(2))
+    made = F.transform(F.split(text, HEADING), lambda b, i: F.struct(F.coalesce(F.length(F.get(marks, i - 1)), F.lit(0)).alias("level"), F.get(titles, i - 1).alias("title"), F.trim(F.regexp_replace(b, r"^\s+|\s+$", "")).alias("body")))
+    return F.filter(made, lambda s: (s["level"] > 0) | (s["body"] != ""))
+
+
+def first_paragraph(text: Column) -> Column:
+    """The first line of prose as plain text: no template, table, list, heading or file."""
+    lines = F.transform(F.split(F.regexp_replace(text, "(?s)<!--.*?-->", ""), "\n"), lambda x: F.trim(x))
+    prose = F.filter(lines, lambda x: ~x.rlike(r"^(?:$|[{|}=*#:;!]|(?i:\[\[(?:file|image|category):[^\]]*\]\]$))"))
+    return strip_markup(F.get(prose, F.lit(0)))
+
+
+def wiki_tables(text: Column) -> Column:
+    """The tables of a page in order (tables within tables end the outer one)."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)\{\|.*?\n\|\}"), F.lit(0))
+
+
+def named_argument(text: Column, template: str, name: str) -> Column:
+    """An argument of the first template of that name (templates within it are its own)."""
+    found = F.filter(find_templates(text), lambda t: F.lower(t["name"]) == template.lower())
+    return F.try_element_at(F.get(found, F.lit(0))["named"], F.lit(name))

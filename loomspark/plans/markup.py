@@ -101,3 +101,30 @@ def infobox_fields(spark: SparkSession, at: str) -> DataFrame:
 def labels_of_ids(spark: SparkSession, at: str) -> DataFrame:
     variant = F.when(F.col("p_size") % 3 == 0, "night_vision").when(F.col("p_size") % 3 == 1, "long_night_vision").otherwise("strong_night_vision")
     return table(spark, at, "part").select("p_partkey", text.tag_label(_text("#ns:tag_of_", F.col("p_type"), "/logs")).alias("tag"), text.variant_label(F.lit("Potion"), variant).alias("potion"))
+
+
+def _page() -> Column:
+    size = F.col("p_size")
+    kind = F.when(size % 2 == 0, "good").otherwise("bad")
+    return _text("{{Infobox effect|category = ", kind, "|image = [[File:a.png]]}}\n[[File:b.png|thumb]]\n'''", F.col("p_name"), "''' is a [[thing|kind]] of ", F.col("p_brand"), ".<ref>x</ref>\n\nMore of it.\n== Causes ==\n{| class=t\n! Cause !! Level\n|-\n| rowspan=\"2\" | [[", F.col("p_name"), "]] || 1\n|-\n| ", size, "\n|}\n=== Ores ===\n{|\n! Ore !! Height\n|-\n| ", F.col("p_type"), " || ", size, "\n|}\n== Notes ==\nnone")
+
+
+@query("select p_partkey, case when p_size % 2 = 0 then 'good' else 'bad' end category, p_name || ' is a kind of ' || p_brand || '.' as first from part")
+def effect_pages(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "part").select("p_partkey", markup.named_argument(_page(), "infobox effect", "category").alias("category"), markup.first_paragraph(_page()).alias("first"))
+
+
+@query("select p_partkey, unnest(range(0, 4)) place, unnest([0, 2, 3, 2]) as level, unnest([null, 'Causes', 'Ores', 'Notes']) title from part")
+def page_sections(spark: SparkSession, at: str) -> DataFrame:
+    made = table(spark, at, "part").select("p_partkey", F.posexplode(markup.page_sections(_page())).alias("place", "s"))
+    return made.select("p_partkey", "place", "s.level", "s.title")
+
+
+@query("select p_partkey, unnest(['Cause', 'Cause', 'Ore']) as role, unnest([p_name, p_name, p_type]) as name, unnest(['1', cast(p_size as varchar), cast(p_size as varchar)]) as value from part")
+def tables_by_role(spark: SparkSession, at: str) -> DataFrame:
+    """Rows of all tables of a page, with the role that the first heading of their table says; spans are filled."""
+    each = table(spark, at, "part").select("p_partkey", F.posexplode(markup.wiki_tables(_page())).alias("n", "t"))
+    cells = each.select("p_partkey", "n", F.inline(markup.table_cells(F.col("t"), strict=True)))
+    role = cells.where("header and col = 0").select("p_partkey", "n", F.col("text").alias("role"))
+    values = cells.where("not header").groupBy("p_partkey", "n", "row").agg(F.max(F.when(F.col("col") == 0, F.col("text"))).alias("name"), F.max(F.when(F.col("col") == 1, F.col("text"))).alias("value"))
+    return values.join(role, ["p_partkey", "n"]).select("p_partkey", "role", text.strip_markup(F.col("name")).alias("name"), "value")
