@@ -268,7 +268,8 @@ def grouped(docs: DataFrame, size: int, percent: int, bands: int, rows: int, tex
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 48, rows: int = 7, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """key, id, n_shingles, component_id (smallest id of the group) and kept (the row has that id) for each row."""
     rows_ = grouped(docs, size, percent, bands, rows, text, id_col)
-    smallest = rows_.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
+    # written, so that the join of a large group can be split
+    smallest = common.written(rows_.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id")), "smallest")
     out = rows_.join(smallest, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select("key", "id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
