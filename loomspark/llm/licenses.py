@@ -117,7 +117,8 @@ def _pattern(keys: list[str]) -> str:
 def units(files: DataFrame, short: list[str], full: list[str], lengths: list[int], heads: list[int], text: str, path: str) -> DataFrame:
     """key, kind ('short' or 'full'), line (the order among equal cosines) and terms of the candidates."""
     keys = F.array(*map(F.lit, short))
-    rows = files.where(F.col(text).rlike(_pattern(sorted({*short, *full})))).select(common.row_key(text, path).alias("key"), F.col(text).alias("text"), F.col(path).rlike(LICENCE_FILE).alias("file")).distinct()
+    rows = files.where(F.col(text).rlike(_pattern(sorted({*short, *full})))).select(common.row_key(text, path).alias("key"), F.col(text).alias("text"), F.col(path).rlike(LICENCE_FILE).alias("file"))
+    # a row that repeats wholly has the same key: the counts of all its terms grow alike, which changes no cosine
     rows = common.written(rows, "candidates")
     noted = common.held(rows.where(F.col("text").rlike(_pattern(short))), "lines", F.split("text", "\n"))
     numbers = lambda k: F.when(F.size("lines") >= k, F.sequence(F.lit(1), F.size("lines") - k + 1)).otherwise(F.array().cast("array<int>"))
