@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, html_text, language_id, licenses, line_dedup, near_dup, repeats, token_counts
+from . import byte_bpe, collocations, decontaminate, fingerprints, html_text, language_id, licenses, line_dedup, near_dup, repeats, token_counts
 from .decontaminate import LOWER, UPPER
 
 PIECES = "piece_bpe_32k.model"
@@ -65,13 +65,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), most_words=3, least=10, cover=50, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_decontamination, op4_near_dedup, op5_token_counts, op6_line_dedup, op7_byte_bpe, op8_fingerprints, op9_license_scan, op10_html_extraction, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_decontamination, op4_near_dedup, op5_token_counts, op6_line_dedup, op7_byte_bpe, op8_fingerprints, op9_license_scan, op10_html_extraction, op11_collocations, pipeline)}
 
 OP1_SQL = """with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
  x as (select r, j, substr(h, 1 + 2 * j, 2 * (1024 + 199)) as h from (select r, h, unnest(range(0, n - 199, 1024)) as j from d where n >= 200)),
@@ -102,4 +106,12 @@ OP6_SQL = """with t as (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest
  k as (select t.doc_id, count(*) n_lines, count(o.i) n_removed, coalesce(string_agg(x, chr(10) order by t.i) filter (where o.i is null), '') as kept from t left join o on o.doc_id = t.doc_id and o.i = t.i group by 1)
  select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from documents d left join k on k.doc_id = d.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_near_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL}
+OP11_SQL = f"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as p from documents),
+ w as (select lang, regexp_extract_all(p, '[^\\x20\\x09]+') as w from p), g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) as g from w, (values (1), (2), (3)) s(k) where len(w) >= k),
+ f as (select lang, k, g, count(*) as f from g group by all), n as (select lang, sum(f)::bigint as n from f where k = 1 group by 1), c as (select lang, k, g, f as a, unnest(range(1, k)) as cut from f where k > 1 and f >= 10),
+ s as (select c.lang, c.k, c.g, a, cut, x.f as l, y.f as r, (1000000 * a::hugeint * a // (x.f::hugeint * y.f))::bigint as score from c join f x on x.lang = c.lang and x.g = c.g[:cut] join f y on y.lang = c.lang and y.g = c.g[cut + 1 :]),
+ b as (select lang, k, g, a, l, r, score from s qualify row_number() over (partition by lang, g order by score, cut) = 1),
+ d as (select lang, k, g, a, l, r, score from b where not exists (select 1 from f where f.lang = b.lang and f.k = 3 and b.k = 2 and f.f >= 10 and 100 * f.f >= 50 * b.a and (f.g[1:2] = b.g or f.g[2:3] = b.g)))
+ select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank, array_to_string(g, ' ') as phrase, a, l, r, n, score from d join n using (lang) qualify rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op11_collocations": OP11_SQL, "op1_suffix_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_near_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL}
