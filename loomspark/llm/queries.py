@@ -5,13 +5,15 @@ shingle, all windows of words, and all windows of lines, and takes rows with one
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, collocations, decontaminate, fingerprints, html_text, language_id, licenses, line_dedup, near_dup, repeats, token_counts
+from ..session import run_dir
+from . import byte_bpe, collocations, decontaminate, fingerprints, html_text, language_id, licenses, line_dedup, near_dup, repeats, token_counts, token_files
 from .decontaminate import LOWER, UPPER
 
 PIECES = "piece_bpe_32k.model"
@@ -69,13 +71,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), most_words=3, least=10, cover=50, top=2000)
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{run_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), at, end=0)
+    return token_files.summaries(spark, at)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_decontamination, op4_near_dedup, op5_token_counts, op6_line_dedup, op7_byte_bpe, op8_fingerprints, op9_license_scan, op10_html_extraction, op11_collocations, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_decontamination, op4_near_dedup, op5_token_counts, op6_line_dedup, op7_byte_bpe, op8_fingerprints, op9_license_scan, op10_html_extraction, op11_collocations, op13_token_files, pipeline)}
 
 OP1_SQL = """with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
  x as (select r, j, substr(h, 1 + 2 * j, 2 * (1024 + 199)) as h from (select r, h, unnest(range(0, n - 199, 1024)) as j from d where n >= 200)),
