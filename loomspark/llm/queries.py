@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from . import byte_bpe, collocations, decontaminate, fingerprints, html_text, language_id, licenses, line_dedup, near_dup, repeats, token_counts, token_files
+from . import byte_bpe, collocations, decontaminate, fingerprints, hard_negatives, html_text, language_id, licenses, line_dedup, near_dup, repeats, token_counts, token_files
 from .decontaminate import LOWER, UPPER
 
 PIECES = "piece_bpe_32k.model"
@@ -71,6 +71,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), most_words=3, least=10, cover=50, top=2000)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has the next label; anchors are the rows whose id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label, positives=5, negatives=5, least=80, scale=256)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{run_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), at, end=0)
@@ -83,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_decontamination, op4_near_dedup, op5_token_counts, op6_line_dedup, op7_byte_bpe, op8_fingerprints, op9_license_scan, op10_html_extraction, op11_collocations, op13_token_files, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_decontamination, op4_near_dedup, op5_token_counts, op6_line_dedup, op7_byte_bpe, op8_fingerprints, op9_license_scan, op10_html_extraction, op11_collocations, op12_hard_negatives, op13_token_files, pipeline)}
 
 OP1_SQL = """with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
  x as (select r, j, substr(h, 1 + 2 * j, 2 * (1024 + 199)) as h from (select r, h, unnest(range(0, n - 199, 1024)) as j from d where n >= 200)),
@@ -122,4 +128,11 @@ OP11_SQL = f"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_sp
  d as (select lang, k, g, a, l, r, score from b where not exists (select 1 from f where f.lang = b.lang and f.k = 3 and b.k = 2 and f.f >= 10 and 100 * f.f >= 50 * b.a and (f.g[1:2] = b.g or f.g[2:3] = b.g)))
  select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank, array_to_string(g, ' ') as phrase, a, l, r, n, score from d join n using (lang) qualify rank <= 2000"""
 
-ORACLES: dict[str, str] = {"op11_collocations": OP11_SQL, "op1_suffix_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_near_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL}
+OP12_SQL = """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+ p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+ select anchor_id, positive_id, (row_number() over w)::int as rank, vec_id as negative_id, positive_score, score as negative_score from p join s using (anchor_id)
+  where not same and 80 * positive_score <= 100 * score and score <= positive_score window w as (partition by anchor_id, positive_id order by score desc, vec_id) qualify rank <= 5"""
+
+ORACLES: dict[str, str] = {"op11_collocations": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op1_suffix_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_near_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL}

@@ -15,7 +15,7 @@ SF = os.environ.get("TEST_LLM_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLES[name])
     names = [d[0] for d in want.description]
