@@ -27,6 +27,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from . import common, token_counts
 #: Bytes of a row group, of a page, and rows of a page.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1024
 #: Bytes of text that are encoded together; kinds of parts that a worker keeps; bytes of one call of the library.
-BLOCK_BYTES, KEPT_PARTS, CALL_BYTES = 8 << 20, 500_000, 1 << 18
+BLOCK_BYTES, KEPT_PARTS, CALL_BYTES = 8 << 20, 800_000, 1 << 18
 #: Marks that always begin a new word after a letter.
 MARKS = ",.;:!?)"
 
@@ -94,22 +95,35 @@ def parts_of(buf: np.ndarray, firsts: np.ndarray, marks: str) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts, by parts; knows what it has encoded, up to ``kept`` parts, and then begins anew."""
+    """Ids of texts, by parts; remembers those it has encoded, between ``kept`` / 2 and ``kept`` of them, the latest first."""
 
     def __init__(self, path: str, kept: int = KEPT_PARTS):
         self.encode, self.marks, self.kept = _tokenizer(path), cuts_of(path), kept
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends = array("i"), array("q", [0])
+        self.older: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+    def _add(self, parts: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        self.known.update(zip(parts, range(len(self.ends) - 1, len(self.ends) - 1 + len(parts)), strict=True))
+        self.ends.frombytes((len(self.flat) + np.cumsum(n)).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
 
-    def _learn(self, parts: list[str]) -> None:
-        for a, b in token_counts.balanced(np.array([len(p) for p in parts]) * 2 + 16, CALL_BYTES):
-            for part, e in zip(parts[a:b], self.encode(parts[a:b], add_special_tokens=False), strict=True):
-                self.known[part] = len(self.ends) - 1
-                self.flat.extend(e.ids)
-                self.ends.append(len(self.flat))
+    def _learn(self, kinds: list[str]) -> None:
+        new = [p for p in kinds if p not in self.known]
+        if len(self.known) + len(new) > self.kept // 2 and self.known:
+            self.older = self.known, np.array(self.flat, np.int32), np.array(self.ends, np.int64)
+            self.known, self.flat, self.ends, new = {}, array("i"), array("q", [0]), kinds
+        held, flat, ends = self.older
+        if held:
+            again = [p for p in new if p in held]
+            at = np.fromiter(map(held.__getitem__, again), np.int64, len(again))
+            n = ends[at + 1] - ends[at]
+            self._add(again, flat[np.repeat(ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n)
+            new = [p for p in new if p not in held]
+        for a, b in token_counts.balanced(np.fromiter(map(len, new), np.int64, len(new)) * 2 + 16, CALL_BYTES):
+            ids = [e.ids for e in self.encode(new[a:b], add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._add(new[a:b], np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
@@ -121,13 +135,9 @@ class Encoder:
         offsets = np.append(starts, len(buf)).astype(np.int64)
         coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf)]).dictionary_encode()
         kinds = coded.dictionary.to_pylist()
-        new = [p for p in kinds if p not in self.known]
-        if len(self.known) + len(new) > self.kept and self.known:
-            self._forget()
-            new = kinds
-        self._learn(new)
+        self._learn(kinds)
         flat, ends = np.frombuffer(self.flat, np.int32), np.frombuffer(self.ends, np.int64)
-        at = np.fromiter((self.known[p] for p in kinds), np.int64, len(kinds))[coded.indices.to_numpy()]
+        at = np.fromiter(map(self.known.__getitem__, kinds), np.int64, len(kinds))[coded.indices.to_numpy()]
         begin, n = ends[at], ends[at + 1] - ends[at]
         total = np.cumsum(n)
         ids = flat[np.repeat(begin - (total - n), n) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.int32)
@@ -137,6 +147,12 @@ class Encoder:
         return ids, upto[at_text[1:]] - upto[at_text[:-1]]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One a worker, which goes on with the parts it knows from task to task."""
+    return Encoder(path)
+
+
 def _order(id_col: str, text: str) -> list[Column]:
     return [F.asc_nulls_first(id_col), F.asc(F.xxhash64(text)), F.asc(F.md5(common.utf8(text)))]
 
@@ -148,7 +164,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, at: str, end: int = 0, id_col:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, done = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, done = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1)
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
