@@ -41,7 +41,7 @@ from . import common, token_counts
 #: Bytes of a row group, of a page, and rows of a page.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1024
 #: Bytes of text that are encoded together; kinds of parts that a worker keeps; bytes of one call of the library.
-BLOCK_BYTES, KEPT_PARTS, CALL_BYTES = 8 << 20, 800_000, 1 << 18
+BLOCK_BYTES, KEPT_PARTS, CALL_BYTES = 12 << 20, 800_000, 1 << 18
 #: Marks that always begin a new word after a letter.
 MARKS = ",.;:!?)"
 
@@ -84,12 +84,11 @@ def parts_of(buf: np.ndarray, firsts: np.ndarray, marks: str) -> np.ndarray:
         return np.zeros(0, np.int64)
     mark = np.zeros(256, bool)
     mark[list(marks.encode())] = True
-    one, two = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
-    before = buf[:-1]
-    one[1:] = (before > 32) & (before < 127)
-    two[2:] = (before[1:] >= 0x80) & (before[:-1] >= 0xC3) & (before[:-1] < 0xE0)
-    cut = _SPACE[buf] & (one | two)
-    cut[1:] |= mark[buf[1:]] & _LETTER[before]
+    stops = np.flatnonzero((_SPACE | mark)[buf[1:]]) + 1  # few of the bytes; what stands before them decides
+    own, before, further = buf[stops], buf[stops - 1], buf[np.maximum(stops - 2, 0)]
+    seen = (before > 32) & (before < 127) | (before >= 0x80) & (further >= 0xC3) & (further < 0xE0) & (stops > 1)
+    cut = np.zeros(len(buf), bool)
+    cut[stops[_SPACE[own] & seen | mark[own] & _LETTER[before]]] = True
     cut[firsts[firsts < len(buf)]] = True
     return np.flatnonzero(cut)
 
@@ -132,15 +131,17 @@ class Encoder:
         starts = np.unique(firsts[sizes > 0]) if self.marks is None else parts_of(buf, firsts[sizes > 0], self.marks)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
-        offsets = np.append(starts, len(buf)).astype(np.int64)
-        coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf)]).dictionary_encode()
+        offsets = np.append(starts, len(buf)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf)]).dictionary_encode()
         kinds = coded.dictionary.to_pylist()
         self._learn(kinds)
         flat, ends = np.frombuffer(self.flat, np.int32), np.frombuffer(self.ends, np.int64)
         at = np.fromiter(map(self.known.__getitem__, kinds), np.int64, len(kinds))[coded.indices.to_numpy()]
-        begin, n = ends[at], ends[at + 1] - ends[at]
-        total = np.cumsum(n)
-        ids = flat[np.repeat(begin - (total - n), n) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.int32)
+        n = np.diff(ends).astype(np.int32)[at]
+        total = np.cumsum(n, dtype=np.int32)
+        places = np.repeat(ends.astype(np.int32)[at] - (total - n), n)
+        places += np.arange(len(places), dtype=np.int32)
+        ids = flat[places]
         del flat, ends  # else the arrays can't grow
         upto = np.append(0, total)
         at_text = np.searchsorted(starts, np.append(firsts, len(buf)))
@@ -153,6 +154,20 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together, up to ``BLOCK_BYTES``; a larger one stays as it is."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > BLOCK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _order(id_col: str, text: str) -> list[Column]:
     return [F.asc_nulls_first(id_col), F.asc(F.xxhash64(text)), F.asc(F.md5(common.utf8(text)))]
 
@@ -165,23 +180,22 @@ def write_tokens(docs: DataFrame, tokenizer: str, at: str, end: int = 0, id_col:
         from pyspark import TaskContext
 
         encoder, part, done = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = batch.column(1)
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in token_counts.balanced(sizes + 64, BLOCK_BYTES):
-                ids, n = encoder.of(texts.slice(a, b - a))
-                ids, n = np.insert(ids, np.cumsum(n), end), n + 1
-                ends = np.append(0, np.cumsum(n))
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part, np.int32)), batch.column(0).slice(a, b - a), pa.array(done + ends[:-1]), pa.array(n), lists], names=schema.names)
-                done += int(ends[-1])
+        for block in _blocks(batches):
+            ids, n = encoder.of(block.column(1))
+            ids, n = np.insert(ids, np.cumsum(n), end), n + 1
+            ends = np.append(0, np.cumsum(n))
+            for a in range(0, len(n), PAGE_ROWS):
+                z = min(a + PAGE_ROWS, len(n))
+                lists = pa.ListArray.from_arrays(pa.array((ends[a : z + 1] - ends[a]).astype(np.int32)), pa.array(ids[ends[a] : ends[z]], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(z - a, part, np.int32)), block.column(0).slice(a, z - a), pa.array(done + ends[a:z]), pa.array(n[a:z]), lists], names=schema.names)
+            done += int(ends[-1])
 
     spark = common.session_of(docs)
     common.tidy(spark)
     order = _order(id_col, text)
     dealt = docs.select(F.col(id_col), F.col(text)).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     rows = dealt.select(F.col(id_col).alias("doc_id"), common.utf8(text).alias("text")).mapInArrow(common.released(encode), schema)
-    settings = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": group_bytes, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": page_rows}
+    settings = {"compression": "snappy", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": group_bytes, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": page_rows}
     for name in ("part", "doc_id", "offset", "n_tokens"):
         settings[f"parquet.enable.dictionary#{name}"] = "false"
     rows.write.options(**settings).parquet(f"{at}/tokens")
