@@ -13,6 +13,7 @@ from .text import display_lines, strip_markup
 
 TEMPLATE = "array<struct<name:string,args:array<string>,named:map<string,string>>>"
 CELLS = "array<struct<row:int,col:int,text:string,header:boolean>>"
+SPANNED = "array<struct<row:int,col:int,text:string,header:boolean,down:int,right:int>>"
 _TOKEN = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
 
 
@@ -66,7 +67,7 @@ def grid(text: str) -> list[dict]:
                 for r in range(row, row + down):
                     for c in range(col, col + right):
                         taken.add((r, c))
-                        cells.append({"row": r, "col": c, "text": body.strip(), "header": mark == "!"})
+                        cells.append({"row": r, "col": c, "text": body.strip(), "header": mark == "!", "down": down, "right": right})
                 col += right
     return sorted(cells, key=lambda c: (c["row"], c["col"]))
 
@@ -100,6 +101,16 @@ def _checked_cells(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else checked(grid(t)))
 
 
+def _whole_cells(text: pd.Series) -> pd.Series:
+    def whole(t: str | None) -> list[dict] | None:
+        try:
+            return None if t is None else checked(grid(t))
+        except TableError:
+            return None
+
+    return text.map(whole)
+
+
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
@@ -113,6 +124,11 @@ def table_cells(text: Column, strict: bool = False) -> Column:
     return F.pandas_udf(_checked_cells if strict else _table_cells, CELLS)(text)
 
 
+def whole_cells(text: Column) -> Column:
+    """Cells of the first table with the rows and columns that each spans; null where they collide or leave holes."""
+    return F.pandas_udf(_whole_cells, SPANNED)(text)
+
+
 def unescape_all(text: Column) -> Column:
     """All character references, numbered ones too, where ``text.unescape`` knows the common ones."""
     return F.pandas_udf(_unescape, "string")(text)
