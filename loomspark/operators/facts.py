@@ -1,8 +1,8 @@
-"""Facts of the world: drops by level, trades, biomes, structures, enchantments, placements, harvests, brewing."""
+"""Facts of the world: drops by level, trades, biomes, structures, enchantments, placements, harvests."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,27 +131,6 @@ def food(rows: DataFrame, key: str, doc: str) -> DataFrame:
     return made.select(key, "f.nutrition", F.round("f.saturation", 2).alias("saturation"), F.coalesce("f.can_always_eat", F.lit(False)).alias("always"))
 
 
-def brewing(bases: DataFrame, effects: DataFrame, corruptions: DataFrame, prefixes: Sequence[str], known: DataFrame, modifiers: Mapping[str, str], finishes: Mapping[str, str]) -> DataFrame:
-    """output, input and ingredient of every potion that can be brewed, of ``known`` (potion) ones alone.
-
-    ``bases`` and ``effects`` have output, input and ingredient; ``corruptions`` (from, to, ingredient) hold for each of the prefixes
-    that both sides are known with; ``modifiers`` (prefix: ingredient) make the prefixed one of the plain; ``finishes`` (form:
-    ingredient) turn a potion into its other forms."""
-    spark = bases.sparkSession
-    prefix = spark.createDataFrame([(p,) for p in prefixes], "p string")  # a few by its definition
-    names = known.select("potion").distinct()
-    corrupted = corruptions.join(F.broadcast(prefix), how="cross").select(F.concat("p", "to").alias("output"), F.concat("p", "from").alias("input"), "ingredient")
-    modified = None
-    for p, ingredient in modifiers.items():
-        one = names.select(F.concat(F.lit(p), "potion").alias("output"), F.col("potion").alias("input"), F.lit(ingredient).alias("ingredient"))
-        modified = one if modified is None else modified.unionByName(one)
-    out = bases.select("output", "input", "ingredient").unionByName(effects.select("output", "input", "ingredient")).unionByName(corrupted).unionByName(modified)
-    out = out.join(names.withColumnRenamed("potion", "output"), "output", "left_semi").join(names.withColumnRenamed("potion", "input"), "input", "left_semi")
-    for form, ingredient in finishes.items():
-        out = out.unionByName(names.select(F.concat(F.lit(form), "potion").alias("output"), F.col("potion").alias("input"), F.lit(ingredient).alias("ingredient")))
-    return out.select("output", "input", "ingredient").distinct()
-
-
 def generation(rows: DataFrame, by: Sequence[str], dimension: str, biome: str) -> DataFrame:
     """Of each block and dimension (``by``): least, most, tries (of veins without a chance), surface (of all), n_biomes, whole (all biomes
     of the dimension), veins in the order of their heights, and peak: that of all veins that have one, if they agree and span the whole

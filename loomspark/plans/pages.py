@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import noise
+from ..functions import editions
+from ..operators import brewing as brews, noise
 from ..sources.tables import table
 from .registry import query
 
@@ -166,3 +167,116 @@ def noise_unknown(spark: SparkSession, at: str) -> DataFrame:
 
 def _text(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+# ---- editions
+
+_FIELD = (
+    ("Normal: {{hp|5}}", None, "no scope"), ("'''In {{JE}}:'''", "first", "own marker"), ("{{hp|X}}", "first", "inherited region"), ("'''Baby in {{BE}}:'''", "second", "own marker"), ("Easy and Normal: {{hp|1}}", "second", "inherited block"),
+    ("Easy, Normal, and Hard:", "second", "inherited block"), ("{{drop|item|Meal}}{{only|be|ee|short=1}}", "second", "own marker"), ("'''Adult:'''", "first", "inherited region"), ("X blocks (tall)", "first", "inherited region"), ("'''{{IN|Bedrock}}:''' {{needs testing}}", "second", "own marker"),
+    ("{{JE}} or {{BE}} both:", None, "unparseable heading"), ("5{{je}} {{be}}", "second", "inherited region"), ("<hr>", None, "no scope"), ("X", None, "no scope"), ("'''Bedrock:'''", "second", "own marker"), ("'''While jumping:'''{{only|java|short=1}}", "first", "own marker"), ("X", "first", "inherited block"),
+    ("'''Ranged:''' (ignores [[armor]])", "second", "inherited region"), ("X<ref>{{BE}}</ref>", "second", "inherited region"),
+)
+_FIELD_SQL = ", ".join("({}, '{}', {}, '{}')".format(i, line.replace("'", "''"), "null" if e is None else f"'{e}'", r) for i, (line, e, r) in enumerate(_FIELD))
+
+
+@query(f"select p_partkey, i as place, replace(line, 'X', p_name) as line, edition, reached from part, (values {_FIELD_SQL}) f(i, line, edition, reached)")
+def edition_scopes(spark: SparkSession, at: str) -> DataFrame:
+    """Lines of a field with headings of all kinds, scoped as rows."""
+    made = table(spark, at, "part").select("p_partkey", F.posexplode(F.transform(F.array(*(F.lit(x[0]) for x in _FIELD)), lambda x: F.replace(x, F.lit("X"), F.col("p_name")))).alias("place", "line"))
+    return brews.edition_scopes(made, ["p_partkey"], ["place"], "line")
+
+
+@query(f"select p_partkey, i as place, replace(line, 'X', p_name) as line, edition, reached from part, (values {_FIELD_SQL}) f(i, line, edition, reached)")
+def edition_fields(spark: SparkSession, at: str) -> DataFrame:
+    """The same within one value, its lines at breaks, rules and list marks."""
+    text = F.lit("<br>".join(x[0] for x in _FIELD[:6]) + "\n* " + "\n\n*".join(x[0] for x in _FIELD[6:12]) + "<hr/>" + "<br />".join(x[0] for x in _FIELD[13:]))
+    lines = editions.scoped(editions.field_lines(F.replace(text, F.lit("X"), F.col("p_name"))))
+    return table(spark, at, "part").select("p_partkey", F.posexplode(lines).alias("place", "s")).select("p_partkey", "place", "s.*")
+
+
+# ---- brewing
+
+_EFFECTS = (
+    ("Sugar", "Speed", 'rowspan="2" | [[Slowness]]'), ("Rabbit's Foot", "Jump Boost", None), ("Glistering Melon Slice", "Instant Health", "rowspan=2 | [[Instant Damage]]"), ("Spider Eye", "Poison", None),
+    ("Blaze Powder", "Strength", "None{{only|java|short=1}}<br>[[Weakness]]{{only|bedrock|short=1}}"), ("Golden Carrot", "Night Vision", "[[Invisibility]]"), ("Fermented Spider Eye", "Weakness", "None"),
+    ("Magma Cream", "Fire Resistance", "rowspan=6 | None"), ("Ghast Tear", "Regeneration", None), ("Pufferfish", "Water Breathing", None), ("Ice Ball{{upcoming|1}}", "Chilled", None), ("Phantom Membrane", "Slow Falling", None), ("Cobweb", "Mystery N", None),
+)
+_BREWING = (
+    'intro\n=== Effect ingredients ===\n{| class="wikitable"\n|-\n! Name\n! Icon\n! Effect\n! Effect when corrupted\n'
+    + "".join(f"|-\n!{{{{anchor|x}}}}[[{n.split('{')[0]}]]{n[len(n.split('{')[0]):]}\n|{{{{Slot|{n.split('{')[0]}}}}}\n|[[{e}]]\n" + (f"| {c}\n" if c else "") for n, e, c in _EFFECTS)
+    + "|}\n=== Base potions ===\n{| class=b\n! Name\n! Recipe\n! Effects\n"
+    + "".join(f"|-\n!{{{{Inventory slot|x}}}}<br>{b} potion\n|{{{{Brewing Stand\n |Input= {i}\n<!-- no -->\n |Output2= Water Bottle\n }}}}\n| None\n" for b, i in (("Awkward", "Nether Wart"), ("Mundane", "Sugar; Redstone Dust; Ice Ball{{upcoming|2}}"), ("Thick", "Glowstone Dust"), ("Other", "Nothing")))
+    + "|}\n==== Splash and lingering potions ====\nBy adding gunpowder and dragon's breath.\n=== Un-brewable potions ===\nThe [[uncraftable potion]], [[potion of Luck]]{{only|java|short=JE}} and [[potion of Decay|''potion of Decay'']]{{only|bedrock|short=BE}}.\n== End ==\n[[no potion]]"
+)
+_ITEMS = ("Sugar", "Rabbit's Foot", "Glistering Melon Slice", "Spider Eye", "Blaze Powder", "Golden Carrot", "Fermented Spider Eye", "Magma Cream", "Ghast Tear", "Pufferfish", "Phantom Membrane", "Cobweb", "Nether Wart", "Redstone Dust", "Glowstone Dust")
+_POTIONS = ("water", "awkward", "mundane", "thick", "weakness", "swiftness", "slowness", "leaping", "healing", "harming", "poison", "strength", "night_vision", "invisibility", "fire_resistance", "regeneration", "water_breathing", "slow_falling", "long_swiftness", "long_slowness", "strong_healing", "strong_harming", "long_poison", "luck")
+
+
+def _brewing_pages(spark: SparkSession, at: str) -> DataFrame:
+    """One page a supplier: every tenth has lost an ingredient of the container steps, every tenth names an unknown one."""
+    k = F.col("s_suppkey")
+    text = F.replace(F.lit(_BREWING), F.lit("Mystery N"), F.concat(F.lit("Mystery "), (k % 3).cast("string")))
+    text = F.when(k % 10 == 3, F.replace(text, F.lit("gunpowder"), F.lit("TNT"))).when(k % 10 == 4, F.replace(text, F.lit("[[Sugar]]"), F.lit("[[Odd Dust]]"))).otherwise(text)
+    return table(spark, at, "supplier").select("s_suppkey", text.alias("text"))
+
+
+def _read_brewing(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    items = spark.createDataFrame([(n, "minecraft:" + n.lower().replace("'", "").replace(" ", "_")) for n in _ITEMS], "name string, id string")
+    return brews.read_pages(_brewing_pages(spark, at), "s_suppkey", "text", items)
+
+
+_PAGES_SQL = "(select s_suppkey, s_suppkey % 3 as odd from supplier where s_suppkey % 10 not in (3, 4))"
+_RECIPES_SQL = "(values " + ", ".join(f"('{k}', 'minecraft:{i}', '{r}')" for k, i, r in (
+    *(("effect" if n != "Fermented Spider Eye" else "base", n.lower().replace("'", "").replace(" ", "_"), e if n != "Fermented Spider Eye" else "weakness") for n, e, _ in _EFFECTS if "{" not in n),
+    ("base", "nether_wart", "awkward"), ("base", "sugar", "mundane"), ("base", "redstone_dust", "mundane"), ("base", "glowstone_dust", "thick"))) + ") r(kind, ingredient, result)"
+
+
+@query(f"select s_suppkey, kind, ingredient, replace(result, 'Mystery N', 'Mystery ' || odd) as result from {_PAGES_SQL}, {_RECIPES_SQL}")
+def brewing_recipes(spark: SparkSession, at: str) -> DataFrame:
+    return _read_brewing(spark, at)[0]
+
+
+@query(f"select s_suppkey, effect, becomes from {_PAGES_SQL}, (values ('Speed', 'Slowness'), ('Jump Boost', 'Slowness'), ('Instant Health', 'Instant Damage'), ('Poison', 'Instant Damage'), ('Night Vision', 'Invisibility')) c(effect, becomes)")
+def brewing_corruptions(spark: SparkSession, at: str) -> DataFrame:
+    """What effects turn into: cells over several rows, and one for two editions."""
+    return _read_brewing(spark, at)[1]
+
+
+@query(f"select s_suppkey, name, reason from {_PAGES_SQL}, (values ('uncraftable potion', null), ('potion of Luck', null)) n(name, reason) union all select s_suppkey, null, case s_suppkey % 10 when 3 then 'no ingredient of the container steps' else 'unknown ingredient: Odd Dust' end from supplier where s_suppkey % 10 in (3, 4)")
+def brewing_rest(spark: SparkSession, at: str) -> DataFrame:
+    """Potions that can't be brewed, and why pages could not be read."""
+    _, _, names, ledger = _read_brewing(spark, at)
+    return names.withColumn("reason", F.lit(None).cast("string")).unionByName(ledger.withColumn("name", F.lit(None).cast("string")))
+
+
+_PATHS = {"Speed": "swiftness", "Jump Boost": "leaping", "Instant Health": "healing", "Instant Damage": "harming"}
+_PATHS_SQL = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in _PATHS.items()) + ") x(name, path)"
+_KNOWN_SQL = "(values " + ", ".join(f"('{p}')" for p in _POTIONS) + ") k(path)"
+
+
+@query(f"""with p as {_PAGES_SQL}, k as (from {_KNOWN_SQL}), r as (select kind, ingredient, case kind when 'base' then result else coalesce(x.path, lower(replace(result, ' ', '_'))) end path from {_RECIPES_SQL} left join {_PATHS_SQL} on x.name = result),
+ c(a, b) as (values ('swiftness', 'slowness'), ('leaping', 'slowness'), ('healing', 'harming'), ('poison', 'harming'), ('night_vision', 'invisibility')), m as (select 'minecraft:potion/' as m)
+ select s_suppkey, m || path as output, 'brewing' as method, ingredient, m || case kind when 'base' then 'water' else 'awkward' end as input, 'brewing/' || kind || '/' || path as source from p, r, m where path in (from k)
+ union all select s_suppkey, m || t || b, 'brewing', 'minecraft:fermented_spider_eye', m || t || a, 'brewing/corruption/' || t || b || '/' || t || a from p, m, c, (values (''), ('long_'), ('strong_')) l(t) where t || a in (from k) and t || b in (from k)
+ union all select s_suppkey, m || 'water', 'filling', null, 'minecraft:glass_bottle', 'brewing/equipment/water_bottle' from p, m
+ union all select s_suppkey, m || t || path, 'brewing', i, m || path, 'brewing/modifier/' || rtrim(t, '_') || '/' || path from p, m, k, (values ('long_', 'minecraft:redstone'), ('strong_', 'minecraft:glowstone_dust')) l(t, i) where t || path in (from k)
+ union all select s_suppkey, 'minecraft:splash_potion', 'brewing', 'minecraft:gunpowder', m || path, 'brewing/container/splash/' || path from p, m, k
+ union all select s_suppkey, 'minecraft:lingering_potion', 'brewing', 'minecraft:dragon_breath', 'minecraft:splash_potion', 'brewing/container/lingering' from p""")
+def brewing(spark: SparkSession, at: str) -> DataFrame:
+    """All that can be brewed, by the recipes of each page."""
+    recipes, corruptions, _, _ = _read_brewing(spark, at)
+    return brews.producers(recipes, corruptions, "s_suppkey", *_registry(spark))[0]
+
+
+def _registry(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([(p,) for p in _POTIONS], "path string"), spark.createDataFrame(list(_PATHS.items()), "name string, path string")
+
+
+@query(f"select s_suppkey, 'luck' as path, null as name from {_PAGES_SQL} union all select s_suppkey, 'mystery_' || odd, 'Mystery ' || odd from {_PAGES_SQL}")
+def brewing_uncovered(spark: SparkSession, at: str) -> DataFrame:
+    """Potions that nothing makes, and effects that are no potion."""
+    recipes, corruptions, _, _ = _read_brewing(spark, at)
+    made, lost = brews.producers(recipes, corruptions, "s_suppkey", *_registry(spark))
+    open_ = brews.uncovered(made, "s_suppkey", _registry(spark)[0])
+    return open_.withColumn("name", F.lit(None).cast("string")).unionByName(lost)

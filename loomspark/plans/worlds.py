@@ -99,23 +99,6 @@ def food_facts(spark: SparkSession, at: str) -> DataFrame:
     return facts.food(table(spark, at, "part").select("p_partkey", doc.alias("doc")), "p_partkey", "doc")
 
 
-KNOWN_SQL = "(select n_name potion from nation union all select 'long_' || n_name from nation where n_nationkey % 2 = 0 union all select 'strong_' || n_name from nation where n_nationkey % 3 = 0 union all select 'awkward')"
-
-
-@query(f"""with k as {KNOWN_SQL}, all_ as (select 'awkward' as output, 'water' as input, 'wart' ingredient union all select n_name, 'awkward', 'i' || n_nationkey from nation where n_nationkey < 10
- union all select p || b.n_name, p || a.n_name, 'eye' from nation a join nation b on b.n_nationkey = a.n_nationkey + 1, (values (''), ('long_'), ('strong_')) t(p) where a.n_nationkey < 6 union all select 'long_' || potion, potion, 'dust' from k union all select 'strong_' || potion, potion, 'glow' from k)
- select distinct * from (select * from all_ where output in (select potion from k) and input in (select potion from k) union all select 'splash_' || potion, potion, 'powder' from k union all select 'lingering_' || potion, potion, 'breath' from k)""")
-def brewing(spark: SparkSession, at: str) -> DataFrame:
-    n = table(spark, at, "nation")
-    k = F.col("n_nationkey")
-    names = n.select("n_name").union(n.where(k % 2 == 0).select(_text("long_", F.col("n_name")))).union(n.where(k % 3 == 0).select(_text("strong_", F.col("n_name")))).union(spark.range(1).select(F.lit("awkward")))
-    bases = spark.range(1).select(F.lit("awkward").alias("output"), F.lit("water").alias("input"), F.lit("wart").alias("ingredient"))
-    effects = n.where(k < 10).select(F.col("n_name").alias("output"), F.lit("awkward").alias("input"), _text("i", k).alias("ingredient"))
-    after = n.select((k - 1).alias("k"), F.col("n_name").alias("to"))
-    corrupt = n.where(k < 6).select(k.alias("k"), F.col("n_name").alias("from")).join(after, "k").select("from", "to", F.lit("eye").alias("ingredient"))
-    return facts.brewing(bases, effects, corrupt, ["", "long_", "strong_"], names.toDF("potion"), {"long_": "dust", "strong_": "glow"}, {"splash_": "powder", "lingering_": "breath"})
-
-
 @query("""with r as (select l_partkey, l_returnflag, l_suppkey % 10 biome, l_linenumber vein, l_linenumber as least, l_linenumber + cast(l_quantity as int) as most, case when l_tax > 0.04 then l_linenumber % 2 end peak, l_linenumber tries, case when l_discount > 0.05 then 0.5 end chance, l_quantity > 5 surface from lineitem),
  d as (select l_returnflag, count(distinct biome) n from r group by 1), g as (select l_partkey, l_returnflag, min(least) as least, max(most) as most, sum(tries) filter (where chance is null) tries, bool_and(surface) surface, count(distinct biome) n_biomes,
  case when min(peak) = max(peak) and min(least) filter (where peak is not null) = min(least) and max(most) filter (where peak is not null) = max(most) then min(peak) end peak from r group by 1, 2),
