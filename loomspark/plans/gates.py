@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import emit, gate
+from ..operators import build, emit, gate
 from ..sources import tables as sources
 from ..sources.tables import table
+from ..session import run_dir
 from .registry import query
 
 # ---- gate
@@ -182,3 +185,21 @@ def image_failures(spark: SparkSession, at: str) -> DataFrame:
     k = F.col("p_partkey") % 4
     files = table(spark, at, "part").select(F.col("p_partkey").alias("name"), F.when(k == 1, F.col("p_name").cast("binary")).otherwise(good).alias("content"), (F.octet_length(good) + F.when(k == 2, 1).otherwise(0)).alias("size"), F.when(k == 3, "0").otherwise(F.sha1(good)).alias("sha1"))
     return sources.image_failures(files, b"\x89PNG\r\n\x1a\n")
+
+
+@query("""with e as (select 'p' || p_partkey id, p_name as name, 'k' || p_size % 3 kind, case when p_size % 3 = 2 then 'k9' else 'k' || p_size % 3 end later, p_partkey k from part),
+ a as (select distinct kind || '-' || (row_number() over (partition by kind order by id) - 1) // 200 as shard, kind from e), b as (select id, name, later, later || '-' || (row_number() over (partition by later order by id) - 1) // 200 as shard from e)
+ select 'shard' as part, shard as name, count(*) n_rows, sum(strlen('{"id":"' || id || '","kind":"' || later || '","name":"' || name || '"}') + 1)::bigint n_bytes from b group by shard
+ union all select 'removed', kind || '-' || (n - 1) // 200, count(*), 0 from (select kind, row_number() over (partition by kind order by id) n from e) where kind = 'k2' group by 2
+ union all select 'index', 'index', count(*), sum(strlen('{"id":"' || id || '","name":"' || name || '"}') + 1)::bigint from e
+ union all select 'graph', 'graph', count(distinct l_partkey), null from lineitem union all select 'manifest', 'manifest', 1, null""")
+def emitted_build(spark: SparkSession, at: str) -> DataFrame:
+    """The report of the second of two builds: all parts, of which one kind has another name."""
+    folder = f"{run_dir(spark)}/build-{uuid.uuid4().hex}"
+    part, size = table(spark, at, "part"), F.col("p_size") % 3
+    kind = F.concat(F.lit("k"), size.cast("string"))
+    producers = table(spark, at, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("output"), F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("seq"), F.col("l_returnflag").alias("method")).distinct()
+    for k in (kind, F.when(size == 2, "k9").otherwise(kind)):
+        entities = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), k.alias("kind"), F.col("p_name").alias("name"))
+        report = build.emit_build(entities, producers, folder, "1", "id", "kind", ["id"], ["name"], "output", "seq")
+    return report.withColumn("n_bytes", F.when(~F.col("part").isin("graph", "manifest"), F.col("n_bytes")))
