@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import collections, emit, gate, graph, merge, odds, ordered, resolve, rows, search
 from ..sources.tables import RowQuery, json_field, resolve_titles, table
-from . import entities as _entities_, gates as _gates, markup as _markup, names as _names, pages as _pages, producers as _producers, workshop as _workshop, worlds as _worlds  # noqa: F401
+from . import entities as _entities_, gates as _gates, markup as _markup, names as _names, packs as _packs, pages as _pages, producers as _producers, workshop as _workshop, worlds as _worlds  # noqa: F401
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
