@@ -11,12 +11,13 @@ What is taken: the container of the largest sum, grown to the <article> or <main
 with it, every other node that reaches the threshold (an article that is split over several containers) where there is
 no <article> or <main>, and else those of the same tag and class; headings right before what is taken, and what stands
 between two taken nodes of one parent and is not mostly links.  Outside of <article> and <main>, blocks of mostly links below
-the threshold are left out of what is taken.  All other text of it is returned, block by block.
+the threshold are left out of what is taken, but not paragraphs and items that are links among others that are none.  All other text of it is returned, block by block.
 
 A name cuts an element off if a whole class token or id says so: one of a list of words ("sidebar"), or two of them that go
 together ("site-footer", "cookie-notice"; not "has-sidebar", "social-history" or "share-holder").  An element (a form, too)
 that the largest sum lies in stays if little text is outside it; one named after comments only if it holds a page heading
-or <main>.  A header within the article stays if it holds its h1.
+or <main>.  A header within the article stays if it holds its h1.  Names that parts of an article have too ("header", "form",
+"search", "login") cut nothing off within it that is no menu and is a block of text, has a heading, or is dense.
 
 Defined cases: a null or empty page, and one without text, give an empty string; unclosed and crossing tags are
 repaired as browsers do for blocks; a cut-off tag or comment at the end ends with the page; of nodes with equal
@@ -38,8 +39,11 @@ from pyspark.sql import types as T
 
 from . import common
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|object|title)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)""", re.S | re.I)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Attributes as browsers read them: a quote opens a value only right behind the equals sign; anywhere else it is a character.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)?+|=)*+"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|object|title)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)""", re.S | re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>="']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+CLOSED = re.compile(r"""(?:^|[\s"'])/\Z""")
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed img input link meta param source track wbr".split())
 #: A start tag of the first kind ends an open element of the second within the nearest container.
@@ -58,6 +62,8 @@ NAMES = COMMENTS | frozenset("ad ads advert adverts advertisement advertising ad
 HOLDERS = frozenset("area bar block box buttons container content form icons inner items left links list modal notice overlay popup posts articles stories right section slot unit widget wrapper wrap".split())
 SCOPES = frozenset("site page global top bottom main primary secondary mobile blog post entry article reader user left right".split())
 SITE = frozenset("site page global top main primary secondary mobile blog".split())
+#: Names that parts of an article have as well: within one they cut off only what looks the part.
+AMBIGUOUS = frozenset("header form search login".split())
 INNER = NAMES - frozenset("header form search notice notices login widget widgets".split())
 
 
@@ -136,7 +142,7 @@ def parse(html: str) -> Node:
                 node = _close(node, "a", within=True)
             new = Node(tag, node, inline=True)
             new.read(m[4])
-            if not m[4].endswith("/"):
+            if not CLOSED.search(m[4]):
                 node = new
         else:
             up = _block(node)
@@ -251,9 +257,10 @@ def _cut_by_name(order: list[Node]) -> bool:
         elif n.names and id(n) not in way:
             aside.add(id(n))
             free -= n.chars - n.linked
+    least = min(n.density for n in _way(_best(order)))
     for n in found:
         if id(n) not in way:
-            n.cut = not (n.names == {"header"} and _in_article(n) and any(x.tag == "h1" for x in _below(n)))
+            n.cut = not (n.names <= AMBIGUOUS and n.tag != "form" and (_in_article(n) or id(n.parent) in way) and _reads(n, least))
         elif COMMENTS & n.names:
             n.cut = not any(x.tag in ("h1", "main") for x in _below(n))
         else:
@@ -262,6 +269,13 @@ def _cut_by_name(order: list[Node]) -> bool:
     return any(n.cut for n in found)
 
 
+def _reads(node: Node, least: float) -> bool:
+    """Whether an element within an article reads as text: it is no menu, and it is a block of text, has a heading, or is dense."""
+    if node.linked * 2 > node.chars or not node.chars:
+        return False
+    return node.tag in TEXTUAL or node.density >= least or any(x.tag in HEADINGS for x in _below(node))
+
+
 def select(root: Node) -> list[Node]:
     order = measure(root)
     best = _best(order)
@@ -288,10 +302,16 @@ def select(root: Node) -> list[Node]:
         more |= _headings(n, more)
         if article is None:
             for x in _below(n):  # menus that no tag or name tells apart
-                x.cut = not x.inline and x.density < least and x.linked * 2 > x.chars
+                x.cut = not x.inline and x.density < least and x.linked * 2 > x.chars and not _item(x)
     return [n for n in order if id(n) in more]
 
 
+def _item(node: Node) -> bool:
+    """A paragraph or item that is a link among others that are none."""
+    up = node.parent
+    return node.tag in TEXTUAL and node.tag not in ("ul", "ol", "dl", "table") and up is not None and up.linked * 2 <= up.chars
+
+
 def _between(up: Node, taken: set[int]) -> set[int]:
     """Children between two taken ones that hold text which is not mostly links."""
     children = [x for x in up.parts if isinstance(x, Node) and not x.cut]

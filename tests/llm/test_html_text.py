@@ -92,6 +92,46 @@ def test_density_decides_without_names():
     assert H.main_text(f"<body><div>{text}<p>yes</p></div><p>(short)</p><section>{text}</section></body>") == "\n\n".join([*LONG * 2, "yes", "(short)", *LONG * 2])
 
 
+def test_attributes_as_browsers_read_them():
+    for start in ("<p title=it's>", "<p title='a>b'>", '<p title="a>b" hidden-x>', "<p a'b=c\"d>", "<p 'x>", '<p x="a" "y>', "<p data-a=x'y'z class=lead>", "<p a = 'b>c' / d=e/>", "<p =x>"):
+        assert H.main_text(f"<body>{start}Hello</p><p>There</p></body>") == "Hello\n\nThere", start
+    assert H.main_text("<body><div><p>One <a href=it's>two</a> three</p><p>four <a href=/x/>five</a> six</p></div></body>") == "One two three\n\nfour five six"
+    assert H.main_text("<body><div class=sidebar title=o'clock><p>Side</p></div><p>" + LONG[0] + "</p></body>") == LONG[0]
+    assert H.main_text("<body><p>" + LONG[0] + "</p><p title='never ends>" + LONG[1]) .startswith(LONG[0])
+    broken = "<p title='" + "a='\"' " * 20_000
+    assert H.main_text(f"<body><p>{LONG[0]}</p>{broken}").startswith(LONG[0])  # in linear time
+
+
+def test_ambiguous_names_within_the_article():
+    text = "".join(f"<p>{x}</p>" for x in LONG * 2)
+    parts = [("<div class='section header'><h2>Part two</h2><p>How it goes on from here.</p></div>", "Part two\n\nHow it goes on from here."), ("<p class='form'>The form of it.</p>", "The form of it."), ("<p id='search'>The search went on.</p>", "The search went on."), ("<section id='login'><h3>Logging in</h3><p>How to log in to the thing, step by step.</p></section>", "Logging in\n\nHow to log in to the thing, step by step.")]
+    for part, want in parts:
+        for tag in ("article", "main", "div"):
+            assert H.main_text(f"<body><{tag}>{text}{part}{text}</{tag}></body>") == "\n\n".join([*LONG * 2, want, *LONG * 2]), (tag, part)
+    for junk in ("<div class='search'><a href='/a'>find it</a> <a href='/b'>or that</a></div>", "<form class='login'><p>Your name, and the word that you chose for it</p><input></form>", "<div class='login'>Log in</div>", "<p class='advert'>Buy this thing today, it is very good and not dear at all</p>"):
+        assert H.main_text(f"<body><article>{text}{junk}{text}</article></body>") == "\n\n".join(LONG * 4), junk
+    assert H.main_text(f"<body><div class='header'><p>The name of the site and a few words of what it is about, for all to read.</p></div><article>{text}</article></body>") == "\n\n".join(LONG * 2)
+
+
+def test_links_among_items_stay():
+    text = "".join(f"<p>{x}</p>" for x in LONG * 2)
+    items = "<ul><li>one of them is plain</li><li><a href=x>two</a></li><li>three is plain too</li></ul><p><a href=y>The whole report</a></p>"
+    for tag in ("article", "div"):
+        assert H.main_text(f"<body><{tag}>{text}{items}{text}</{tag}></body>") == "\n\n".join([*LONG * 2, "one of them is plain", "two", "three is plain too", "The whole report", *LONG * 2])
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>place {i}</a></li>" for i in range(9)) + "</ul>"
+    assert H.main_text(f"<body><div>{text}{menu}{text}</div></body>") == "\n\n".join(LONG * 4)
+
+
+def test_density_alone_on_the_drivers_pages():
+    """Without <article>, the pages give what they give with it."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    changed = [re.sub(r"<(/?)article\b", r"<\1div", p) for p in pages]
+    assert sum(a != b for a, b in zip(pages, changed)) > 200
+    assert [H.main_text(p) for p in changed] == [H.main_text(p) for p in pages]
+
+
 class Strict(HTMLParser):
     """A tree of well-formed markup with what the paper counts: characters, tags, link characters, link tags."""
 
