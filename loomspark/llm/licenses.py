@@ -3,35 +3,44 @@
 Candidate notices of a text are its lines, windows of two and three neighbouring lines, its sentences (across lines),
 and the windows of as many terms as a template has that hold one of its rare terms, so that a notice is found where it
 is wrapped, or stands within a line that says more.  The whole text and its first terms, as many as the template has,
-are held against full licence texts (``licence_texts``; the one of AGPL-3.0 is made from that of
-GPL-3.0).  A licence file (by its name) is held against the short notices as a whole, too.
+are held against full licence texts (``licence_texts``).  A licence file (by its name) is held against the short notices
+as a whole, too.
 
 Terms are runs of ASCII letters and digits, lower-cased; the weight of a term in a notice is its count times
 ln((N + 1) / (df + 1)) + 1, with N the number of texts and df the number of texts that hold the term, over the whole
 table and for all terms.  A text takes the template of the largest cosine if that is ``least`` or more.
 
-Only the candidates which can reach ``least`` are weighed: those with one of some terms of a template, as many as
-leave the rest of the template a norm below ``least`` of the whole.  That bound is exact: other terms only lower a cosine.
+Only texts with one of some terms of a template are weighed: as many terms as leave the rest of the template a norm below
+``least`` of the whole.  That bound is exact: other terms only lower a cosine.  The weights of the distinct terms of such a
+text are joined to it, and all its candidates are spans of its term positions: a dot product is a difference of running sums,
+and windows of one length are weighed side by side.  So the work of a text grows with its positions, and no candidate becomes a row
+before it is known to reach ``least``.
 
 A file without a notice of its own inherits from the nearest directory above it that has one: the directory's
 licence is that of its licence files or else of its licensed files, the smallest path first.  Directories are
 aggregated before they are joined, so a directory with a third of all files is one row.
 
 Defined cases: null and empty texts have no notice and may inherit; a null path has no directory and can't
-inherit; equal cosines go to the template whose id sorts first, equal notices to the first line; rows that repeat
-give one result each; an empty table gives an empty result.
+inherit; equal cosines go to the first candidate (lines, then windows of terms, then the whole), then to the template whose
+id sorts first; rows that repeat give one result each; texts of any length are weighed whole; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .decontaminate import LOWER, UPPER
 
 # Licence ids and the usual notice of each.
 TEMPLATES = {
@@ -51,14 +60,15 @@ TEMPLATES = {
 #: Tags that name a licence; a candidate must have the terms of one and no others.
 TAGS = {f"tag:{name}": f"SPDX-License-Identifier: {name}" for name in TEMPLATES}
 TERM = r"[a-z0-9]+"
+_ASCII = str.maketrans(UPPER, LOWER)
 #: Ends of sentences: a stop and a capital after it ("v. 2.0" goes on), or a blank line.
-SENTENCE = r"(?<=[.!?])\s+(?=\p{Lu})|\n\s*\n"
+SENTENCE = regex.compile(r"(?<=[.!?])\s+(?=\p{Lu})|\n\s*\n")
 SALTS = 64
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
 
 
 def terms_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
 
 
 def _terms(text: str) -> list[str]:
@@ -66,9 +76,7 @@ def _terms(text: str) -> list[str]:
 
 
 def full_texts() -> dict[str, str]:
-    texts = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
-    texts["AGPL-3.0"] = re.sub(r"(?i)\bGNU(\s+)General(\s+)Public(\s+)License", r"GNU Affero\1General\2Public\3License", texts["GPL-3.0"])
-    return texts
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 
 
 def frequencies(files: DataFrame, text: str) -> tuple[DataFrame, int]:
@@ -114,55 +122,110 @@ def _pattern(keys: list[str]) -> str:
     return r"(?i)(?<![a-z0-9])(?:" + "|".join(keys) + r")(?![a-z0-9])"
 
 
-def units(files: DataFrame, short: list[str], full: list[str], lengths: list[int], heads: list[int], text: str, path: str) -> DataFrame:
-    """key, kind ('short' or 'full'), line (the order among equal cosines) and terms of the candidates."""
-    keys = F.array(*map(F.lit, short))
-    rows = files.where(F.col(text).rlike(_pattern(sorted({*short, *full})))).select(common.row_key(text, path).alias("key"), F.col(text).alias("text"), F.col(path).rlike(LICENCE_FILE).alias("file"))
-    # a row that repeats wholly has the same key: the counts of all its terms grow alike, which changes no cosine
-    rows = common.written(rows, "candidates")
-    noted = common.held(rows.where(F.col("text").rlike(_pattern(short))), "lines", F.split("text", "\n"))
-    numbers = lambda k: F.when(F.size("lines") >= k, F.sequence(F.lit(1), F.size("lines") - k + 1)).otherwise(F.array().cast("array<int>"))
-    near = lambda k: F.transform(numbers(k), lambda i: F.concat_ws(" ", *(F.element_at("lines", i + j) for j in range(k))))
-    whole = F.when(F.col("file"), F.array("text")).otherwise(F.array().cast("array<string>"))
-    texts = noted.select("key", F.posexplode(F.concat("lines", whole, near(2), near(3), F.split("text", SENTENCE))).alias("line", "u")).where(F.col("u").rlike(_pattern(short)))
-    out = texts.select("key", F.lit("short").alias("kind"), F.struct(F.lit(0).alias("a"), F.col("line").cast("long").alias("b")).alias("line"), terms_of(F.col("u")).alias("terms"))
-    # windows of terms around each key term; written as rows of (start, length)
-    words = common.held(noted.select("key", "text"), "all", terms_of(F.col("text"))).drop("text")
-    hits = words.select("key", "all", F.explode(F.filter(F.transform("all", lambda x, i: F.when(x.isin(short), i + 1)), lambda i: i.isNotNull())).alias("at"))
-    sized = hits.select("key", "all", "at", F.explode(F.array(*map(F.lit, lengths))).alias("m"))
-    spans = sized.select("key", "all", "m", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("m") + 1), F.col("at"))).alias("a")).where(F.col("a") + F.col("m") - 1 <= F.size("all"))
-    within = spans.select("key", F.col("a"), F.col("m"), F.slice("all", F.col("a"), F.col("m")).alias("terms")).distinct()
-    out = out.unionByName(within.select("key", F.lit("short").alias("kind"), F.struct(F.lit(1).alias("a"), (F.col("a").cast("long") * 1000 + F.col("m")).alias("b")).alias("line"), "terms"))
-    long = common.held(rows.where(F.col("text").rlike(_pattern(full))).select("key", "text"), "all", terms_of(F.col("text")))
-    tops = F.array(F.size("all"), *(F.least(F.lit(m), F.size("all")) for m in heads))
-    top = long.select("key", "all", F.explode(F.array_distinct(tops)).alias("m"))
-    return out.unionByName(top.select("key", F.lit("full").alias("kind"), F.struct(F.lit(2).alias("a"), F.col("m").cast("long").alias("b")).alias("line"), F.slice("all", F.lit(1), F.col("m")).alias("terms")))
+class Weigher:
+    """Weighs all candidates of one text against the templates."""
+
+    def __init__(self, short: dict[str, dict[str, float]], full: dict[str, dict[str, float]], lengths: list[int], heads: list[int], short_keys: list[str], full_keys: list[str], least: float):
+        self.terms = {t: i for i, t in enumerate(sorted({t for v in (*short.values(), *full.values()) for t in v}))}
+        self.names = {"short": sorted(short), "full": sorted(full)}
+        self.matrix = {kind: np.array([[vs[n].get(t, 0.0) for t in self.terms] for n in self.names[kind]]).reshape(len(vs), -1) for kind, vs in (("short", short), ("full", full))}
+        self.least = {kind: np.array([1 - 1e-6 if n.startswith("tag:") else least for n in self.names[kind]]) for kind in self.names}
+        self.lengths, self.heads, self.short, self.full = lengths, heads, frozenset(short_keys), frozenset(full_keys)
+
+    def best(self, text: str, weight: dict[str, float], file: bool) -> tuple[str, float] | None:
+        places = [(m.start(), m.group()) for m in re.finditer(TERM, text.translate(_ASCII))]
+        starts, terms = np.array([p for p, _ in places], np.int64), [t for _, t in places]
+        kinds: dict[str, int] = {}
+        code = np.fromiter((kinds.setdefault(t, len(kinds)) for t in terms), np.int64, len(terms))
+        w = np.array([weight[t] for t in kinds])
+        column = np.array([self.terms.get(t, -1) for t in kinds])
+        found: list[tuple] = []
+        key = np.fromiter((t in self.short for t in kinds), bool, len(kinds))[code]
+        if key.any():
+            hits = np.append(0, np.cumsum(key))
+            for k, (a, z) in enumerate(self._parts(text, starts, file)):
+                if hits[z] > hits[a]:
+                    found += self._span("short", (0, k), code[a:z], w, column)
+            for m in self.lengths:
+                found += self._windows(m, code, w, column, hits)
+        if self.full and any(t in self.full for t in kinds):
+            for m in sorted({len(code), *(min(h, len(code)) for h in self.heads)}):
+                found += self._span("full", (2, m), code[:m], w, column)
+        if not found:
+            return None
+        score, _, name = min(found)
+        return name.removeprefix("tag:"), -score
+
+    def _parts(self, text: str, starts: np.ndarray, file: bool) -> Iterator[tuple[int, int]]:
+        """Spans of terms: lines, the whole of a licence file, two and three lines, sentences."""
+        ends = [i for i, c in enumerate(text) if c == "\n"] + [len(text)]
+        lines = np.append(0, np.searchsorted(starts, ends)).tolist()
+        yield from zip(lines[:-1], lines[1:], strict=True)
+        if file:
+            yield 0, len(starts)
+        for k in (2, 3):
+            yield from zip(lines[:-k], lines[k:], strict=True)
+        cuts = [0, *(x for m in SENTENCE.finditer(text) for x in (m.start(), m.end())), len(text)]
+        at = np.searchsorted(starts, cuts).tolist()
+        yield from zip(at[::2], at[1::2], strict=True)
+
+    def _span(self, kind: str, order: tuple[int, int], code: np.ndarray, w: np.ndarray, column: np.ndarray) -> list[tuple]:
+        which, tf = np.unique(code, return_counts=True)
+        x = tf * w[which]
+        norm = math.sqrt(float((x * x).sum()))
+        known = column[which] >= 0
+        scores = self.matrix[kind][:, column[which[known]]] @ x[known] / norm if norm else np.zeros(len(self.names[kind]))
+        return [(-round(float(scores[i]), 9), order, self.names[kind][i]) for i in np.flatnonzero(np.round(scores, 9) >= self.least[kind])]
+
+    def _windows(self, m: int, code: np.ndarray, w: np.ndarray, column: np.ndarray, hits: np.ndarray, step: int = 1 << 14) -> list[tuple]:
+        """All windows of m terms with a key term, ``step`` of them side by side."""
+        out: list[tuple] = []
+        at = np.flatnonzero(hits[m:] > hits[:-m]) if len(hits) > m else np.zeros(0, np.int64)
+        for i in range(0, len(at), step):
+            a = at[i : i + step]
+            c = code[a[:, None] + np.arange(m)]
+            same = np.zeros(c.shape)
+            for k in range(m):
+                same += c == c[:, k : k + 1]  # how often each term is in its window
+            x = w[c]
+            norm = np.sqrt((x * x * same).sum(1))
+            of = column[c]
+            share = np.where(of >= 0, x, 0.0)
+            for j, name in enumerate(self.names["short"]):
+                scores = np.round((share * self.matrix["short"][j][of]).sum(1) / norm, 9)
+                for r in np.flatnonzero(scores >= self.least["short"][j]):
+                    out.append((-float(scores[r]), (1, int(a[r] + 1) * 1000 + m), name))
+            out = [min(out)] if out else out
+        return out
 
 
 def notices(files: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, text: str = "text", path: str = "path") -> DataFrame:
-    """``path``, key, license and score: the best notice of each text that has one.  Full licence texts are held beside
+    """key, license and score: the best notice of each text that has one.  Full licence texts are held beside
     the templates of the module only."""
     full = {} if templates else full_texts()
     templates = templates or TEMPLATES | TAGS
-    spark = common.session_of(files)
     df, n = frequencies(files, text)
     weight, frequent = weights(df, n, [*templates.values(), *full.values()])
     vectors, wide = template_vectors(templates, weight), template_vectors(full, weight)
-    lengths = sorted({len(_terms(x)) for x in templates.values()})
-    heads = sorted({len(_terms(x)) for x in full.values()})
-    found = units(files, key_terms(vectors, least), key_terms(wide, least, frequent) or key_terms(vectors, least), lengths, heads, text, path)
-    rows = [(kind, name, t, x) for kind, vs in (("short", vectors), ("full", wide)) for name, v in vs.items() for t, x in v.items()]
-    templ = F.broadcast(spark.createDataFrame(rows, "kind string, license string, term string, tw double"))  # some ten thousand rows by their definition
-    one = ["key", "kind", "line"]
-    tf = found.select(*one, F.explode("terms").alias("term")).groupBy(*one, "term").agg(F.count("*").alias("tf"))
-    tf = common.written(tf.join(df.select("term", "w"), "term").withColumn("x", F.col("tf") * F.col("w")), "weighed")
-    norm = tf.groupBy(*one).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = tf.join(templ, ["kind", "term"]).groupBy(*one, "license").agg(F.sum(F.col("x") * F.col("tw")).alias("dot"))
-    score = dot.join(norm, one).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
-    tag = F.col("license").startswith("tag:")
-    score = score.where(F.col("score") >= F.when(tag, 1 - 1e-6).otherwise(F.lit(least))).withColumn("license", F.regexp_replace("license", "^tag:", ""))
-    best = score.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("line"), F.col("license"))).alias("b"))
-    return best.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    short_keys, full_keys = key_terms(vectors, least), key_terms(wide, least, frequent)
+    weigher = Weigher(vectors, wide, sorted({len(_terms(x)) for x in templates.values()}), sorted({len(_terms(x)) for x in full.values()}), short_keys, full_keys, least)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, body, file, terms, ws in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                best = weigher.best(body, dict(zip(terms, ws, strict=True)), bool(file))
+                if best:
+                    out.append((key, *best))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.float64())], names=["key", "license", "score"])
+
+    rows = files.where(F.col(text).rlike(_pattern(sorted({*short_keys, *full_keys})))).select(common.row_key(text, path).alias("key"), F.col(text).alias("text"), F.col(path).rlike(LICENCE_FILE).alias("file"))
+    rows = common.written(rows, "candidates")
+    # rows that repeat wholly have one key, and become one set of terms before anything is shuffled
+    terms = rows.select("key", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("key", "term").agg(F.lit(1).alias("one"))
+    weighed = common.written(terms.join(df.select("term", "w"), "term").groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws")), "weighed")
+    found = rows.join(weighed, "key").select("key", "text", "file", "terms", "ws").mapInArrow(common.released(weigh), "key binary, license string, score double")
+    return found.groupBy("key").agg(F.first("license").alias("license"), F.first("score").alias("score"))
 
 
 def parents(path: Column) -> Column:

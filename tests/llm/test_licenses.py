@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 
 from loomspark.llm import licenses as L
@@ -107,3 +108,85 @@ def test_frequencies_of_all_terms(spark):
     rows = [(str(i), "see it see" if i % 2 else "other") for i in range(10)]
     df, n = L.frequencies(spark.createDataFrame(rows, "path string, text string"), "text")
     assert n == 10 and {r.term: (r.df, round(r.w, 9)) for r in df.collect()} == {t: (5, round(math.log(11 / 6) + 1, 9)) for t in ("see", "it", "other")}
+
+
+def every_candidate(text, file, lengths, heads):
+    """(kind, candidate's terms) of a text, told from its definition."""
+    terms = lambda t: re.findall(L.TERM, t.lower())
+    lines, all_ = text.split("\n"), terms(text)
+    for k in (1, 2, 3):
+        yield from (("short", terms(" ".join(lines[i : i + k]))) for i in range(len(lines) - k + 1))
+    yield from (("short", terms(x)) for x in re.split(r"(?<=[.!?])\s+(?=[A-Z])|\n\s*\n", text))
+    if file:
+        yield "short", all_
+    for m in lengths:
+        yield from (("short", all_[i : i + m]) for i in range(len(all_) - m + 1))
+    yield from (("full", all_[:m]) for m in {len(all_), *heads})
+
+
+def test_query_as_brute_force(spark, tmp_path):
+    """op9_license_scan over lines, windows of terms, and full texts: all candidates against all templates."""
+    from loomspark.llm import queries
+
+    r, full, short = random.Random(4), L.full_texts(), L.TEMPLATES | L.TAGS
+    filler = lambda n: " ".join(r.choice("the this file is of under version license terms work and more words see public general red blue".split()) for _ in range(n))
+    texts = [None, "", filler(30), full["MIT"], "# " + full["ISC"].replace("\n", "\n# ") + "\n" + filler(200), full["AGPL-3.0"], full["GPL-3.0"], filler(40) + "\n\n" + full["BSD-3-Clause"][:900]]
+    for name in list(short)[::2]:
+        words = short[name].split()
+        cut = r.randrange(1, len(words)) if len(words) > 1 else 0
+        texts.append(filler(8) + "\n" + " ".join(words[:cut]) + "\n * " + " ".join(words[cut:]) + "\n" + filler(9))
+        texts.append(filler(20) + " " + " ".join(words).upper() + " " + filler(20) + ". Then more.")
+        texts.append(filler(3) + " " + " ".join(words[:-1]) + " " + filler(3))
+    rows = [(i, t, r.choice(["de", "en", None]), r.choice(["a", "b"]), 1) for i, t in enumerate(texts)] + [(900 + i, filler(25 + i), "fr", "a", 1) for i in range(60)]
+    rows += [rows[8], rows[8]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in queries.op9_license_scan(spark, str(tmp_path)).collect()}
+
+    n, df = len(rows), {}
+    for row in rows:
+        for t in set(re.findall(L.TERM, (row[1] or "").lower())):
+            df[t] = df.get(t, 0) + 1
+    w = lambda t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1
+
+    def vector(terms):
+        v = {}
+        for t in terms:
+            v[t] = v.get(t, 0) + w(t)
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = {"short": {k: vector(re.findall(L.TERM, t.lower())) for k, t in short.items()}, "full": {k: vector(re.findall(L.TERM, t.lower())) for k, t in full.items()}}
+    lengths, heads = ({len(re.findall(L.TERM, t.lower())) for t in x.values()} for x in (short, full))
+    own = {}
+    for i, text, *_ in rows:
+        best = (0.0, None)
+        for kind, terms in every_candidate(text or "", False, lengths, heads) if text else ():
+            v = vector(terms) if terms else {}
+            for name, x in vectors[kind].items():
+                c = round(sum(v.get(t, 0.0) * y for t, y in x.items()), 9)
+                if c >= (1 - 1e-6 if name.startswith("tag:") else 0.8) and c > best[0]:
+                    best = (c, name.removeprefix("tag:"))
+        own[i] = best
+        assert (got[i].via == "own") == (best[1] is not None), (i, best, got[i])
+        if best[1]:
+            assert abs(got[i].score - best[0]) < 1e-6 and (got[i].license == best[1] or abs(best[0] - 1) < 1e-6), (i, best, got[i])
+    assert sum(x[1] is not None for x in own.values()) > 20 and own[5][1] == "AGPL-3.0" and own[6][1] == "GPL-3.0"
+    # the rest inherit within their source and language, the smallest path first
+    for i, _, lang, source, _ in rows:
+        if got[i].via != "own":
+            near = sorted(f"{s}/{la or 'none'}/{j}.txt" for j, _, la, s, _ in rows if own[j][1] and (s, la) == (source, lang))
+            if near:
+                j = int(near[0].rsplit("/", 1)[1][:-4])
+                assert (got[i].via, got[i].license) == ("inherited", got[j].license)
+
+
+def test_many_key_terms_in_a_long_text(spark):
+    """A megabyte with 10,000 key terms: work grows with positions."""
+    import time
+
+    long = " ".join("license mit apache version released" if i % 8 == 0 else f"word{i % 977} other things said here" for i in range(30_000))
+    files = spark.createDataFrame([("a/long.txt", long + "\nReleased under the MIT License."), ("a/b.txt", "x")], "path string, text string")
+    assert len(long) > 900_000 and len(re.findall("license", long)) > 3_000
+    began = time.time()
+    got = {r.path: r for r in L.scan(files).collect()}
+    assert got["a/long.txt"].via == "own" and time.time() - began < 60
