@@ -5,9 +5,11 @@ paragraphs, lane by lane, modulo powers of two.  The order of paragraphs does no
 ``delete`` change a fingerprint without the rest of the text.  A vector has two kinds of lanes:
 
 * 8 lanes modulo 2**64, uniform in the paragraph's digest: these decide equality;
-* 256 lanes modulo 2**64, read as signed numbers, to which every two-word shingle of the paragraph adds +1 or -1 in one lane (a
-  counting sketch): the inner product of two such parts estimates how many shingles two texts share, so
-  that ``likeness`` grades texts which are not equal.
+* 256 lanes modulo 2**64, read as signed numbers, to which every kind of two-word shingle of the paragraph adds +1 or -1 in one
+  lane (a counting sketch): the inner product of two such parts estimates how many shingles two texts share, so
+  that ``likeness`` grades texts which are not equal.  A shingle counts once a paragraph, so that one which is repeated
+  thousands of times there doesn't outweigh all others; of words of over ``LONG`` bytes (scripts without white space) each
+  character is a word.  Its standard error is about 1 / sqrt(256) = 0.06.
 
 Likeness of a and b: 2<a,b> / (<a,a> + <b,b>) over the sketch lanes, held to 0..1; 1 where both are equal, and
 0 where just one is empty.  A fingerprint is written as hex: the 8 wide lanes, a colon, and the sketch lanes as
@@ -38,6 +40,8 @@ from . import common
 from .common import Rolling
 
 WIDE, SKETCH = 8, 256
+#: Bytes of a word beyond which its characters are taken one by one.
+LONG = 48
 _M = (1 << 64) - 1
 
 
@@ -55,7 +59,7 @@ def wide_lanes(paragraph: bytes) -> np.ndarray:
 
 
 def sketch_lanes(buf: np.ndarray) -> np.ndarray:
-    """Signed counts of the two-word shingles inside each paragraph of ``buf``; a paragraph of one word counts that word."""
+    """Signed numbers of the kinds of two-word shingles inside each paragraph of ``buf``; a paragraph of one word counts that word."""
     if not len(buf):
         return np.zeros(SKETCH, np.int64)
     space = _SPACE[buf]
@@ -63,6 +67,8 @@ def sketch_lanes(buf: np.ndarray) -> np.ndarray:
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return np.zeros(SKETCH, np.int64)
+    if (end - start).max() > LONG:
+        start, end = _by_characters(buf, start, end)
     r = _rolling()
     with np.errstate(over="ignore"):
         words = r.spans(r.prefix(buf), start, end)
@@ -72,11 +78,26 @@ def sketch_lanes(buf: np.ndarray) -> np.ndarray:
         alone = np.ones(len(words), bool)
         alone[1:] &= ~same
         alone[:-1] &= ~same
-    h = np.concatenate([pairs, words[alone]])
+        # a shingle and its paragraph; the first of each kind is kept
+        h, of = np.concatenate([pairs, words[alone]]), np.concatenate([line[1:][same], line[alone]]).astype(np.uint64)
+        h = h[np.unique(common.mix(h + of * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]] if len(h) > 1 else h
     sign = 1 - 2 * (h >> np.uint64(63)).astype(np.int64)
     return np.bincount((h % np.uint64(SKETCH)).astype(np.int64), weights=sign, minlength=SKETCH).astype(np.int64)
 
 
+def _by_characters(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words, but of long ones each character."""
+    first = (buf & 0xC0) != 0x80  # of a character in UTF-8
+    inside = np.zeros(len(buf) + 1, np.int8)
+    long = end - start > LONG
+    np.add.at(inside, start[long], 1)
+    np.add.at(inside, end[long], -1)
+    chars = np.flatnonzero(first & (np.cumsum(inside[:-1]) > 0))
+    starts = np.sort(np.concatenate([start[~long], chars]))
+    bounds = np.sort(np.concatenate([end, chars]))  # a character ends where the next begins, or its word
+    return starts, bounds[np.searchsorted(bounds, starts, side="right")]
+
+
 class Fingerprint:
     """Lanes of a multiset of paragraphs."""
 

@@ -55,8 +55,8 @@ def shared(a, b):
     def bag(t):
         out = Counter()
         for line in t.split("\n"):
-            w = line.split()
-            out.update(zip(w, w[1:], strict=False) if len(w) > 1 else w)
+            w = [x for word in line.split() for x in ([word] if len(word.encode()) <= P.LONG else word)]
+            out.update(set(zip(w, w[1:], strict=False)) if len(w) > 1 else set(w))
         return out
 
     x, y = bag(a), bag(b)
@@ -97,3 +97,38 @@ def test_lanes_do_not_wrap():
         assert np.array_equal(P.Fingerprint.parse(some.text()).sketch, some.sketch)
     big = P.Fingerprint(sketch=P.Fingerprint.of(b"a b c d").sketch << 40)
     assert P.likeness(big, P.Fingerprint(wide=big.wide + 1, sketch=big.sketch)) == 1.0
+
+
+def test_texts_without_white_space():
+    r = random.Random(5)
+    of = lambda t: P.Fingerprint.of(t.encode())
+    han = lambda n: "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
+    for n in (500, 4000, 40_000):
+        a, b = han(n), han(n)
+        half = a[: n // 2] + b[: n // 2]
+        assert abs(P.likeness(of(a), of(half)) - shared(a, half)) < 0.2 and 0.4 < shared(a, half) < 0.6
+        assert P.likeness(of(a), of(b)) < 0.2
+    mixed = "short words and " + "x" * 60 + "é" * 30 + " end\n" + han(100) + "\nlast"
+    assert P.likeness(of(mixed), of(mixed + " y")) > 0.8
+    starts, ends = P._by_characters(np.frombuffer("ab 漢é".encode() + b"z" * 50 + b" c", np.uint8), np.array([0, 3, 59]), np.array([2, 58, 60]))
+    assert list(zip(starts, ends))[:4] == [(0, 2), (3, 6), (6, 8), (8, 9)] and (starts[-1], ends[-1]) == (59, 60) and len(starts) == 54
+
+
+def test_repeated_shingles_do_not_outweigh_the_rest():
+    r = random.Random(6)
+    of = lambda t: P.Fingerprint.of(t.encode())
+    a, b = ("x " * 5000 + data.words(r, 5000, 10**9) for _ in range(2))
+    assert P.likeness(of(a), of(b)) < 0.25 and shared(a, b) < 0.01
+
+
+def test_error_over_many_pairs():
+    """Against true shingle overlap: 0.06 on average at most, 0.2 at most."""
+    r, errors = random.Random(7), []
+    for k in range(120):
+        n = r.choice([50, 200, 1000, 5000])
+        a = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        b = [w if r.random() < k / 120 else f"v{r.randrange(10**6)}" for w in a]
+        cut = r.randrange(1, n)
+        x, y = (" ".join(t[:cut]) + "\n" + " ".join(t[cut:]) for t in (a, b))
+        errors.append(abs(P.likeness(P.Fingerprint.of(x.encode()), P.Fingerprint.of(y.encode())) - shared(x, y)))
+    assert sum(errors) / len(errors) < 0.06 and max(errors) < 0.2
