@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import trees
+from ..operators import collections, trees
 from ..sources.tables import table
 from .registry import query
 
@@ -129,3 +129,45 @@ def obtain_stubs_web(spark: SparkSession, at: str) -> DataFrame:
     """Each item as a stub below its neighbour, gone on with to depth 2."""
     roots = _ring(spark, at).select(_item(F.col("j")).alias("item"), F.array(_item(F.col("j") + 1)).alias("way"))
     return trees.card_tree(roots, trees.cards(*_recipes(spark, at)), depth=2, top=False)
+
+
+# ---- collections with columns
+
+_MANIFESTS = (
+    '{"id": "food", "rule": {"component": "food"}, "sort": "food.nutrition", "descending": true, "columns": ["food.nutrition", "food.saturation", "compost.chance"]}',
+    '{"id": "fuel", "rule": {"section": "FuelInfo"}, "sort": "fuel.burnTime", "columns": ["fuel.burnTime", "fuel.operations"]}',
+    '{"id": "barter", "rule": {"method": "bartering"}, "sort": "obtain.chance", "descending": true, "columns": ["obtain.chance", "obtain.stackRange", "obtain.perAttempt"]}',
+    '{"id": "jobs", "rule": {"kind": "small"}, "sort": "name", "descending": true, "columns": ["profession.workstation", "profession.tradeCount"]}',
+)
+_NUMBER = lambda x: f"case when {x} = floor({x}) then floor({x})::bigint::varchar else rtrim(printf('%.2f', {x}), '0') end"
+
+
+@query(f"""with e as (select p_partkey k, 'p' || p_partkey id, p_name as name, p_size s from part), o as (select l_partkey k, sum(l_discount) chance, sum(l_tax) attempt, min(l_linenumber) least, max(case when l_quantity > 25 then cast(l_quantity as int) else l_linenumber end) most from lineitem where l_returnflag = 'R' and l_linestatus = 'O' group by 1),
+ c as (
+  select 'food' as collection, id, name, row_number() over (order by -s, lower(name), id) place, 'food.nutrition=' || s || ';food.saturation=' || {_NUMBER("s * 0.3::double")} || case when s % 4 = 0 then ';compost.chance=' || s || '%' else '' end as cells from e where s % 2 = 0
+  union all select 'fuel', id, name, row_number() over (order by s, lower(name), id), 'fuel.burnTime=' || {_NUMBER("s * 50 / 20.0::double")} || 's;fuel.operations=' || {_NUMBER("s * 50 / 200.0::double")} from e where s % 5 = 0
+  union all select 'barter', id, name, row_number() over (order by case when chance is null then 2 else 0 end, case when chance is null then 0 else -printf('%.3f', chance * 100)::double end, lower(name), id), case when chance is null then '' else 'obtain.chance=' || printf('%.3f', chance * 100) || '%;obtain.stackRange=' || case when least = most then least || '' else least || '-' || most end || ';obtain.perAttempt=' || printf('%.3f', attempt) end from e left join o using (k) where k in (select l_partkey from lineitem where l_returnflag = 'R')
+  union all select 'jobs', id, name, row_number() over (order by lower(name) desc, id desc), 'profession.tradeCount=' || s || ';profession.workstation=@p' || (k % 7) from e where s < 10)
+ select collection, id, name, place, cells from c""")
+def collection_tables(spark: SparkSession, at: str) -> DataFrame:
+    """Members of four manifests of different rules, with their columns, in their order."""
+    part, lines, size = table(spark, at, "part"), table(spark, at, "lineitem"), F.col("p_size")
+    id_ = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    entities = part.select(id_.alias("id"), F.when(size < 10, "small").otherwise("large").alias("kind"), F.col("p_name").alias("name"))
+    none = F.lit(None)
+    attr = lambda section, name, number=none, ref=none: F.struct(F.lit(section).alias("section"), F.lit(name).alias("attr"), number.cast("double").alias("number"), none.cast("string").alias("text"), ref.cast("string").alias("ref"))
+    rows = F.array(attr("FoodInfo", "nutrition", size), attr("FoodInfo", "saturation", size * F.lit(0.3)), attr("FuelInfo", "burn_time", size * 50), attr("ProfessionInfo", "trade_count", size), attr("ProfessionInfo", "workstation", ref=F.concat(F.lit("p"), (F.col("p_partkey") % 7).cast("string"))))
+    sections = part.select(id_.alias("id"), F.lit(0).alias("seq"), F.inline(F.concat(rows, F.when(size % 4 == 0, F.array(attr("CompostInfo", "chance", size))).otherwise(F.slice(rows, 1, 0)))))
+    id_line = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    producers = lines.where("l_returnflag = 'R'").select(id_line.alias("id"), F.lit("bartering").alias("method"), F.when(F.col("l_linestatus") == "O", F.col("l_discount")).alias("chance"), F.col("l_tax").alias("per_attempt"), F.col("l_linenumber").alias("count"), F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("int")).alias("count_max"))
+    specs = collections.manifests(_MANIFESTS)
+    facts = {"component": part.where(size % 2 == 0).select(id_.alias("id"), F.lit("food").alias("value")), "section": part.where(size % 5 == 0).select(id_.alias("id"), F.lit("FuelInfo").alias("value")), "method": producers.select("id", F.col("method").alias("value")).distinct()}
+    asked = sorted({c for s in specs.values() for c in s["columns"]})
+    loot, found = entities.select("id", F.col("kind").alias("container"), F.col("name").alias("item")), entities.select("id", none.cast("string").alias("text"), none.cast("string").alias("ref"))
+    made = collections.tables_of(specs, entities, facts, collections.fact_values(asked, sections, loot, producers, found))
+    texts = F.transform(F.map_entries("values"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    refs = F.transform(F.map_entries("refs"), lambda e: F.concat(e["key"], F.lit("=@"), e["value"]))
+    cells = F.concat(texts, refs)
+    order = {c: i for i, c in enumerate(["food.nutrition", "food.saturation", "compost.chance", "fuel.burnTime", "fuel.operations", "obtain.chance", "obtain.stackRange", "obtain.perAttempt", "profession.tradeCount", "profession.workstation"])}
+    rank = lambda x: F.array_position(F.array(*map(F.lit, order)), F.substring_index(x, "=", 1))
+    return made.select("collection", "id", "name", "place", F.array_join(F.array_sort(cells, lambda a, b: (rank(a) - rank(b)).cast("int")), ";").alias("cells"))
