@@ -24,6 +24,41 @@ def aliases(entities: DataFrame, key: str = "id", name: str = "name", curated: D
     return rows.where("alias <> '' and alias <> __name").groupBy(key, "alias").agg(F.max("strength").alias("strength"))
 
 
+#: Strengths of the aliases of entities by kind, and the levels of an enchantment.
+WHOLE, GIVEN, CROSS, PIECE = 4, 3, 2, 1
+LEVELS = ("i", "ii", "iii", "iv", "v")
+
+
+def kind_aliases(entities: DataFrame, curated: DataFrame) -> DataFrame:
+    """id, alias and strength of entities (id, kind, name, workstation): the strongest of each alias that is not the name itself.
+
+    The path of an id as it is and with spaces (WHOLE), its pieces (PIECE); curated (id, alias) shorthand (GIVEN); for an effect "potion
+    of ..." (CROSS), for a potion that and "... potion" (WHOLE), for an enchantment every level in digits and numerals (PIECE), for a
+    profession "villager ..." both ways (WHOLE) and the same of its workstation (CROSS)."""
+    kind, path = F.col("kind"), F.element_at(F.split("id", ":", 2), -1)
+    spaced = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
+    some = lambda strength, *aliases: F.transform(F.array(*aliases), lambda a: F.struct(a.alias("alias"), F.lit(strength).alias("strength")))
+    pieces = lambda c: F.transform(F.filter(F.split(c, "[_/]"), lambda x: x != ""), lambda a: F.struct(a.alias("alias"), F.lit(PIECE).alias("strength")))
+    none = F.slice(some(PIECE, path), 1, 0)
+    only = lambda condition, found: F.when(F.coalesce(condition, F.lit(False)), found).otherwise(none)
+    bare, potion = F.regexp_replace(path, "^entity_type/", ""), spaced(F.regexp_replace(path, "^potion/", ""))
+    station = F.trim(spaced(F.element_at(F.split("workstation", ":", 2), -1)))
+    levels = some(PIECE, *(F.concat(path, F.lit(f" {x}")) for i, roman in enumerate(LEVELS, 1) for x in (i, roman)))
+    given = F.concat(
+        some(WHOLE, path, spaced(path)), pieces(path),
+        only(F.startswith(path, F.lit("entity_type/")), F.concat(some(WHOLE, bare, spaced(bare)), pieces(bare))),
+        only(kind == "effect", some(CROSS, F.concat(F.lit("potion of "), spaced(path)))),
+        only((kind == "item") & F.startswith(path, F.lit("potion/")), some(WHOLE, F.concat(F.lit("potion of "), potion), F.concat(potion, F.lit(" potion")))),
+        only(kind == "enchantment", levels),
+        only(kind == "profession", some(WHOLE, F.concat(F.lit("villager "), spaced(path)), F.concat(spaced(path), F.lit(" villager")))),
+        only((kind == "profession") & (station != ""), some(CROSS, F.concat(station, F.lit(" villager")), F.concat(F.lit("villager "), station))),
+    )
+    rows = entities.select("id", F.lower("name").alias("__name"), F.inline(given))
+    own = entities.select("id", F.lower("name").alias("__name")).join(curated.select("id", "alias"), "id").select("id", "__name", "alias", F.lit(GIVEN).alias("strength"))
+    cleaned = rows.unionByName(own).withColumn("alias", F.lower(F.trim("alias")))
+    return cleaned.where("alias <> '' and alias <> __name").groupBy("id", "alias").agg(F.max("strength").alias("strength"))
+
+
 def tier(query: Column, text: Column, reverse: bool = False) -> Column:
     """0 for an equal text, 1 for a prefix, 2 for a part (with ``reverse``, also for a text that is part of the query), else null."""
     part = F.contains(text, query)

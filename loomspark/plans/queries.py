@@ -418,6 +418,28 @@ def search_rank(spark: SparkSession, at: str) -> DataFrame:
     return search.ranked(_asks(spark, ASK), e, search.aliases(e))
 
 
+KINDS_SQL = """(select p_partkey k, case p_size % 5 when 0 then 'effect' when 1 then 'item' when 2 then 'enchantment' when 3 then 'profession' else 'mob' end kind, lower(replace(p_name, ' ', '_')) || '_' || p_size as p, p_size s from part)"""
+
+
+@query(f"""with e as (select 'ns:' || case kind when 'item' then 'potion/' when 'mob' then 'entity_type/' else '' end || p || k id, kind, case kind when 'item' then 'potion/' when 'mob' then 'entity_type/' else '' end || p || k as path, p || k bare, replace(p || k, '_', ' ') as spaced, s, k from {KINDS_SQL}),
+ g as (select id, spaced, path alias, 4 as strength from e union all select id, spaced, replace(path, '_', ' '), 4 from e union all select id, spaced, unnest(regexp_split_to_array(path, '[_/]')), 1 from e
+  union all select id, spaced, unnest([bare, spaced]), 4 from e where kind = 'mob' union all select id, spaced, 'potion of ' || spaced, 2 from e where kind = 'effect' union all select id, spaced, unnest(['potion of ' || spaced, spaced || ' potion']), 4 from e where kind = 'item'
+  union all select id, spaced, path || ' ' || unnest(['1', 'i', '2', 'ii', '3', 'iii', '4', 'iv', '5', 'v']), 1 from e where kind = 'enchantment' union all select id, spaced, unnest(['villager ' || spaced, spaced || ' villager']), 4 from e where kind = 'profession'
+  union all select id, spaced, unnest(['the stand villager', 'villager the stand']), 2 from e where kind = 'profession' and k % 2 = 0 union all select id, spaced, 'short ' || s, 3 from e where s < 20)
+ select id, alias, max(strength) as strength from g where alias <> '' and alias <> spaced group by 1, 2""")
+def kind_aliases(spark: SparkSession, at: str) -> DataFrame:
+    """Aliases by kind: levels, cross-links, potions, professions and their workstations, curated ones."""
+    size = F.col("p_size")
+    kind = F.when(size % 5 == 0, "effect").when(size % 5 == 1, "item").when(size % 5 == 2, "enchantment").when(size % 5 == 3, "profession").otherwise("mob")
+    bare = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), size.cast("string"), F.col("p_partkey").cast("string"))
+    e = table(spark, at, "part").withColumns({"kind": kind, "bare": bare})
+    e = e.withColumn("id", F.concat(F.lit("ns:"), F.when(F.col("kind") == "item", "potion/").when(F.col("kind") == "mob", "entity_type/").otherwise(""), "bare"))
+    station = F.when(F.col("p_partkey") % 2 == 0, "ns:The_stand").otherwise("ns:")
+    entities = e.select("id", "kind", F.initcap(F.replace("bare", F.lit("_"), F.lit(" "))).alias("name"), station.alias("workstation"))
+    curated = e.where(size < 20).select("id", F.concat(F.lit(" Short "), size.cast("string")).alias("alias"))
+    return search.kind_aliases(entities, curated)
+
+
 TYPOS = ("rde widget", "smal", "brnad", "bix", "blue rng")
 TYPO_SQL = "(values " + ", ".join(f"('{a}')" for a in TYPOS) + ") q(query)"
 
