@@ -364,15 +364,18 @@ def forest(spark: SparkSession, at: str) -> DataFrame:
     return graph.forest(nodes, "node", "parent", F.col("g"), F.col("label"))
 
 
-NATIONS_SQL = "(select distinct c_nationkey s, s_nationkey d from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey)"
+RING_SQL = "(select distinct s_suppkey s, s_suppkey // 20 * 20 + p d from (select s_suppkey, unnest([(3 * (s_suppkey % 20) + 1) % 20, (5 * (s_suppkey % 20) + 2) % 20]) p from supplier))"
 
 
-@query(f"""with recursive e as {NATIONS_SQL}, t as (select s root, s node, 0 as depth, [s] way, false again from (select distinct s from e) union all
- select t.root, e.d, t.depth + 1, list_append(t.way, e.d), list_contains(t.way, e.d) from t join e on e.s = t.node where not t.again and t.depth < 2)
- select root, node, depth, array_to_string(way, '>') path, case when again then 'repeat' when depth = 2 and node in (select s from e) then 'expandable' end stub from t""")
+@query(f"""with recursive e as {RING_SQL}, t as (select s root, s node, 0 as depth, [s] way, false again from (select distinct s from e) union all
+ select t.root, e.d, t.depth + 1, list_append(t.way, e.d), list_contains(t.way, e.d) from t join e on e.s = t.node where not t.again and t.depth < 4)
+ select root, node, depth, array_to_string(way, '>') path, case when again then 'repeat' when depth = 4 and node in (select s from e) then 'expandable' end stub from t""")
 def obtain_tree(spark: SparkSession, at: str) -> DataFrame:
-    edges = _nation_edges(spark, at)
-    return graph.bounded_tree(edges, edges, "s", "d", depth=2)
+    """Suppliers in rings of twenty, each made of two others, to depth 4."""
+    k = F.col("s_suppkey")
+    place = F.explode(F.array((3 * (k % 20) + 1) % 20, (5 * (k % 20) + 2) % 20))
+    edges = table(spark, at, "supplier").select(k.alias("s"), place.alias("p")).select("s", (F.floor(F.col("s") / 20).cast("long") * 20 + F.col("p")).alias("d"))
+    return graph.bounded_tree(edges, edges, "s", "d", depth=4)
 
 
 @query()
