@@ -144,9 +144,21 @@ def _releases(spark: SparkSession) -> DataFrame:
     return sources.release_order(spark.createDataFrame([(RELEASES,)], "doc string"))
 
 
-@query("select unnest(['26.3-pre', '26.2', '26.1']) as version, unnest(['snapshot', 'release', 'release']) kind, unnest([0, 1, 2]) position")
+RELEASES_SQL = "(select 'v' || s_suppkey as version, case when s_suppkey % 3 = 0 then 'snapshot' else 'release' end kind, row_number() over (order by s_suppkey desc) - 1 as position from supplier)"
+
+
+def _listed(spark: SparkSession, at: str) -> DataFrame:
+    """The list document of all suppliers as versions, newest first; two of three are releases."""
+    k = F.col("s_suppkey")
+    one = F.struct((-k).alias("o"), F.struct(F.concat(F.lit("v"), k.cast("string")).alias("id"), F.when(k % 3 == 0, "snapshot").otherwise("release").alias("type")).alias("v"))
+    latest = F.struct(F.concat(F.lit("v"), F.max(F.when(k % 3 != 0, k)).cast("string")).alias("release"))
+    doc = F.to_json(F.struct(latest.alias("latest"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["v"]).alias("versions")))
+    return sources.release_order(table(spark, at, "supplier").agg(doc.alias("doc")))
+
+
+@query(f"select version, kind, position from {RELEASES_SQL}")
 def release_order(spark: SparkSession, at: str) -> DataFrame:
-    return _releases(spark)
+    return _listed(spark, at)
 
 
 @query("select n_name, case n_nationkey % 3 when 0 then '26.2' when 1 then '26.1' else '1.0' end verified_for, n_nationkey % 3 <> 0 stale from nation")
@@ -156,10 +168,12 @@ def stale_curated(spark: SparkSession, at: str) -> DataFrame:
     return sources.stale(rows, _releases(spark).where("kind = 'release'"), "26.2").select("n_name", "verified_for", "stale")
 
 
-@query("select case when unnest(['26.2', '26.1']) = '26.2' then '26.2' else '26.1' end as version, '26.2' as current, unnest([false, true]) owed")
+@query(f"""with r as (select * from {RELEASES_SQL} where kind = 'release'), c as (select 'v' || c_custkey % 120 as version from customer)
+ select c.version, (select version from r order by position limit 1) as current, position > (select min(position) from r) as owed from c left join r on r.version = c.version""")
 def rebuild_owed(spark: SparkSession, at: str) -> DataFrame:
-    releases = _releases(spark).where("kind = 'release'")
-    return gate.rebuild_owed(spark.createDataFrame([("26.2",), ("26.1",)], "version string"), releases)
+    """Builds of customers; some are of versions that the list of releases does not have."""
+    built = table(spark, at, "customer").select(F.concat(F.lit("v"), (F.col("c_custkey") % 120).cast("string")).alias("version"))
+    return gate.rebuild_owed(built, _listed(spark, at).where("kind = 'release'"))
 
 
 @query("select x reference, string_agg(s_suppkey, ',' order by s_suppkey) sources from (select distinct s_suppkey, unnest(['r' || s_nationkey, 'all' || s_suppkey % 2]) x from supplier) group by 1")
