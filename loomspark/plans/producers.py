@@ -181,9 +181,9 @@ def tree_truncated(spark: SparkSession, at: str) -> DataFrame:
     return graph.truncated(made, 2).drop("way")
 
 
-@query(_tree_sql(2, "select 'n' || (n_nationkey * 3 + k + 1) % 25 as item, ['n' || n_nationkey, 'n' || (n_nationkey * 3 + k + 1) % 25] as way from nation, range(2) a(k) where n_nationkey = 7 and (n_nationkey * 3 + k + 1) % 25 % 6 <> 5") + " select distinct * from o")
+@query(_tree_sql(2, "select distinct item, [output, item] as way from e where item <> output and item in (select output from e)") + " select distinct * from o")
 def tree_expanded(spark: SparkSession, at: str) -> DataFrame:
-    """Below the stubs in slot 0 of the tree of depth 1 of one item."""
-    roots = spark.createDataFrame([("n7",)], "item string")
+    """Below all stubs of the trees of depth 1."""
+    roots = table(spark, at, "nation").select(_text("n", F.col("n_nationkey")).alias("item"))
     tree = graph.producer_tree(roots, *made_of(spark, at), depth=1)
-    return graph.expanded(tree.where("path like '%.0'"), *made_of(spark, at), depth=2).drop("way").distinct()
+    return graph.expanded(tree, *made_of(spark, at), depth=2).drop("way").distinct()

@@ -111,8 +111,8 @@ def extract_generation(spark: SparkSession, at: str) -> DataFrame:
     return made.withColumn("veins", F.array_join(F.transform("veins", lambda v: F.concat(v["least"].cast("string"), F.lit("-"), v["most"].cast("string"), F.lit(":"), v["vein"].cast("string"))), ","))
 
 
-@query("select p_partkey, unnest(['monster', 'water']) category, unnest([p_name || ',' || p_brand, '']) mobs, unnest([false, true]) suppressed from part where p_size % 2 = 0")
+@query("select p_partkey, unnest(['monster', 'water']) category, unnest([p_name || ',' || p_brand, '']) mobs, unnest([false, true]) suppressed from part")
 def spawn_overrides(spark: SparkSession, at: str) -> DataFrame:
     doc = _text('{"monster": [{"type": "', F.col("p_name"), '"}, {"type": "', F.col("p_brand"), '"}], "water": []}')
-    rows = table(spark, at, "part").where("p_size % 2 = 0").select("p_partkey", doc.alias("doc"))
+    rows = table(spark, at, "part").select("p_partkey", doc.alias("doc"))
     return facts.spawn_overrides(rows, "p_partkey", "doc").withColumn("mobs", F.array_join("mobs", ","))
