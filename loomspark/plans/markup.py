@@ -80,11 +80,11 @@ def small_texts(spark: SparkSession, at: str) -> DataFrame:
 @query("""select p_partkey, case when p_size % 4 = 0 then '' || p_size // 4 when p_size % 2 = 0 then p_size // 4 || '.5' else p_size // 4 || case p_size % 4 when 1 then '.25' else '.75' end end number,
  case when p_size = 50 then '2' when p_size * 4 % 100 = 0 then '' || p_size * 4 // 100 else '' || rtrim(printf('%.2f', p_size * 0.04), '0') end seconds_,
  case when p_size % 3 = 0 then '' || p_size else p_size || '-' || (p_size + 2) end as range_,
- case when p_size >= 40 then null when p_size < 1 then '<0.1%' when p_size < 4 then printf('%.1f', p_size * 2.5) || '%' else null end odds_ from part where p_size < 4 or p_size >= 40""")
+ case when p_size >= 40 then null when p_size < 1 then '<0.1%' when p_size < 4 then printf('%.1f', p_size * 2.5) || '%' else cast(floor(p_size / 40.0::double * 100 + 0.5) as int) || '%' end odds_ from part""")
 def display_numbers(spark: SparkSession, at: str) -> DataFrame:
     """Numbers without trailing zeros, seconds of ticks, ranges, chances of producers."""
     odds = text.producer_odds(F.col("p_size") / 40, F.lit(1), F.lit(2), F.col("p_size") / 40)
-    made = table(spark, at, "part").where("p_size < 4 or p_size >= 40")
+    made = table(spark, at, "part")
     number, seconds = text.number_text(F.col("p_size") / 4), text.number_text(text.seconds_of_ticks(F.col("p_size") * 4 / 5))
     return made.select("p_partkey", number.alias("number"), seconds.alias("seconds_"), text.range_text(F.col("p_size"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).otherwise(F.col("p_size") + 2)).alias("range_"), odds["chance"].alias("odds_"))
 
