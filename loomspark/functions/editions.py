@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import DIFFICULTY, edition_of, strip_editions, strip_markup
+from .text import DIFFICULTY, edition_of, let, strip_editions, strip_markup
 
 #: Words that join, the line of a rule, and how a verdict was come by.
 JOINING = ("in", "the", "on", "for")
@@ -41,25 +41,32 @@ def _simple(words: Column, known: tuple[str, ...]) -> Column:
 
 def classified(line: Column) -> Column:
     """kind ('region', 'block', 'unmarked', 'unparseable', 'line' or 'rule'), edition and label of a line."""
-    bare = F.regexp_replace(_cleared(line), r"\s*\([^()]*\)\s*$", "")
-    core = F.rtrim(F.regexp_replace(F.rtrim(F.regexp_replace(bare, _AFTER, "")), "'{3}$", ""))
-    found = _editions(bare)
-    words = F.filter(F.split(F.trim(F.regexp_replace(strip_markup(strip_editions(core)), r":\s*$", "")), r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(*JOINING))
-    one = F.get(found, F.lit(0))
-    named = F.when(F.size(words) == 1, F.when(F.lower(words[0]) == "java", "first").when(F.lower(words[0]) == "bedrock", "second"))
-    kind = (
-        F.when(F.trim(line) == RULE, "rule").when(~F.endswith(core, F.lit(":")), "line").when(F.size(found) > 1, "unparseable").when(one.isNull() & named.isNotNull(), "region")
-        .when(one.isNull() & _simple(words, DIFFICULTY), "line").when(one.isNull(), "unmarked").when(F.size(words) == 0, "region").otherwise("block")
-    )
-    label = F.when(kind.isin("block", "unmarked", "unparseable"), F.array_join(words, " "))
-    edition = F.when(kind.isin("region", "block"), F.coalesce(one, named))
-    return F.struct(kind.alias("kind"), edition.alias("edition"), label.alias("label"))
+    no = F.lit(None).cast("string")
+    said = lambda kind, edition=no, label=no: F.struct(F.lit(kind).alias("kind"), edition.alias("edition"), label.alias("label"))
+
+    def heading(found: Column, words: Column) -> Column:
+        one = F.get(found, F.lit(0))
+        named = F.when(F.size(words) == 1, F.when(F.lower(words[0]) == "java", "first").when(F.lower(words[0]) == "bedrock", "second"))
+        label = F.array_join(words, " ")
+        return (
+            F.when(F.size(found) > 1, said("unparseable", label=label)).when(one.isNull() & named.isNotNull(), said("region", named))
+            .when(one.isNull() & _simple(words, DIFFICULTY), said("line")).when(one.isNull(), said("unmarked", label=label)).when(F.size(words) == 0, said("region", one)).otherwise(said("block", one, label))
+        )
+
+    def words(core: Column) -> Column:
+        return F.filter(F.split(F.trim(F.regexp_replace(strip_markup(strip_editions(core)), r":\s*$", "")), r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(*JOINING))
+
+    def of(bare: Column) -> Column:
+        core = F.rtrim(F.regexp_replace(F.rtrim(F.regexp_replace(bare, _AFTER, "")), "'{3}$", ""))
+        # only what ends in a colon is looked at further
+        return let(core, lambda c: F.when(F.endswith(c, F.lit(":")), let(F.struct(_editions(bare).alias("found"), words(c).alias("words")), lambda x: heading(x["found"], x["words"]))).when(c.isNotNull(), said("line")))
+
+    return F.when(F.trim(line) == RULE, said("rule")).when(line.isNotNull(), let(F.regexp_replace(_cleared(line), r"\s*\([^()]*\)\s*$", ""), of)).otherwise(said("unmarked"))
 
 
 def own_mark(line: Column) -> Column:
     """The one edition that the templates of a line name; null for none or several."""
-    found = _editions(_cleared(line))
-    return F.when(F.size(found) == 1, found[0])
+    return let(_editions(_cleared(line)), lambda found: F.when(F.size(found) == 1, found[0]))
 
 
 def verdict(kind: Column, edition: Column, own: Column, region: Column, block: Column) -> Column:
@@ -74,7 +81,7 @@ def scoped(lines: Column) -> Column:
     """line, edition and reached of each line of one field, in order."""
     none = F.lit(None).cast("string")
     start = F.struct(none.alias("region"), none.alias("block"), F.array().cast("array<struct<line:string,edition:string,reached:string>>").alias("out"))
-    each = F.transform(lines, lambda x: F.struct(x.alias("line"), classified(x).alias("c"), own_mark(x).alias("own")))
+    each = F.transform(lines, lambda x: let(classified(x), lambda c: F.struct(x.alias("line"), c.alias("c"), F.when(c["kind"] == "line", own_mark(x)).alias("own"))))
 
     def step(s: Column, x: Column) -> Column:
         kind, edition = x["c"]["kind"], x["c"]["edition"]

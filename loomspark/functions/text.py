@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,12 @@ SPACE = "[ \\t\\n\\r\\f]+"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it: an expression that stands in another several
+    times is evaluated as often where functions of arrays are about, and by steps that multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unescape(text: Column) -> Column:
     return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
 
@@ -74,11 +81,15 @@ _CALL = r"\{\{[^{}]*\}\}"
 
 def edition_of(template: Column) -> Column:
     """'first', 'second' or null: the edition that a template without nesting names ({{je}}, {{in|bedrock}}, {{only|java|be}})."""
-    parts = F.transform(F.split(F.regexp_replace(template, r"^\{\{|\}\}$", ""), "\\|"), lambda x: F.lower(F.trim(x)))
-    name, args = F.get(parts, F.lit(0)), F.filter(F.slice(parts, 2, 99), lambda x: ~x.contains("="))
-    asked = F.when(name.isin("je", "be"), F.array(name)).when(name == "in", F.slice(args, F.greatest(F.size(args), F.lit(1)), 1)).when(name == "only", args)
-    has = lambda tokens: F.arrays_overlap(asked, F.array(*map(F.lit, tokens)))
-    return F.when(has(FIRST_EDITION), "first").when(has(SECOND_EDITION), "second")
+    has = lambda asked, tokens: F.arrays_overlap(asked, F.array(*map(F.lit, tokens)))
+    said = lambda asked: F.when(has(asked, FIRST_EDITION), "first").when(has(asked, SECOND_EDITION), "second")
+    last = lambda args: F.slice(args, F.greatest(F.size(args), F.lit(1)), 1)
+
+    def named(parts: Column) -> Column:
+        name, args = F.get(parts, F.lit(0)), F.filter(F.slice(parts, 2, 99), lambda x: ~x.contains("="))
+        return F.when(name.isin("je", "be"), said(F.array(name))).when(name == "in", let(args, lambda a: said(last(a)))).when(name == "only", let(args, said))
+
+    return let(F.transform(F.split(F.regexp_replace(template, r"^\{\{|\}\}$", ""), "\\|"), lambda x: F.lower(F.trim(x))), named)
 
 
 def inline_edition(line: Column) -> Column:
@@ -89,8 +100,9 @@ def inline_edition(line: Column) -> Column:
 
 def strip_editions(line: Column) -> Column:
     """The line without the templates that name an edition; others stay."""
-    calls, gaps = F.regexp_extract_all(line, F.lit(_CALL), F.lit(0)), F.split(line, _CALL)
-    return F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(calls, lambda c, i: F.concat(F.when(edition_of(c).isNull(), c).otherwise(""), F.get(gaps, i + 1))), ""))
+    calls = F.regexp_extract_all(line, F.lit(_CALL), F.lit(0))
+    kept = lambda gaps: F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(calls, lambda c, i: F.concat(F.when(edition_of(c).isNull(), c).otherwise(""), F.get(gaps, i + 1))), ""))
+    return let(F.split(line, _CALL), kept)
 
 
 def heading_core(line: Column) -> Column:

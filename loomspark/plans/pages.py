@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import editions
 from ..operators import brewing as brews, noise
+from ..session import spread
 from ..sources.tables import table
 from .registry import query
 
@@ -183,7 +184,7 @@ _FIELD_SQL = ", ".join("({}, '{}', {}, '{}')".format(i, line.replace("'", "''"),
 @query(f"select p_partkey, i as place, replace(line, 'X', p_name) as line, edition, reached from part, (values {_FIELD_SQL}) f(i, line, edition, reached)")
 def edition_scopes(spark: SparkSession, at: str) -> DataFrame:
     """Lines of a field with headings of all kinds, scoped as rows."""
-    made = table(spark, at, "part").select("p_partkey", F.posexplode(F.transform(F.array(*(F.lit(x[0]) for x in _FIELD)), lambda x: F.replace(x, F.lit("X"), F.col("p_name")))).alias("place", "line"))
+    made = spread(table(spark, at, "part"), "p_partkey").select("p_partkey", F.posexplode(F.transform(F.array(*(F.lit(x[0]) for x in _FIELD)), lambda x: F.replace(x, F.lit("X"), F.col("p_name")))).alias("place", "line"))
     return brews.edition_scopes(made, ["p_partkey"], ["place"], "line")
 
 
@@ -192,7 +193,7 @@ def edition_fields(spark: SparkSession, at: str) -> DataFrame:
     """The same within one value, its lines at breaks, rules and list marks."""
     text = F.lit("<br>".join(x[0] for x in _FIELD[:6]) + "\n* " + "\n\n*".join(x[0] for x in _FIELD[6:12]) + "<hr/>" + "<br />".join(x[0] for x in _FIELD[13:]))
     lines = editions.scoped(editions.field_lines(F.replace(text, F.lit("X"), F.col("p_name"))))
-    return table(spark, at, "part").select("p_partkey", F.posexplode(lines).alias("place", "s")).select("p_partkey", "place", "s.*")
+    return spread(table(spark, at, "part"), "p_partkey").select("p_partkey", F.posexplode(lines).alias("place", "s")).select("p_partkey", "place", "s.*")
 
 
 # ---- brewing

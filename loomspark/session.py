@@ -59,6 +59,12 @@ def clear(spark: SparkSession) -> None:
     _remove(spark, spark.sparkContext.applicationId)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out by ``keys`` over as many tasks as a shuffle has: short rows of which much is made (texts, trees) come in few
+    files, of which Spark makes few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder: the loss of an executor costs no step that is done, and Spark can
     drop the shuffle files of the query that made it."""
