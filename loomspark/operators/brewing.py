@@ -9,7 +9,7 @@ from ..functions.editions import of_first_edition
 from ..functions.markup import named_argument, whole_cells
 from ..functions.text import strip_markup
 from ..session import written
-from .ordered import scope_fill
+from .ordered import scope_fills
 
 #: Base potions by the heading of their row, the ingredient whose row is no effect, and ids.
 BASES = {"Awkward potion": "awkward", "Mundane potion": "mundane", "Thick potion": "thick"}
@@ -32,10 +32,9 @@ def edition_scopes(lines: DataFrame, group: list[str], order: list[str], line: s
     what resets it.  (``functions.editions.scoped`` does the same within one value.)"""
     from ..functions.editions import classified, own_mark, verdict
 
-    rows = written(lines.withColumns({"__c": classified(F.col(line)), "__said": own_mark(F.col(line))}), "lines")
-    kind = F.col("__c.kind")
-    regions = scope_fill(rows, group, order, kind == "region", kind == "rule", F.col("__c.edition"), "__region")
-    blocks = scope_fill(regions, group, order, kind == "block", kind.isin("region", "rule", "unmarked"), F.col("__c.edition"), "__block")
+    rows = written(lines.withColumn("__c", classified(F.col(line))).withColumn("__said", F.when(F.col("__c.kind") == "line", own_mark(F.col(line)))), "lines")
+    kind, edition = F.col("__c.kind"), F.col("__c.edition")
+    blocks = scope_fills(rows, group, order, {"__region": (kind == "region", kind == "rule", edition), "__block": (kind == "block", kind.isin("region", "rule", "unmarked"), edition)})
     v = verdict(kind, F.col("__c.edition"), F.col("__said"), F.col("__region"), F.col("__block"))
     return blocks.select(*lines.columns, v["edition"].alias("edition"), v["reached"].alias("reached"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +17,11 @@ def _ranges(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFr
     return written(df.repartitionByRange(n, *group, *order).withColumn("__part", F.spark_partition_id()), "ranges")
 
 
-def _with_earlier(within: DataFrame, earlier: DataFrame, group: Sequence[str]) -> DataFrame:
-    """``within`` joined with what ``earlier`` (``__part``, group, more columns) says for its range and group."""
-    other = earlier.select(F.col("__part").alias("__p"), *(F.col(g).alias(f"__g_{g}") for g in group), *(c for c in earlier.columns if c not in ("__part", *group)))
-    return within.join(other, [F.col("__part") == F.col("__p"), *(F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group)], "left")
+def _with_earlier(within: DataFrame, earlier: DataFrame, group: Sequence[str], carried: str) -> DataFrame:
+    """``within`` joined with what ``earlier`` (``__part``, group, ``carried``) says for its range and group.  Only a group that goes on
+    from one range into the next carries something over: at most one row a range, which is broadcast."""
+    other = earlier.where(F.col(carried).isNotNull()).select(F.col("__part").alias("__p"), *(F.col(g).alias(f"__g_{g}") for g in group), carried)
+    return within.join(F.broadcast(other), [F.col("__part") == F.col("__p"), *(F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group)], "left")
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
@@ -29,9 +31,9 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: st
     group of any size is spread over many tasks."""
     dealt = _ranges(df, group, order)
     sizes = dealt.groupBy("__part", *group).agg(F.count("*").alias("__size"))
-    before = F.coalesce(F.sum("__size").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.sum("__size").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     within = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order)))
-    return _with_earlier(within, sizes.select("__part", *group, before.alias("__before")), group).select(*df.columns, (F.col("__n") + F.col("__before")).alias(name))
+    return _with_earlier(within, sizes.select("__part", *group, before.alias("__before")), group, "__before").select(*df.columns, (F.col("__n") + F.coalesce("__before", F.lit(0))).alias(name))
 
 
 def previous(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -41,7 +43,7 @@ def previous(df: DataFrame, group: Sequence[str], order: Sequence[str], value: C
     within = dealt.withColumn("__own", F.lag("__value").over(Window.partitionBy("__part", *group).orderBy(*order)))
     ends = dealt.groupBy("__part", *group).agg(F.max_by("__value", F.struct(*order)).alias("__end"))
     carried = F.lag("__end").over(Window.partitionBy(*group).orderBy("__part"))
-    joined = _with_earlier(within, ends.select("__part", *group, carried.alias("__carried")), group)
+    joined = _with_earlier(within, ends.select("__part", *group, carried.alias("__carried")), group, "__carried")
     return joined.select(*df.columns, F.coalesce("__own", "__carried")["v"].alias(name))
 
 
@@ -57,16 +59,25 @@ def islands(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 
 def scope_fill(df: DataFrame, group: Sequence[str], order: Sequence[str], sets: Column, resets: Column, value: Column, name: str) -> DataFrame:
-    """``name``: the value of the last row that set the scope, null before any and after a reset.
-
-    Each range of rows fills its own; what the ranges before it end with is carried over, one row a range and group."""
-    dealt = _ranges(df.withColumn("__mark", F.when(sets, F.struct(value.alias("v"))).when(resets, F.struct(F.lit(None).alias("v")))), group, order)
-    mark = F.col("__mark")
-    within = dealt.withColumn("__own", F.last(mark, ignorenulls=True).over(Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    ends = dealt.groupBy("__part", *group).agg(F.max_by(mark, F.when(mark.isNotNull(), F.struct(*order))).alias("__end"))
-    carried = F.last("__end", ignorenulls=True).over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    joined = _with_earlier(within, ends.select("__part", *group, carried.alias("__carried")), group)
-    return joined.select(*df.columns, F.coalesce("__own", "__carried")["v"].alias(name))
+    """``name``: the value of the last row that set the scope, null before any and after a reset."""
+    return scope_fills(df, group, order, {name: (sets, resets, value)})
+
+
+def scope_fills(df: DataFrame, group: Sequence[str], order: Sequence[str], scopes: Mapping[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """A column for each of ``scopes`` (name: sets, resets and value), filled as by ``scope_fill``, all in one pass.
+
+    Each range of rows fills its own; what the ranges before it end with is carried over."""
+    marks = {f"__mark_{n}": F.when(sets, F.struct(value.alias("v"))).when(resets, F.struct(F.lit(None).alias("v"))) for n, (sets, resets, value) in scopes.items()}
+    dealt = _ranges(df.withColumns(marks), group, order)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    above = Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = dealt.withColumns({f"__own_{n}": last(f"__mark_{n}", above) for n in scopes})
+    ends = dealt.groupBy("__part", *group).agg(*(F.max_by(f"__mark_{n}", F.when(F.col(f"__mark_{n}").isNotNull(), F.struct(*order))).alias(f"__end_{n}") for n in scopes))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ends.select("__part", *group, *(last(f"__end_{n}", before).alias(f"__end_{n}") for n in scopes))
+    carried = F.when(reduce(Column.__or__, [F.col(f"__end_{n}").isNotNull() for n in scopes]), F.struct(*(f"__end_{n}" for n in scopes)))
+    joined = _with_earlier(within, earlier.select("__part", *group, carried.alias("__carried")), group, "__carried")
+    return joined.select(*df.columns, *(F.coalesce(F.col(f"__own_{n}"), F.col(f"__carried.__end_{n}"))["v"].alias(n) for n in scopes))
 
 
 def declared(value: Column, order: Sequence[str], unknown: int = 999) -> Column:

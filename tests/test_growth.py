@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import editions
+from loomspark.operators import ordered
 
 
 def plan(df, kind="executedPlan"):
@@ -16,3 +17,22 @@ def test_a_line_is_classified_by_each_expression_once(spark):
     made = spark.createDataFrame([("'''In {{JE}}:'''",), (None,)], "line string").select(editions.classified(F.col("line")).alias("c"))
     assert plan(made, "analyzed").count("regexp") < 60
     assert [tuple(r.c) for r in made.collect()] == [("region", "first", None), ("unmarked", None, None)]
+
+
+def test_what_ranges_carry_over_is_no_row_a_group(spark, monkeypatch):
+    # before, every group of a range was joined back by a shuffle; only groups that go on in the next range say anything
+    df = spark.range(3000).selectExpr("id div 3 as g", "id", "if(id % 7 = 0, 'a', if(id % 11 = 0, 'b', null)) as kind")
+    dealt, n = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    join = ordered._with_earlier
+    monkeypatch.setattr(ordered, "_with_earlier", lambda within, earlier, group, carried: dealt.append(earlier.where(F.col(carried).isNotNull()).count()) or join(within, earlier, group, carried))
+    k = F.col("kind")
+    got = ordered.scope_fills(df, ["g"], ["id"], {"x": (k == "a", k == "b", F.col("id")), "y": (k == "b", F.lit(False), F.col("id"))})
+    assert dealt[0] < n
+    want, last = {}, {}
+    for i in range(3000):
+        x, y = last.get(i // 3, (None, None))
+        a, b = i % 7 == 0, i % 11 == 0 and i % 7
+        x, y = i if a else None if b else x, i if b else y
+        want[i] = last[i // 3] = (x, y)
+    assert {r.id: (r.x, r.y) for r in got.collect()} == want
+    assert {r.id: r.n for r in ordered.numbered(df, ["g"], ["id"]).collect()} == {i: i % 3 + 1 for i in range(3000)}
