@@ -63,9 +63,10 @@ def grid_cells(df: DataFrame, pattern: str, key: Sequence[str]) -> DataFrame:
 
 
 def trimmed(cells: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The cells moved to the corner of their bounding box, with its height and width."""
+    """The cells moved to the corner of their bounding box, with its height and width.  Boxes are as many as keys: by the size of their
+    files Spark takes them (or the cells) for small enough to broadcast, so the join says that it is none of these."""
     box = cells.groupBy(*key).agg(F.min("row").alias("__r"), F.min("col").alias("__c"), (F.max("row") - F.min("row") + 1).alias("height"), (F.max("col") - F.min("col") + 1).alias("width"))
-    return cells.join(box, list(key)).select(*key, (F.col("row") - F.col("__r")).alias("row"), (F.col("col") - F.col("__c")).alias("col"), "symbol", "height", "width")
+    return cells.join(box.hint("merge"), list(key)).select(*key, (F.col("row") - F.col("__r")).alias("row"), (F.col("col") - F.col("__c")).alias("col"), "symbol", "height", "width")
 
 
 def prefer(values: Column, keep) -> Column:

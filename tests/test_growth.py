@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import editions
-from loomspark.operators import ordered
+from loomspark.operators import ordered, rows
 
 
 def plan(df, kind="executedPlan"):
@@ -36,3 +36,11 @@ def test_what_ranges_carry_over_is_no_row_a_group(spark, monkeypatch):
         want[i] = last[i // 3] = (x, y)
     assert {r.id: (r.x, r.y) for r in got.collect()} == want
     assert {r.id: r.n for r in ordered.numbered(df, ["g"], ["id"]).collect()} == {i: i % 3 + 1 for i in range(3000)}
+
+
+def test_boxes_of_grids_are_not_broadcast(spark):
+    # before, a million boxes of a table of 5 MB went through the driver
+    cells = rows.grid_cells(spark.createDataFrame([(1, [" #X", "# X"]), (2, [" A"])], "k long, pattern array<string>"), "pattern", ["k"])
+    made = rows.trimmed(cells, ["k"])
+    assert sorted(map(tuple, made.collect())) == [(1, 0, 1, "#", 2, 3), (1, 0, 2, "X", 2, 3), (1, 1, 0, "#", 2, 3), (1, 1, 2, "X", 2, 3), (2, 0, 0, "A", 1, 1)]
+    assert "Broadcast" not in plan(made)
