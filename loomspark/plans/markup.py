@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
+from ..session import spread
 from ..sources.tables import table
 from .registry import query
 
@@ -43,7 +44,7 @@ def display_lines(spark: SparkSession, at: str) -> DataFrame:
 def template_fields(spark: SparkSession, at: str) -> DataFrame:
     """Top-level templates around each part's fields, with nested ones and links inside."""
     wiki = _text("text {{Item|[[a|", F.col("p_name"), "]]|size = ", F.col("p_size"), "|{{in|x}} y}} end {{in|be|k=v}} {{open|")
-    made = table(spark, at, "part").select("p_partkey", F.explode(markup.find_templates(wiki)).alias("t"))
+    made = spread(table(spark, at, "part"), "p_partkey").select("p_partkey", F.explode(markup.find_templates(wiki)).alias("t"))
     rest = F.array_join(F.transform(F.filter(F.map_entries("t.named"), lambda e: e["key"] != "size"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return made.select("p_partkey", "t.name", F.array_join("t.args", ";").alias("args"), F.try_element_at("t.named", F.lit("size")).alias("size"), rest.alias("rest"))
 
@@ -53,7 +54,7 @@ def template_fields(spark: SparkSession, at: str) -> DataFrame:
 def wiki_table(spark: SparkSession, at: str) -> DataFrame:
     """A table with a cell over two columns and one over two rows; it must be whole."""
     wiki = _text('before {| class="x"\n! colspan="2" | Head\n|-\n| rowspan=2 | ', F.col("p_name"), "\n| ", F.col("p_brand"), "\n|-\n| [[x|", F.col("p_size"), "]]\n|} after")
-    return table(spark, at, "part").select("p_partkey", F.inline(markup.table_cells(wiki, strict=True)))
+    return spread(table(spark, at, "part"), "p_partkey").select("p_partkey", F.inline(markup.table_cells(wiki, strict=True)))
 
 
 @query("select p_partkey, case p_size % 4 when 0 then 'first' when 1 then 'second' when 2 then 'second' end edition, p_name || ':' || case p_size % 4 when 3 then ' {{hp|5}}' else '' end as line, case when p_size % 4 = 3 then null else p_name || ':' end heading from part")
@@ -123,7 +124,7 @@ def page_sections(spark: SparkSession, at: str) -> DataFrame:
 @query("select p_partkey, unnest(['Cause', 'Cause', 'Ore']) as role, unnest([p_name, p_name, p_type]) as name, unnest(['1', cast(p_size as varchar), cast(p_size as varchar)]) as value from part")
 def tables_by_role(spark: SparkSession, at: str) -> DataFrame:
     """Rows of all tables of a page, with the role that the first heading of their table says; spans are filled."""
-    each = table(spark, at, "part").select("p_partkey", F.posexplode(markup.wiki_tables(_page())).alias("n", "t"))
+    each = spread(table(spark, at, "part"), "p_partkey").select("p_partkey", F.posexplode(markup.wiki_tables(_page())).alias("n", "t"))
     cells = each.select("p_partkey", "n", F.inline(markup.table_cells(F.col("t"), strict=True)))
     role = cells.where("header and col = 0").select("p_partkey", "n", F.col("text").alias("role"))
     values = cells.where("not header").groupBy("p_partkey", "n", "row").agg(F.max(F.when(F.col("col") == 0, F.col("text"))).alias("name"), F.max(F.when(F.col("col") == 1, F.col("text"))).alias("value"))
