@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import whole_cells
-from ..session import written
+from ..session import spread, written
 
 #: Roles of tables in page order, groups of biomes (each has the table of the role below it), columns of the inland
 #: table, which are the last four of seven bands, and the headings of the shattered table, whose first two levels are one.
@@ -66,8 +66,9 @@ def located(pages: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     roles = F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in zip(claims, ROLES, strict=True))))
     rows = each.select(key, "n", "table", F.explode(roles).alias("role"), upcoming.alias("later"))
     best = rows.groupBy(key, "role").agg(F.count("*").alias("n_all"), F.sum(F.when(F.col("later"), 0).otherwise(1)).alias("n_now"), F.min_by("table", F.struct("later", "n")).alias("table"))
-    asked = cut.select(key, "legend", (F.col("section").isNull()).alias("__none"), F.explode(F.array(*map(F.lit, ROLES))).alias("role"))
-    met = asked.join(best, [key, "role"], "left").withColumn("cells", whole_cells(F.when((F.col("n_all") == 1) | (F.col("n_now") == 1), F.col("table"))))
+    asked = spread(cut.select(key, "legend", (F.col("section").isNull()).alias("__none"), F.explode(F.array(*map(F.lit, ROLES))).alias("role")), key, "role")
+    # what is joined by page grows with the pages, and its files are small for what they hold: no broadcast, here and below
+    met = asked.join(best.hint("merge"), [key, "role"], "left").withColumn("cells", whole_cells(F.when((F.col("n_all") == 1) | (F.col("n_now") == 1), F.col("table"))))
     met = written(met.drop("table"), "tables")
     why = F.when(F.col("n_all").isNull(), F.concat(F.lit("no table: "), "role")).when((F.col("n_all") > 1) & (F.col("n_now") != 1), F.concat(F.when(F.col("n_now") > 1, F.col("n_now")).otherwise(F.lit(0)).cast("string"), F.lit(" tables: "), "role")).when(F.col("cells").isNull(), F.concat(F.lit("broken table: "), "role"))
     of_tables = met.where("not __none").select(key, why.alias("missing")).where("missing is not null")
@@ -138,7 +139,7 @@ def placements(tables: DataFrame, key: str, names: DataFrame, registry: DataFram
     to the biomes of the group (by its own table); neighbouring columns and rows of one condition become a range."""
     cells = written(tables.select(key, "legend", "role", F.inline("cells")).where("row > 0"), "cells")
     heads = cells.where("col = 0").select(key, "role", "row", F.col("text").alias("head"))
-    body = cells.where("col > 0").join(heads, [key, "role", "row"])
+    body = cells.where("col > 0").join(heads.hint("merge"), [key, "role", "row"])
     temperature, humidity = F.col("legend.temperature"), F.col("legend.humidity")
     none = F.lit(None).cast("string")
 
@@ -158,7 +159,7 @@ def placements(tables: DataFrame, key: str, names: DataFrame, registry: DataFram
 
     land = body.where("role = 'inland' and col between 2 and 5").withColumn("e", F.trim(F.replace("head", F.lit("E="), F.lit(""))).cast("int"))
     pvs = cells.where("role = 'inland' and col = 1").select(key, "row", F.col("text").alias("pv_name"))
-    land = written(land.join(pvs, [key, "row"]).select(key, "legend", "row", "col", "e", "pv_name", _items(F.col("text")).alias("items")), "inland")
+    land = written(land.join(pvs.hint("merge"), [key, "row"]).select(key, "legend", "row", "col", "e", "pv_name", _items(F.col("text")).alias("items")), "inland")
     lines = land.select(key, "legend", "e", "pv_name", (F.col("col") - 2).alias("c"), F.inline("items"))
     same = [key, "kind", "name", "pv_name", "condition"]
     across = lines.groupBy(*same, "e").agg(F.first("legend").alias("legend"), runs(F.collect_set("c")).alias("r")).select(*same, "legend", "e", F.inline("r"))
@@ -218,9 +219,9 @@ def placements(tables: DataFrame, key: str, names: DataFrame, registry: DataFram
     unknown = plain.select(key, "name").join(ids.where("biome is null"), "name").select(key, "name").distinct()
     sure = ids.where("biome is not null")
     mates = shared.join(sure, "name").join(sure.select(F.col("name").alias("mate"), F.col("biome").alias("__mate")), "mate").groupBy(key, "biome").agg(F.max_by("__mate", F.struct("row", "col")).alias("__shared"))
-    placed = plain.join(sure, "name").join(sure.select(F.col("name").alias("other"), F.col("biome").alias("__other")), "other", "left").join(mates, [key, "biome"], "left")
+    placed = plain.join(sure, "name").join(sure.select(F.col("name").alias("other"), F.col("biome").alias("__other")), "other", "left").join(mates.hint("merge"), [key, "biome"], "left")
     sibling = F.when(F.col("route") == "direct_inland", F.col("__shared")).otherwise(F.col("__other"))
     first = placed.select(key, "biome", sibling.alias("sibling"), *_COLUMNS)
     members = first.where("route = 'group'").select(key, "biome", "grp").distinct()
-    below = terrain.drop("role", "row", "col", "name", "other").join(members, [key, "grp"]).select(key, "biome", none.alias("sibling"), *_COLUMNS)
+    below = terrain.drop("role", "row", "col", "name", "other").join(members.hint("merge"), [key, "grp"]).select(key, "biome", none.alias("sibling"), *_COLUMNS)
     return first.unionByName(below), unknown

@@ -116,7 +116,7 @@ def _climate_pages(spark: SparkSession, at: str) -> DataFrame:
         text = F.replace(text, F.lit(f"BiomeLink|{letter}}}"), F.concat(F.lit("BiomeLink|Biome "), ((k + i) % 7).cast("string"), F.lit("}")))
     text = F.replace(text, F.lit("BiomeLink|U}"), F.concat(F.lit("BiomeLink|Unknown "), (k % 3).cast("string"), F.lit("}")))
     text = F.when(k % 10 == 4, F.replace(text, F.lit("'''Humidity'''"), F.lit("Humidity"))).otherwise(text)
-    return table(spark, at, "supplier").select("s_suppkey", text.alias("text"))
+    return spread(table(spark, at, "supplier"), "s_suppkey").select("s_suppkey", text.alias("text"))
 
 
 def _biomes(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:

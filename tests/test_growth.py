@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import editions
-from loomspark.operators import ordered, rows
+from loomspark.operators import noise, ordered, rows
+from loomspark.plans import queries
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 def plan(df, kind="executedPlan"):
@@ -44,3 +50,23 @@ def test_boxes_of_grids_are_not_broadcast(spark):
     made = rows.trimmed(cells, ["k"])
     assert sorted(map(tuple, made.collect())) == [(1, 0, 1, "#", 2, 3), (1, 0, 2, "X", 2, 3), (1, 1, 0, "#", 2, 3), (1, 1, 2, "X", 2, 3), (2, 0, 0, "A", 1, 1)]
     assert "Broadcast" not in plan(made)
+
+
+@pytest.mark.parametrize("name", ["wiki_table", "template_fields", "edition_fields", "aliases"])
+def test_rows_of_a_small_file_are_dealt_out(spark, name):
+    # before, one task did all the work of a file of a few MB
+    assert queries.QUERIES[name](spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_tables_of_pages_are_read_by_many_tasks(spark, monkeypatch):
+    tasks, write = {}, noise.written
+    monkeypatch.setattr(noise, "written", lambda df, name: tasks.update({name: df.rdd.getNumPartitions()}) or write(df, name))
+    queries.QUERIES["noise_missing"](spark, SF)
+    assert min(tasks["sections"], tasks["tables"]) > 1
+
+
+def test_tables_of_pages_do_not_go_through_the_driver(spark, monkeypatch):
+    plans, write = {}, noise.written
+    monkeypatch.setattr(noise, "written", lambda df, name: plans.update({name: plan(df)}) or write(df, name))
+    queries.QUERIES["noise_placements"](spark, SF)
+    assert "BroadcastHashJoin" not in plans["tables"] + plans["inland"] + plans["grouped"]
