@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import collections, emit, gate, graph, merge, odds, ordered, resolve, rows, search
+from ..session import spread
 from ..sources.tables import RowQuery, json_field, resolve_titles, table
 from . import entities as _entities_, gates as _gates, markup as _markup, names as _names, packs as _packs, pages as _pages, producers as _producers, workshop as _workshop, worlds as _worlds  # noqa: F401
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -400,7 +401,7 @@ ASK_SQL = "(values " + ", ".join(f"('{a}')" for a in ASK) + ") q(query)"
 
 
 def _entities(spark: SparkSession, at: str) -> DataFrame:
-    return table(spark, at, "part").select(F.col("p_partkey").alias("id"), part_name().alias("name"))
+    return spread(table(spark, at, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), part_name().alias("name"))
 
 
 def _asks(spark: SparkSession, words: tuple[str, ...]) -> DataFrame:
@@ -435,7 +436,7 @@ def kind_aliases(spark: SparkSession, at: str) -> DataFrame:
     size = F.col("p_size")
     kind = F.when(size % 5 == 0, "effect").when(size % 5 == 1, "item").when(size % 5 == 2, "enchantment").when(size % 5 == 3, "profession").otherwise("mob")
     bare = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), size.cast("string"), F.col("p_partkey").cast("string"))
-    e = table(spark, at, "part").withColumns({"kind": kind, "bare": bare})
+    e = spread(table(spark, at, "part"), "p_partkey").withColumns({"kind": kind, "bare": bare})
     e = e.withColumn("id", F.concat(F.lit("ns:"), F.when(F.col("kind") == "item", "potion/").when(F.col("kind") == "mob", "entity_type/").otherwise(""), "bare"))
     station = F.when(F.col("p_partkey") % 2 == 0, "ns:The_stand").otherwise("ns:")
     entities = e.select("id", "kind", F.initcap(F.replace("bare", F.lit("_"), F.lit(" "))).alias("name"), station.alias("workstation"))
@@ -469,7 +470,7 @@ SEARCHES_SQL = "(values " + ", ".join(f"('{a}')" for a in SEARCHES) + ") q(query
  select query, o.id, tier, is_name, is_phrase, row_number() over (partition by query order by tier, not (tier = 0 and kind = 'item' and (is_name or is_phrase)), not is_name, not is_phrase, case kind when 'mob' then 0 when 'item' then 1 when 'block' then 2 when 'structure' then 7 else 10 end, length(name), o.id) as rank from o join e using (id) qualify rank <= 10""")
 def search_web(spark: SparkSession, at: str) -> DataFrame:
     kind = F.when(F.col("p_type") == "PROMO", "mob").when(F.col("p_type") == "STANDARD", "item").when(F.col("p_type") == "ECONOMY", "block").when(F.col("p_type") == "SMALL", "entity").otherwise("structure")
-    e = table(spark, at, "part").select(F.col("p_partkey").alias("id"), part_name().alias("name"), kind.alias("kind"))
+    e = spread(table(spark, at, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), part_name().alias("name"), kind.alias("kind"))
     return search.searched(_asks(spark, SEARCHES), e, search.aliases(e))
 
 
