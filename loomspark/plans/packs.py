@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import world
+from ..session import spread
 from ..sources.tables import table
 from .registry import query
 
@@ -57,7 +58,7 @@ _PACK = {
 
 def _files(spark: SparkSession, at: str) -> DataFrame:
     pack = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(json.dumps(d)).alias("doc")) for p, d in _PACK.items()), F.struct(F.lit(f"{_B}torn.json").alias("path"), F.lit("{").alias("doc")))
-    each = table(spark, at, "supplier").select(F.col("s_suppkey").alias("key"), F.inline(pack))
+    each = spread(table(spark, at, "supplier"), "s_suppkey").select(F.col("s_suppkey").alias("key"), F.inline(pack))
     own = lambda c: F.replace(c, F.lit("_N"), F.concat(F.lit("_"), (F.col("key") % 5).cast("string")))
     return each.select("key", own(F.col("path")).alias("path"), own(F.col("doc")).alias("doc"))
 
