@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import collections, trees
+from ..session import spread
 from ..sources.tables import table
 from .registry import query
 
@@ -14,7 +15,7 @@ _W = "w as (select s_suppkey k, s_suppkey // 20 * 20 b, s_suppkey % 20 j from su
 
 def _ring(spark: SparkSession, at: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, at, "supplier").select(k.alias("k"), F.floor(k / 20).cast("long").alias("b"), (k % 20).alias("j")).withColumn("b", F.col("b") * 20)
+    return spread(table(spark, at, "supplier"), "s_suppkey").select(k.alias("k"), F.floor(k / 20).cast("long").alias("b"), (k % 20).alias("j")).withColumn("b", F.col("b") * 20)
 
 
 def _item(place: Column) -> Column:
@@ -151,7 +152,7 @@ _NUMBER = lambda x: f"case when {x} = floor({x}) then floor({x})::bigint::varcha
  select collection, id, name, place, cells from c""")
 def collection_tables(spark: SparkSession, at: str) -> DataFrame:
     """Members of four manifests of different rules, with their columns, in their order."""
-    part, lines, size = table(spark, at, "part"), table(spark, at, "lineitem"), F.col("p_size")
+    part, lines, size = spread(table(spark, at, "part"), "p_partkey"), table(spark, at, "lineitem"), F.col("p_size")
     id_ = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
     entities = part.select(id_.alias("id"), F.when(size < 10, "small").otherwise("large").alias("kind"), F.col("p_name").alias("name"))
     none = F.lit(None)
