@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, loot, recipes
+from ..session import spread
 from ..sources.tables import table
 from .registry import query
 
@@ -87,14 +88,20 @@ METHODS = {"block": "block_drop", "chest": "chest_loot"}
 
 def loot_tables(spark: SparkSession, at: str) -> DataFrame:
     """table and doc: one for each order, one pool of its lines; every fourth line is a container, some are no item."""
-    n, qty = F.col("l_linenumber"), F.col("l_quantity").cast("int")
-    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
-    shears = F.when(F.col("l_returnflag") == "R", F.lit(', "condition": "shears"')).otherwise("")
-    count = F.when(F.col("l_tax") > 0.04, _text('{"type": "ns:uniform", "min": ', n, ', "max": ', n + 2, "}")).otherwise(n.cast("string"))
-    item = _text('{"type": "ns:item", "name": "ns:p', part, '", "weight": ', qty, ', "modifier": [{"type": "other"}, {"type": "ns:set_count", "count": ', count, "}]", shears, "}")
-    nested = _text('{"type": "ns:alternatives"', shears, ', "children": [{"type": "item", "name": "s', supplier, '", "condition": ', SILK_DOC, '}, {"type": "ns:group", "children": [{"type": "item", "name": "ns:p', part, '", "modifier": {"type": "set_count", "count": {"min": 0, "max": 2}}}]}]}')
-    entry = F.when(n % 4 == 3, nested).when((n % 4 == 2) & (qty > 40), F.lit('{"type": "ns:tag", "name": "x"}')).otherwise(item)
-    pools = table(spark, at, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_tax", entry.alias("e")))), lambda x: x["e"]), ", ").alias("entries"))
+
+    def entry(x: Column) -> Column:
+        n, qty = x["l_linenumber"], x["l_quantity"].cast("int")
+        part, supplier = x["l_partkey"].cast("string"), x["l_suppkey"].cast("string")
+        shears = F.when(x["l_returnflag"] == "R", F.lit(', "condition": "shears"')).otherwise("")
+        count = F.when(x["l_tax"] > 0.04, _text('{"type": "ns:uniform", "min": ', n, ', "max": ', n + 2, "}")).otherwise(n.cast("string"))
+        item = _text('{"type": "ns:item", "name": "ns:p', part, '", "weight": ', qty, ', "modifier": [{"type": "other"}, {"type": "ns:set_count", "count": ', count, "}]", shears, "}")
+        nested = _text('{"type": "ns:alternatives"', shears, ', "children": [{"type": "item", "name": "s', supplier, '", "condition": ', SILK_DOC, '}, {"type": "ns:group", "children": [{"type": "item", "name": "ns:p', part, '", "modifier": {"type": "set_count", "count": {"min": 0, "max": 2}}}]}]}')
+        return F.when(n % 4 == 3, nested).when((n % 4 == 2) & (qty > 40), F.lit('{"type": "ns:tag", "name": "x"}')).otherwise(item)
+
+    # lines are dealt out as they are, not as texts: of a few MB of them come many of documents
+    columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_tax"]
+    lines = spread(table(spark, at, "lineitem").select("l_orderkey", *columns), "l_orderkey")
+    pools = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("lines")).select("l_orderkey", F.array_join(F.transform("lines", entry), ", ").alias("entries"))
     k = F.col("l_orderkey")
     rolls = F.when(k % 3 == 0, F.lit('{"type": "ns:uniform", "min": 1, "max": 3}')).when(k % 3 == 1, F.lit("2")).otherwise(F.lit('{"type": "ns:binomial", "n": 3, "p": 0.5}'))
     gate = F.when(k % 7 == 0, _text(', "condition": {"type": "ns:all_of", "terms": ["ns:rain", "silk"]}')).otherwise("")

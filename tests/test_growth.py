@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import editions
-from loomspark.operators import noise, ordered, rows
+from loomspark.operators import loot, noise, ordered, rows
 from loomspark.plans import queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -70,3 +70,28 @@ def test_tables_of_pages_do_not_go_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(noise, "written", lambda df, name: plans.update({name: plan(df)}) or write(df, name))
     queries.QUERIES["noise_placements"](spark, SF)
     assert "BroadcastHashJoin" not in plans["tables"] + plans["inland"] + plans["grouped"]
+
+
+@pytest.fixture
+def loot_writes(monkeypatch):
+    """Tasks of each table that the loot operators write."""
+    tasks, write = [], loot.written
+    monkeypatch.setattr(loot, "written", lambda df, name: tasks.append((name, df.rdd.getNumPartitions())) or write(df, name))
+    return tasks
+
+
+def test_leaves_of_loot_need_no_shuffle(spark, loot_writes):
+    # before, two tasks parsed all documents, and all leaves were dealt out by their conditions, which are a few texts, and by path
+    got = queries.QUERIES["loot_walk"](spark, SF)
+    assert loot_writes[0] == ("loot", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert "Exchange hashpartitioning" not in plan(got) and "SortMergeJoin" not in plan(got)
+
+
+@pytest.mark.parametrize("few", [loot.FEW if hasattr(loot, "FEW") else 0, -1])
+def test_odd_entries_and_modifiers_of_loot(spark, monkeypatch, few):
+    # conditions and modifiers that are too many to broadcast give the same, as does a list with what is no object
+    monkeypatch.setattr(loot, "FEW", few)
+    doc = '{"pools": [{"rolls": {"min": 1, "max": 3}, "condition": "shears", "entries": [5, {"type": "item", "name": "a", "weight": 3, "modifier": ["x", {"function": "set_count", "count": 2}]}, {"type": "group", "children": ["x", {"type": "item", "name": "b", "condition": "silk", "modifier": {"type": "set_count", "count": {"min": 0, "max": 2}}}]}]}, {"entries": [{"type": "item", "name": "c"}]}]}'
+    names = spark.createDataFrame([("shears", '{"type": "match_tool", "predicate": {"items": "ns:shears"}}')], "name string, doc string")
+    leaves, _ = loot.walk(spark.createDataFrame([("t", doc)], "table string, doc string"), names)
+    assert sorted(map(tuple, leaves.select("path", "item", "count_min", "count_max", "gate", "chance", "rolls").collect())) == [("0.1", "a", 2, 2, "shears", 0.6, 2.0), ("0.2.1", "b", 1, 2, "shears", None, None), ("1.0", "c", 1, 1, None, 1.0, 1.0)]
