@@ -153,10 +153,10 @@ def walk(tables: DataFrame, predicates: DataFrame, key: str = "table", doc: str
 
 def readable(tables: DataFrame, read: Sequence[str], skipped: Sequence[str], methods: Mapping[str, str], key: str = "table", doc: str = "doc") -> DataFrame:
     """The tables of the families (second part of the path) that are read, with their method by type; raises on an unknown
-    family or type, as that would lose its tables."""
+    family or type, as that would lose its tables.  They are written, so that no document is made again for what follows."""
     made = tables.withColumn("family", F.element_at(F.split(key, "/"), 2)).where(~F.col("family").isin(*skipped))
     kinds = F.create_map(*[F.lit(x) for pair in methods.items() for x in pair])
-    made = made.withColumn("method", F.try_element_at(kinds, bare(F.get_json_object(doc, "$.type"))))
+    made = written(made.withColumn("method", F.try_element_at(kinds, bare(F.get_json_object(doc, "$.type")))), "tables")
     bad = made.where(~F.col("family").isin(*read) | F.col("method").isNull()).select(key).orderBy(key).limit(5).collect()  # names for the message
     if bad:
         raise LootError("unknown family or type: " + ", ".join(str(r[0]) for r in bad))

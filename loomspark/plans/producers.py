@@ -140,7 +140,7 @@ def loot_skipped(spark: SparkSession, at: str) -> DataFrame:
 def extract_loot(spark: SparkSession, at: str) -> DataFrame:
     """Producers of all tables of the families that are read; that of a block names the block."""
     tables = loot.readable(loot_tables(spark, at), ["blocks", "chests"], ["entities"], METHODS)
-    leaves = loot.walk(tables, loot_predicates(spark))[0].join(tables.select("table", "method"), "table")
+    leaves, _ = loot.walk(tables, loot_predicates(spark), keep=["method"])
     block = F.when(F.col("method") == "block_drop", F.element_at(F.split("table", "/"), -1))
     return leaves.select(F.col("table").alias("source_id"), "path", "method", F.col("item").alias("output"), F.col("count_min").alias("count"), block.alias("input"), F.col("gate").alias("note"), F.round("chance", 9).alias("chance"), F.when(F.col("chance").isNotNull(), F.col("count_max")).alias("count_max"))
 

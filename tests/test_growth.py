@@ -95,3 +95,10 @@ def test_odd_entries_and_modifiers_of_loot(spark, monkeypatch, few):
     names = spark.createDataFrame([("shears", '{"type": "match_tool", "predicate": {"items": "ns:shears"}}')], "name string, doc string")
     leaves, _ = loot.walk(spark.createDataFrame([("t", doc)], "table string, doc string"), names)
     assert sorted(map(tuple, leaves.select("path", "item", "count_min", "count_max", "gate", "chance", "rolls").collect())) == [("0.1", "a", 2, 2, "shears", 0.6, 2.0), ("0.2.1", "b", 1, 2, "shears", None, None), ("1.0", "c", 1, 1, None, 1.0, 1.0)]
+
+
+def test_documents_of_loot_are_made_once(spark, loot_writes):
+    # before, they were made once for the check of families, once for the walk and once more for a join with their method
+    got = queries.QUERIES["extract_loot"](spark, SF)
+    assert [n for n, _ in loot_writes][:2] == ["tables", "loot"] and loot_writes[0][1] > 1
+    assert "collect_list" not in plan(got) and "SortMergeJoin" not in plan(got)
