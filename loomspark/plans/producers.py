@@ -132,7 +132,7 @@ def loot_walk(spark: SparkSession, at: str) -> DataFrame:
 
 @query(f"""select "table", '0.' || place path, 'tag' entry_type from {LINES_SQL} where kind = 'tag'""")
 def loot_skipped(spark: SparkSession, at: str) -> DataFrame:
-    return loot.walk(loot_tables(spark, at), loot_predicates(spark))[1]
+    return loot.others_of(loot.entries(loot_tables(spark, at)))
 
 
 @query(f"""select "table" source_id, path, case when l_orderkey % 2 = 0 then 'block_drop' else 'chest_loot' end as method, item as output, count_min as count, case when l_orderkey % 2 = 0 then cast(l_orderkey as varchar) end input, gate note,

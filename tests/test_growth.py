@@ -102,3 +102,9 @@ def test_documents_of_loot_are_made_once(spark, loot_writes):
     got = queries.QUERIES["extract_loot"](spark, SF)
     assert [n for n, _ in loot_writes][:2] == ["tables", "loot"] and loot_writes[0][1] > 1
     assert "collect_list" not in plan(got) and "SortMergeJoin" not in plan(got)
+
+
+def test_entries_that_are_skipped_need_no_conditions(spark, loot_writes):
+    # before, the documents were those of two tasks
+    queries.QUERIES["loot_skipped"](spark, SF)
+    assert {n for n, _ in loot_writes} == {"loot"} and loot_writes[0][1] > 1
