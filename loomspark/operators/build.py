@@ -1,7 +1,7 @@
 """A build goes out in two phases: it is staged in a folder of its own, checked there, and then becomes the current one at once.
 
     at/CURRENT                the name of the folder that readers use, replaced in one step
-    at/builds/<name>/...      entities (a folder a shard), index, graph, manifest
+    at/builds/<name>/...      entities (a folder a shard), counts (rows and bytes of each shard), index, graph, manifest
 
 A run that stops anywhere before the swap leaves readers the build that they had; what it staged is removed by the next run."""
 
@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import spread, written
 from .emit import as_graph, search_index
 from .gate import GateError, constraints, gate_checks, passed
 from .ordered import shards
@@ -74,6 +74,16 @@ def validated(baseline: DataFrame | None, snapshot: DataFrame, references: DataF
     return lost.unionByName(nowhere).unionByName(shape)
 
 
+def _counted(spark: SparkSession, build: str) -> DataFrame:
+    """shard, n_rows and n_bytes of what is staged."""
+    return spark.read.text(f"{build}/entities").groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("value") + 1).alias("n_bytes"))
+
+
+def _counts(spark: SparkSession, build: str) -> DataFrame:
+    """The counts that a build has of its shards, so that not all of its files are listed and read again; of builds without them, anew."""
+    return spark.read.schema("shard string, n_rows long, n_bytes long").parquet(f"{build}/counts") if "counts" in _listed(spark, build) else _counted(spark, build)
+
+
 def emit_build(
     entities: DataFrame, producers: DataFrame, at: str, version: str, key: str, kind: str, order: Sequence[str], fields: Sequence[str], output: str, seq: str,
     snapshot: Callable[[DataFrame], DataFrame] | None = None, references: DataFrame | None = None, checks: Sequence[tuple[str, Column]] = (), allow: bool = False, size: int = 200,
@@ -94,10 +104,13 @@ def emit_build(
 
     numbered = written(shards(entities, kind, order, size), "shards")
     columns = sorted(entities.columns)
-    numbered.select("shard", F.to_json(F.struct(*columns)).alias("value"), *order).repartition("shard").sortWithinPartitions("shard", *order).select("shard", "value").write.partitionBy("shard").text(f"{here}/entities")
+    # a shard of few bytes is a folder and a file all the same: they are dealt out by number, and moved by the tasks that made them
+    values = spread(numbered.select("shard", F.to_json(F.struct(*columns)).alias("value"), *order), "shard").sortWithinPartitions("shard", *order)
+    values.select("shard", "value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("shard").text(f"{here}/entities")
     search_index(entities, key, fields).select(F.col("row").alias("value")).write.text(f"{here}/index")
     as_graph(producers, output, seq).write.json(f"{here}/graph")
-    counts = spark.read.text(f"{here}/entities").groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("value") + 1).alias("n_bytes"))  # from what is staged
+    _counted(spark, here).write.parquet(f"{here}/counts")
+    counts = _counts(spark, here)
     told = counts.agg(F.sum("n_rows").alias("n_entities"), F.count("*").alias("n_shards")).select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(version).alias("version"), "n_entities", "n_shards")
     told.coalesce(1).write.json(f"{here}/manifest")
 
@@ -113,7 +126,7 @@ def emit_build(
         raise GateError(f"{staged} of {entities.count()} entities are staged")
     passed(verdicts)
 
-    old = spark.read.text(f"{before}/entities").groupBy("shard").agg(F.count("*").alias("n_rows")).join(counts, "shard", "left_anti") if before else counts.select("shard", "n_rows").limit(0)
+    old = _counts(spark, before).select("shard", "n_rows").join(counts, "shard", "left_anti") if before else counts.select("shard", "n_rows").limit(0)
     removed = written(old.select(F.lit("removed").alias("part"), F.col("shard").alias("name"), F.col("n_rows"), F.lit(0).cast("long").alias("n_bytes")), "removed")
     files = spark.createDataFrame([(p, p, spark.read.text(f"{here}/{p}").count(), _bytes(spark, f"{here}/{p}")) for p in ("index", "graph", "manifest")], "part string, name string, n_rows long, n_bytes long")
     report = written(counts.select(F.lit("shard").alias("part"), F.col("shard").alias("name"), "n_rows", "n_bytes").unionByName(removed).unionByName(files), "report")

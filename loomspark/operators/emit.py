@@ -53,7 +53,7 @@ def merged_sources(layers: Sequence[DataFrame], key: str = "source") -> DataFram
 def as_graph(producers: DataFrame, output: str, seq: str) -> DataFrame:
     """output and producers: a JSON array of its producers in order, with sorted keys."""
     cols = sorted(c for c in producers.columns if c not in (output, seq))
-    one = producers.groupBy(output).agg(F.array_sort(F.collect_list(F.struct(F.col(seq), F.struct(*cols).alias("p")))).alias("__l"))
+    one = producers.groupBy(output).agg(F.sort_array(F.collect_list(F.struct(F.col(seq), F.struct(*cols).alias("p")))).alias("__l"))
     return one.select(output, F.to_json(F.transform("__l", lambda x: x["p"])).alias("producers"))
 
 

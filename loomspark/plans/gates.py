@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import build, emit, gate
 from ..sources import tables as sources
 from ..sources.tables import table
-from ..session import run_dir
+from ..session import run_dir, spread
 from .registry import query
 
 # ---- gate
@@ -212,7 +212,8 @@ def emitted_build(spark: SparkSession, at: str) -> DataFrame:
     folder = f"{run_dir(spark)}/build-{uuid.uuid4().hex}"
     part, size = table(spark, at, "part"), F.col("p_size") % 3
     kind = F.concat(F.lit("k"), size.cast("string"))
-    producers = table(spark, at, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("output"), F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("seq"), F.col("l_returnflag").alias("method")).distinct()
+    producers = table(spark, at, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("output"), F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("seq"), F.col("l_returnflag").alias("method"))
+    producers = spread(producers, "output").distinct()  # both steps on them go by output
     for k in (kind, F.when(size == 2, "k9").otherwise(kind)):
         entities = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), k.alias("kind"), F.col("p_name").alias("name"))
         report = build.emit_build(entities, producers, folder, "1", "id", "kind", ["id"], ["name"], "output", "seq")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,18 @@ def test_build_and_readers(spark, tmp_path):
     assert seen(spark, at) == [f"e{i:03}" for i in range(9)] and len(list((tmp_path / "builds").iterdir())) == 1
 
 
+@pytest.mark.parametrize("gone", ["entities", "counts"])
+def test_shards_are_dealt_out_and_counted_once(spark, tmp_path, gone):
+    # before, one task wrote all shards of a small table, and the next build listed and read all of their files again
+    at = str(tmp_path)
+    emit(spark, at, rows(spark, 25), size=5)
+    here = next((tmp_path / "builds").iterdir())
+    assert len({f.name[:10] for f in (here / "entities").glob("*/part-*")}) > 1
+    shutil.rmtree(here / gone)  # a build without counts is one of before
+    again = emit(spark, at, rows(spark, 9, "a"), size=5)
+    assert {(n, r.n_rows) for (p, n), r in again.items() if p == "removed"} == {("a-2", 3), ("b-0", 5), ("b-1", 5), ("b-2", 2)}
+
+
 @pytest.mark.parametrize("broken", ["regression", "references", "conformance", "allowed"])
 def test_gate_of_three_checks(spark, tmp_path, broken):
     at = str(tmp_path)
